@@ -55,6 +55,13 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def again(df: DataFrame) -> DataFrame:
+    """A second reader of a staged table, with columns of its own: both sides of a join may come from one table."""
+    out = df.sparkSession.read.schema(df.schema).parquet(df._staged_path)
+    out._staged_path = df._staged_path
+    return out
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a table made by stage()."""
     path = getattr(df, "_staged_path", None)
