@@ -6,13 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirrorsift.llm import decontam, licenses, mixing, passages, quality, secrets, simhash, warc
+from mirrorsift.llm import decontam, licenses, mixing, neargraph, passages, pii, quality, secrets, simhash, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_pruned_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neargraph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+def op2_pii_skip_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -47,6 +55,8 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_pruned_graph_dedup": op1_pruned_graph_dedup,
+    "op2_pii_skip_chain": op2_pii_skip_chain,
     "op3_pu_quality": op3_pu_quality,
     "op4_poisson_mixing": op4_poisson_mixing,
     "op5_warc_index_first": op5_warc_index_first,
@@ -58,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_pruned_graph_dedup": neargraph.ORACLE,
     "op4_poisson_mixing": mixing.ORACLE,
     "op5_warc_index_first": warc.ORACLE,
 }
