@@ -75,23 +75,23 @@ def align(text: list[str], template: list[str]) -> tuple[list[tuple[int, int]],
     todo = [(0, len(text), 0, len(template))]
     while todo:
         a, b, c, d = todo.pop()
+        if a >= b or c >= d:
+            continue
+        once, also = Counter(text[a:b]), Counter(template[c:d])
+        place = {w: i for i, w in enumerate(text[a:b], a) if once[w] == 1}
+        kept = increasing(sorted((place[w], j) for j, w in enumerate(template[c:d], c) if also[w] == 1 and w in place))
+        if kept:
+            anchors += len(kept)
+            matched += kept
+            edges = [(a - 1, c - 1), *kept, (b, d)]
+            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False)]
+            continue
         while a < b and c < d and text[a] == template[c]:
             matched.append((a, c))
             a, c = a + 1, c + 1
         while a < b and c < d and text[b - 1] == template[d - 1]:
             matched.append((b - 1, d - 1))
             b, d = b - 1, d - 1
-        if a >= b or c >= d:
-            continue
-        once, also = Counter(text[a:b]), Counter(template[c:d])
-        place = {w: i for i, w in enumerate(text[a:b], a) if once[w] == 1}
-        pairs = sorted((place[w], j) for j, w in enumerate(template[c:d], c) if also[w] == 1 and w in place)
-        kept = increasing(pairs)
-        anchors += len(kept)
-        matched += kept
-        edges = [(a - 1, c - 1), *kept, (b, d)]
-        if kept:
-            todo += [(i + 1, k, j + 1, m) for (i, j), (k, m) in zip(edges, edges[1:], strict=False) if i + 1 < k and j + 1 < m]
     return sorted(matched), anchors
 
 
