@@ -1,15 +1,17 @@
-"""File scans: paths and sizes through Spark's binaryFile source, so that content is read only where used."""
+"""File scans: folders are listed level by level in tasks, contents are read only where they are used."""
 
 from __future__ import annotations
 
 import struct
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorsift.functions import files, matchers
+from mirrorsift.runtime import configure, stage
 
 EXTENSIONS = {"text": files.TEXT_EXTENSIONS, "image": files.IMAGE_EXTENSIONS, "video": files.VIDEO_EXTENSIONS}
 # Names of folders that are not walked into, besides those that start with a dot.
@@ -27,34 +29,58 @@ def without_extension(extensions: Iterable[str], gone: str) -> frozenset[str]:
     return frozenset(extensions) - {gone.lower()}
 
 
-def pruned(path, root: str):
-    """Whether a folder between root and the file is hidden or one of PRUNED."""
-    inner = F.regexp_replace(path, r"^file:/+", "/")
-    inner = F.substring(inner, F.lit(len(root.rstrip("/")) + 1), F.length(inner))
-    names = "|".join(n.replace(".", r"\.") for n in PRUNED)
-    return F.lower(inner).rlike(rf"/(?:\.[^/]*|{names})/")
+def _opened(path: str) -> tuple[fs.FileSystem, str, str]:
+    """File system, path inside it, and what to put before such a path to name it again."""
+    if "://" not in path:
+        return fs.LocalFileSystem(), path, ""
+    store, inner = fs.FileSystem.from_uri(path)
+    return store, inner, "" if path.startswith("file:") else path.split("://")[0] + "://"
+
+
+def is_pruned(name: str) -> bool:
+    return name.startswith(".") or name.lower() in PRUNED
+
+
+def _list(frames: Iterator[pd.DataFrame], prune: bool) -> Iterator[pd.DataFrame]:
+    for pdf in frames:
+        rows = []
+        for folder in pdf["folder"]:
+            store, inner, before = _opened(folder)
+            for x in store.get_file_info(fs.FileSelector(inner, allow_not_found=True)):
+                folder_too = x.type == fs.FileType.Directory
+                if not (folder_too and prune and is_pruned(x.base_name)):
+                    rows.append((before + x.path, folder_too, x.size, None if x.mtime_ns is None else x.mtime_ns / 1e9))
+        yield pd.DataFrame(rows, columns=["path", "is_folder", "length", "mtime"]).astype({"length": "Int64", "mtime": "float64", "is_folder": "bool"})
+
+
+def list_files(spark: SparkSession, root: str, prune: bool = True) -> DataFrame:
+    """path, length, mtime of every file under root: one job a folder level, folders listed by tasks.
+
+    Hidden and underscored files are listed too, which Spark's own sources leave out.
+    """
+    folders = spark.createDataFrame([(root.rstrip("/") or "/",)], "folder string")
+    out = None
+    while True:
+        level = stage(folders.mapInPandas(lambda x: _list(x, prune), "path string, is_folder boolean, length long, mtime double"), "listing")
+        files_here = level.where("not is_folder").select("path", "length", "mtime")
+        out = files_here if out is None else out.unionByName(files_here)
+        below = level.where("is_folder").select(F.col("path").alias("folder"))
+        if below.isEmpty():
+            return out
+        folders = below.repartition(spark.sparkContext.defaultParallelism)
 
 
 def scan_directory(spark: SparkSession, root: str, kind: str = "text", min_size: int | None = None, max_size: int | None = 50 << 20, extensions: Iterable[str] | None = None) -> DataFrame:
-    """path, name, size, mtime, extension and content of the files of a kind under root, in any depth.
+    """path, name, size, mtime and extension of the files of a kind under root, in any depth; contents are not read.
 
     Text files have 10 bytes at least; video files have no size bounds and no folder is pruned for them.
     A root that does not exist gives no rows.
     """
-    schema = "path string, modificationTime timestamp, length long, content binary"
-    probe = spark._jvm.org.apache.hadoop.fs.Path(root)
-    if not probe.getFileSystem(spark._jsc.hadoopConfiguration()).exists(probe):
-        found = spark.createDataFrame([], schema)
-    else:
-        found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", r"^file:/+", "/")
-    out = found.where(files.has_extension(path, extensions or EXTENSIONS[kind]))
+    out = list_files(spark, root, prune=kind != "video").where(files.has_extension(F.col("path"), extensions or EXTENSIONS[kind]))
     if kind != "video":
-        least = 10 if kind == "text" and min_size is None else min_size or 0
-        out = out.where(F.col("length") >= least).where(~pruned(F.col("path"), root))
+        out = out.where(F.col("length") >= (10 if kind == "text" and min_size is None else min_size or 0))
         out = out if max_size is None else out.where(F.col("length") <= max_size)
-    seconds = F.col("modificationTime").cast("double")
-    return out.select(path.alias("path"), files.basename(path).alias("name"), F.col("length").alias("size"), seconds.alias("mtime"), files.suffix(path).alias("extension"), "content")
+    return out.select("path", files.basename(F.col("path")).alias("name"), F.col("length").alias("size"), "mtime", files.suffix(F.col("path")).alias("extension"))
 
 
 def scan_directories(spark: SparkSession, roots: Iterable[str], kind: str = "text", **bounds) -> DataFrame:
@@ -64,12 +90,31 @@ def scan_directories(spark: SparkSession, roots: Iterable[str], kind: str = "tex
         one = scan_directory(spark, root, kind, **bounds)
         out = one if out is None else out.unionByName(one)
     if out is None:
-        return scan_directory(spark, "/nonexistent", kind)
+        return spark.createDataFrame([], "path string, name string, size long, mtime double, extension string")
     return out.dropDuplicates(["path"])
 
 
+def with_content(scanned: DataFrame, most: int | None = None) -> DataFrame:
+    """The scan with the bytes of each file (at most the first ``most``); files that cannot be read are left out."""
+
+    @F.pandas_udf("binary")
+    def read(paths: pd.Series) -> pd.Series:
+        out = []
+        for path in paths:
+            try:
+                store, inner, _ = _opened(path)
+                with store.open_input_file(inner) as f:
+                    out.append(f.read() if most is None else f.read(most))
+            except OSError:
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return configure(scanned.sparkSession) and scanned.withColumn("content", read("path")).where("content is not null")
+
+
 def with_text(scanned: DataFrame) -> DataFrame:
     """The scan with its encoding and decoded text; bytes that do not decode are left out."""
+    scanned = with_content(scanned)
     encoding = matchers.detect_encoding(F.col("content"))
 
     @F.pandas_udf("string")
@@ -115,7 +160,7 @@ def with_image_info(scanned: DataFrame, head_bytes: int = 64 << 10) -> DataFrame
     def header(head: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([image_header(bytes(h)) for h in head], columns=["width", "height", "format"]).astype({"width": "Int32", "height": "Int32"})
 
-    return scanned.withColumn("info", header(F.substring("content", 1, head_bytes))).select(*[c for c in scanned.columns if c != "content"], "info.*")
+    return with_content(scanned, head_bytes).withColumn("info", header("content")).select(*scanned.columns, "info.*")
 
 
 def image_hashes(spark: SparkSession, root: str) -> DataFrame:
