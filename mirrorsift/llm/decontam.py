@@ -1,6 +1,6 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
-Texts become templates: names (capitalised words inside a sentence), numbers and units turn into typed
+Texts become templates: names (capitalised, not upper-case words inside a sentence), numbers and units turn into typed
 placeholders that remember the value they replace, everything else is lower-cased and stripped of
 punctuation.  Windows of WINDOW template words of documents are hash-joined with those of the benchmark
 items.  Matched windows are grouped by the diagonal (position in the document minus position in the item),
@@ -35,7 +35,7 @@ PIECE = 2000
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = "km|kg|cm|mm|mg|ml|lb|lbs|oz|ft|mi|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|kw|kwh|metres|meters|miles|kilometres|kilometers|grams|kilograms|litres|liters|seconds|minutes|hours|days|weeks|months|years|percent|dollars|euros|pounds|degrees"
 SLOT = f"[{NAME}-{UNIT}]"
-NAME_PATTERN = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}[\p{L}'’-]*+)"
+NAME_PATTERN = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}[\p{L}'’-]*+)"
 JUNK_PATTERN = rf"(?:[^\p{{L}}\p{{N}}{NAME}](?!(?<=\p{{N}}[.,:/-])\p{{N}}))++"
 NUMBER_PATTERN = r"(?<![\p{L}\p{N}])(\p{N}[\p{N}.,:/-]*+)"
 UNIT_PATTERN = rf"({NUMBER}[\p{{N}}.,:/-]++) ?({UNITS})(?!\p{{L}})"

@@ -69,9 +69,9 @@ def poisson_mix(
     spark = docs.sparkSession
     table = stage(rates(docs, weights, power, source_col), "rates")
     key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    drawn = docs.join(table, F.col(source_col).cast("string").eqNullSafe(F.col("mix_source")))
-    draws = F.transform(F.sequence(F.lit(1), F.col("parts")), lambda i: uniform(F.lit(str(seed)), i.cast("string"), key))
-    count = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter("cdf", lambda c: c <= u)))
+    drawn = docs.join(table, docs[source_col].cast("string").eqNullSafe(table["mix_source"]))
+    draws = F.transform(F.sequence(F.lit(1), table["parts"]), lambda i: uniform(F.lit(str(seed)), i.cast("string"), key))
+    count = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter(table["cdf"], lambda c: c <= u)))
     clash = [c for c in ("n_copies", "copy", "order_key") if c in docs.columns]
     drawn = drawn.select(*(docs[c] for c in docs.columns if c not in clash), count.alias("n_copies")).where("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))

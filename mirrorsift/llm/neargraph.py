@@ -306,7 +306,7 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
 
 def audit(embeddings: DataFrame, result: DataFrame, cosine: float = COSINE, block: int = 2000) -> tuple[int, int]:
     """(links found, links there are) at the vectors whose id is divisible by 100, against all rows, in blocks."""
-    rows = embeddings.where(_valid("embedding", "label")).select("vec_id", F.col("label").cast("string").alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("asked"))
+    rows = embeddings.where(_valid("embedding", "label")).select("vec_id", F.concat_ws(":", F.size("embedding").cast("string"), F.col("label").cast("string")).alias("label"), "embedding", (F.col("vec_id") % 100 == 0).alias("asked"))
     asked = rows.where("asked").select("label", F.col("vec_id").alias("q"), F.col("embedding").alias("qv"))
 
     def count(key, held: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:

@@ -219,7 +219,12 @@ def beliefs(nodes: list[Node], field: Field) -> np.ndarray:
     edges = [(a, b, field.chain) for a, b in chain]
     for h, g in enumerate(groups):
         edges += [(i, n + h, field.skip) for i in g]
-    local = np.vstack([unary, np.zeros((len(groups), k))])
+    hubs = np.zeros((len(groups), k))
+    for h, g in enumerate(groups):
+        for i in g:  # what is observed under a key outweighs any number of repeats without evidence of their own
+            if nodes[i].label >= 0:
+                hubs[h, nodes[i].label] = 1e9
+    local = np.vstack([unary, hubs])
     if edges:
         a, b = (np.array([e[j] for e in edges]) for j in (0, 1))
         w = np.array([e[2] for e in edges])[:, None]
