@@ -8,7 +8,7 @@ one group per place where the item may stand, and a place counts only if its slo
 values of the item must have become equal values of the document.  An item whose consistent windows cover
 MIN_SIMILARITY of all its windows contaminates the document, verbatim or re-parameterised.
 
-Windows with fewer than MIN_LITERALS words outside slots say nothing and are left out on both sides.  The
+Windows of items with fewer than MIN_LITERALS words outside slots say nothing and are left out.  The
 item windows are broadcast only up to MAX_BROADCAST of them, counted first; beyond that the join shuffles.
 Texts are cut into pieces of PIECE words that overlap by a window, so a long text never becomes one array
 of windows.
@@ -31,53 +31,61 @@ MIN_SIMILARITY = 0.8
 MIN_LITERALS = 2
 MAX_BROADCAST = 100_000
 PIECE = 2000
-# Markers of slots (private use), units, and the patterns that find slots.
+# Markers of slots (private use), units, and the patterns that find slots; each pattern tests the
+# class of a character before it looks around.
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = "km|kg|cm|mm|mg|ml|lb|lbs|oz|ft|mi|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|kw|kwh|metres|meters|miles|kilometres|kilometers|grams|kilograms|litres|liters|seconds|minutes|hours|days|weeks|months|years|percent|dollars|euros|pounds|degrees"
 SLOT = f"[{NAME}-{UNIT}]"
-NAME_PATTERN = r"(?<=[\p{Ll}\p{N},;:] )(\p{Lu}\p{Ll}[\p{L}'’-]*+)"
+NAME_PATTERN = r"(\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}[\p{L}'’-]*+)"
 JUNK_PATTERN = rf"(?:[^\p{{L}}\p{{N}}{NAME}](?!(?<=\p{{N}}[.,:/-])\p{{N}}))++"
-NUMBER_PATTERN = r"(?<![\p{L}\p{N}])(\p{N}[\p{N}.,:/-]*+)"
+NUMBER_PATTERN = r"(\p{N}(?<![\p{L}\p{N}]\p{N})[\p{N}.,:/-]*+)"
 UNIT_PATTERN = rf"({NUMBER}[\p{{N}}.,:/-]++) ?({UNITS})(?!\p{{L}})"
 
 
 def canonical(text: Column) -> Column:
     """Words separated by single spaces; slots are a marker and the value."""
-    c = F.regexp_replace(F.coalesce(text.cast("string"), F.lit("")), f"[{NAME}-{UNIT}]", "")
+    c = F.coalesce(text.cast("string"), F.lit(""))
+    c = F.when(c.contains(NAME) | c.contains(NUMBER) | c.contains(UNIT), F.regexp_replace(c, SLOT, "")).otherwise(c)
     c = F.regexp_replace(c, NAME_PATTERN, f"{NAME}$1")
-    c = F.regexp_replace(c, JUNK_PATTERN, " ")
-    c = F.regexp_replace(c, NUMBER_PATTERN, f"{NUMBER}$1")
-    c = F.lower(c)
-    return F.regexp_replace(c, UNIT_PATTERN, f"$1 {UNIT}$2")
+    c = F.lower(F.regexp_replace(F.regexp_replace(c, JUNK_PATTERN, " "), NUMBER_PATTERN, f"{NUMBER}$1"))
+    return F.when(c.contains(NUMBER), F.regexp_replace(c, UNIT_PATTERN, f"$1 {UNIT}$2")).otherwise(c)
 
 
 def windows(rows: DataFrame, keys: list[str], text_col: str, window: int = WINDOW) -> DataFrame:
-    """keys, at, template, slots for each window of each row that has enough words outside slots."""
-    words = rf"(?:\S++ ?+){{1,%d}}+"
+    """keys, at, h (hash of the template), t0.. (template tokens), o0.. (tokens with values) of each window of each row."""
+    words = r"(?:\S++ ?+){1,%d}+"
     piece = rf"(?=({words % (PIECE + window - 1)})){words % PIECE}"
-    run = r"(?<!\S)(?=(" + r"\S++ " * (window - 1) + r"\S++))\S++"
     pieces = rows.select(*keys, F.posexplode(F.regexp_extract_all(canonical(F.col(text_col)), F.lit(piece), F.lit(1))).alias("piece", "part"))
-    found = pieces.select(*keys, "piece", F.posexplode(F.regexp_extract_all("part", F.lit(run), F.lit(1))).alias("k", "raw"))
-    slotted = F.col("raw").rlike(SLOT)
-    none = F.expr("array_repeat('', 0)")
-    out = found.select(
-        *keys, (F.col("piece") * PIECE + F.col("k")).alias("at"),
-        F.when(slotted, F.regexp_replace("raw", rf"({SLOT})\S+", "$1")).otherwise(F.col("raw")).alias("template"),
-        F.when(slotted, F.regexp_extract_all("raw", F.lit(rf"{SLOT}\S+"), F.lit(0))).otherwise(none).alias("slots"),
-    )
-    return out.where(F.size("slots") <= window - MIN_LITERALS)
+    # own: tokens with the values of slots; tokens: the template.  Their windows are zipped from shifted
+    # arrays and hashed as five columns, so no window is built as text and no array is copied per window
+    slotted = F.col("part").contains(NAME) | F.col("part").contains(NUMBER)
+    template = F.when(slotted, F.regexp_replace("part", rf"({SLOT})\S+", "$1")).otherwise(F.col("part"))
+    split = pieces.select(*keys, "piece", F.split(F.rtrim("part"), " ").alias("own"), F.split(F.rtrim(template), " ").alias("tokens")).where(F.size("tokens") >= window)
+    shifted = [F.slice(c, i + 1, F.size("tokens") - (window - 1)).alias(f"{c[0]}{i}") for c in ("tokens", "own") for i in range(window)]
+    placed = split.select(*keys, "piece", F.posexplode(F.arrays_zip(*shifted)).alias("k", "w"))
+    fields = [F.col(f"w.{c}{i}").alias(f"{c}{i}") for c in "to" for i in range(window)]
+    return placed.select(*keys, (F.col("piece") * PIECE + F.col("k")).alias("at"), F.xxhash64(*(F.col(f"w.t{i}") for i in range(window))).alias("h"), *fields)
+
+
+def _array(letter: str, window: int, suffix: str = "") -> Column:
+    return F.array(*(F.col(f"{letter}{i}{suffix}") for i in range(window)))
+
+
+def _slots(letter: str, window: int, suffix: str = "") -> Column:
+    return F.filter(_array(letter, window, suffix), lambda x: F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT))
 
 
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_similarity: float = MIN_SIMILARITY, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage, reparameterised for each item that a document contains."""
     own = items.select(F.col(item_col).alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct().withColumn("item_key", F.xxhash64("text"))
-    known = windows(own, ["item_id", "item_key"], "text", window).withColumnsRenamed({"at": "item_at", "template": "item_template", "slots": "item_slots"})
-    known = stage(known.withColumn("h", F.xxhash64("item_template")), "item-windows")
+    known = windows(own, ["item_id", "item_key"], "text", window).where(F.size(_slots("o", window)) <= window - MIN_LITERALS)
+    known = known.select("item_id", "item_key", F.col("at").alias("item_at"), "h", _array("t", window).alias("item_template"), _slots("o", window).alias("item_slots"))
+    known = stage(known, "item-windows")
     sizes = known.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
     small = known.count() <= MAX_BROADCAST
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
-    held = windows(texts, ["doc_id"], "text", window).withColumn("h", F.xxhash64("template"))
-    hits = held.join(F.broadcast(known) if small else known, "h").where("template = item_template")
+    held = windows(texts, ["doc_id"], "text", window)
+    hits = held.join(F.broadcast(known) if small else known, "h").where(_array("t", window) == F.col("item_template")).withColumn("slots", _slots("o", window))
     pair = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("item"), x["slots"].alias("doc")))
     places = hits.groupBy("doc_id", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
