@@ -4,10 +4,11 @@ Vectors with one label are dealt to overlapping cluster shards: each goes to its
 and to every other centroid whose bisector with the home lies within the link radius.  A vector within the
 radius of another lies on the other's side of at most such bisectors, so two linked vectors always share
 the home shard of either.  In each shard a flat graph is built: near candidates and a few far ones, robust
-pruned (an edge to c is dropped where a kept neighbour p has ALPHA * d(p, c) <= d(x, c)), made symmetric.
-The adjacency lists of a vector from all its shards are united.  Each vector then searches its home shard:
-greedy beam search from the medoids, widened to every node that lies in range, and a self-audit that
-restarts where the search did not find the query itself.  What was found is verified in double precision.
+pruned (an edge to c is dropped where a kept neighbour p has ALPHA * d(p, c) <= d(x, c)), with reverse edges,
+and parts out of the medoid's reach get an edge from their nearest node.  The adjacency lists of a vector
+from all its shards are united.  Each vector then searches its home shard: greedy beam search from the
+medoids, widened to every node that lies in range, and a self-audit that restarts where the search did not
+find the query itself.  What was found is verified in double precision.
 
 Equal vectors are one node with a multiplicity.  Shards larger than CHUNK are cut into chunks by hash and
 every chunk of queries searches every chunk of the shard, so a task holds at most two chunks; links are
@@ -102,7 +103,7 @@ def prune(dist: np.ndarray, candidates: np.ndarray, degree: int = DEGREE, alpha:
 
 
 def build(x: np.ndarray, seed: int = 0) -> np.ndarray:
-    """Neighbour lists (n, up to 2 * DEGREE) of unit vectors, -1 filled."""
+    """Neighbour lists of unit vectors, -1 filled: pruned lists and their reverse edges."""
     n = len(x)
     if n == 1:
         return np.full((1, 1), -1, dtype=np.int64)
@@ -110,7 +111,8 @@ def build(x: np.ndarray, seed: int = 0) -> np.ndarray:
     near = np.argpartition(dist, min(NEAR, n - 1), axis=1)[:, : NEAR + 1]
     far = np.random.default_rng(seed).integers(0, n, (n, FAR))
     out = prune(dist, np.hstack([near, far]))
-    # edges both ways; a node that many point at is pruned again
+    # edges both ways, so that a node stays in reach of those that it is near to; where many point at one
+    # node its list is long, but no longer than the chunk
     a, b = np.nonzero(out >= 0)[0], out[out >= 0]
     src, dst = np.concatenate([a, b]), np.concatenate([b, a])
     pair = np.unique(src * n + dst)
@@ -118,7 +120,33 @@ def build(x: np.ndarray, seed: int = 0) -> np.ndarray:
     rank = np.arange(len(src)) - np.searchsorted(src, src)
     wide = np.full((n, int(rank.max()) + 1), -1, dtype=np.int64)
     wide[src, rank] = dst
-    return prune(dist, wide, 2 * DEGREE) if wide.shape[1] > 2 * DEGREE else wide
+    return connect(wide, dist, medoid(x))
+
+
+def reached(graph: np.ndarray, seen: np.ndarray, front: np.ndarray) -> None:
+    """Mark what can be reached from front."""
+    seen[front] = True
+    while len(front):
+        nodes = np.unique(graph[front])
+        front = nodes[(nodes >= 0) & ~seen[nodes]]
+        seen[front] = True
+
+
+def connect(graph: np.ndarray, dist: np.ndarray, start: int) -> np.ndarray:
+    """The graph with an edge to each part that pruning left out of reach of start, from the nearest node in reach."""
+    seen = np.zeros(len(graph), dtype=bool)
+    reached(graph, seen, np.array([start]))
+    while not seen.all():
+        out, inside = np.flatnonzero(~seen), np.flatnonzero(seen)
+        near = dist[np.ix_(out, inside)]
+        i, j = np.unravel_index(near.argmin(), near.shape)
+        row = graph[inside[j]]
+        if (row >= 0).all():
+            graph = np.hstack([graph, np.full((len(graph), 1), -1, dtype=graph.dtype)])
+            row = graph[inside[j]]
+        row[(row < 0).argmax()] = out[i]
+        reached(graph, seen, np.array([out[i]]))
+    return graph
 
 
 def medoid(x: np.ndarray) -> int:
