@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirrorsift.functions import files
+from mirrorsift.operators.blocking import numbered
 
 #: Strategy: the column to order by and whether the largest comes first.
 STRATEGIES = {"largest": ("char_count", True), "resolution": ("pixels", True), "smallest": ("size", False), "newest": ("mtime", True), "oldest": ("mtime", False)}
@@ -78,16 +79,13 @@ def reclaimable(members: DataFrame) -> DataFrame:
 
 def results_view(members: DataFrame, kind: str = "text") -> DataFrame:
     """Display rows: group number in the order of group ids, path, size, two details and similarity as text."""
-    pixels = lambda: F.concat_ws("x", F.coalesce(F.col("width").cast("string"), F.lit("N/A")), F.coalesce(F.col("height").cast("string"), F.lit("N/A")))
-    detail: dict[str, tuple[Column, Column]] = {
-        "text": (F.coalesce(F.col("line_count").cast("string"), F.lit("N/A")), F.coalesce(F.col("char_count").cast("string"), F.lit("N/A"))) if kind == "text" else (),
-        "image": (pixels(), F.coalesce(F.col("format"), F.lit("N/A"))) if kind == "image" else (),
-        "video": (pixels(), files.format_duration(F.col("duration"))) if kind == "video" else (),
-    }
-    from mirrorsift.operators.blocking import numbered
-
+    known = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("N/A"))
+    if kind == "text":
+        first, second = known("line_count"), known("char_count")
+    else:
+        first = F.concat_ws("x", known("width"), known("height"))
+        second = known("format") if kind == "image" else files.format_duration(F.col("duration"))
     order = numbered(members.select("group_id").distinct(), "group_id", name="group_no")
-    first, second = detail[kind]
     return members.join(order, "group_id").select(
         "group_no", "path", files.format_size(F.col("size"), files.SIZE_UNITS[:5]).alias("size_text"), first.alias("detail_1"), second.alias("detail_2"),
         F.format_string("%.1f%%", F.coalesce("similarity", F.lit(100.0))).alias("similarity_text"),

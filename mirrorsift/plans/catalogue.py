@@ -76,9 +76,6 @@ def union_roots_dedupe(spark: SparkSession, d: str) -> DataFrame:
 
 # -- filters and blocks ----------------------------------------------------------------------------
 
-_BUCKET = "CAST(trunc(size / (size * 0.05 + 1)) AS INTEGER)"
-
-
 @query(f"WITH {FILES}, b AS (SELECT path, size, CAST(trunc(size / (CAST(size AS DOUBLE) * 0.05 + 1)) AS INTEGER) AS bucket FROM f WHERE size > 0) SELECT * FROM b QUALIFY count(*) OVER (PARTITION BY bucket) > 1")
 def text_size_bucket(spark: SparkSession, d: str) -> DataFrame:
     return blocking.text_blocks(text_files(spark, d), by_extension=False).select("path", "size", blocking.size_bucket(F.col("size")).alias("bucket"))
@@ -494,7 +491,7 @@ def _action_query(action: str, folder: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         m = _members(spark, d)
         if folder:  # one name for many files, so that numbers are given
-            m = m.withColumn("path", F.concat("path", F.lit("/file"), F.col("extension"))).withColumn("group_id", F.col("group_id"))
+            m = m.withColumn("path", F.concat("path", F.lit("/file"), F.col("extension")))
         return outcome.action_plan(outcome.keepers(m, "newest"), action, folder)
 
     path = "path || '/file' || extension" if folder else "path"
@@ -573,7 +570,7 @@ def results_view(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def components_by_union(spark: SparkSession, d: str) -> DataFrame:
-    """Components of shared words between suppliers' nations and customers' nations, as plain ids."""
+    """Connected components over plain ids: customers linked by a fixed rule."""
     c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 1500 + 1).alias("b")).where("a % 3 = 0")
     return connected_components(c)
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorsift.functions import files, matchers
+from mirrorsift.functions.hashes import hash_pixels
 from mirrorsift.runtime import configure, stage
 
 EXTENSIONS = {"text": files.TEXT_EXTENSIONS, "image": files.IMAGE_EXTENSIONS, "video": files.VIDEO_EXTENSIONS}
@@ -109,7 +110,8 @@ def with_content(scanned: DataFrame, most: int | None = None) -> DataFrame:
                 out.append(None)
         return pd.Series(out, dtype=object)
 
-    return configure(scanned.sparkSession) and scanned.withColumn("content", read("path")).where("content is not null")
+    configure(scanned.sparkSession)
+    return scanned.withColumn("content", read("path")).where("content is not null")
 
 
 def with_text(scanned: DataFrame) -> DataFrame:
@@ -165,8 +167,6 @@ def with_image_info(scanned: DataFrame, head_bytes: int = 64 << 10) -> DataFrame
 
 def image_hashes(spark: SparkSession, root: str) -> DataFrame:
     """path, ahash, phash of the images that Spark's image source decodes."""
-    from mirrorsift.functions.hashes import hash_pixels
-
     @F.pandas_udf("ahash long, phash long")
     def both(height: pd.Series, width: pd.Series, channels: pd.Series, data: pd.Series) -> pd.DataFrame:
         return hash_pixels(pd.DataFrame({"height": height, "width": width, "n_channels": channels, "data": data}))
