@@ -44,6 +44,9 @@ DEGREE = 32
 NEAR, FAR = 64, 16
 ALPHA = 1.2
 BEAM = 24
+#: Queries of a task that walk at once, and (query, node) pairs of one expansion: they bound a task's memory.
+QUERIES = 200
+PAIRS = 100_000
 #: In the search, nodes this much below the range are walked through as well.
 SLACK = 0.1
 
@@ -153,6 +156,15 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(axis=0)).argmax())
 
 
+def cosines(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, block: int = 20_000) -> np.ndarray:
+    """Dot products of a[i] and b[j], a block of rows at a time."""
+    out = np.empty(len(i))
+    for at in range(0, len(i), block):
+        s = slice(at, at + block)
+        np.einsum("ij,ij->i", a[i[s]], b[j[s]], out=out[s])
+    return out
+
+
 def search(graph: np.ndarray, x: np.ndarray, starts: list[int], queries: np.ndarray, low: float, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(query, node) of the nodes found with cosine >= low: greedy beams from the starts, widened over the range.
 
@@ -175,7 +187,7 @@ def search(graph: np.ndarray, x: np.ndarray, starts: list[int], queries: np.ndar
         pair = np.unique(q[ok] * n + node[ok])
         q, node = pair // n, pair % n
         seen[q, node] = True
-        sim = np.einsum("ij,ij->i", queries[q], x[node])
+        sim = cosines(queries, q, x, node)
         inside = sim >= reach
         hits.append((q[inside], node[inside]))
         return q, node, sim
@@ -210,10 +222,11 @@ def search(graph: np.ndarray, x: np.ndarray, starts: list[int], queries: np.ndar
     while done < len(hits):
         q, node = (np.concatenate([h[i] for h in hits[done:]]) for i in (0, 1))
         done = len(hits)
-        if len(q):
-            visit(q, graph[node])
+        step = max(1, PAIRS // graph.shape[1])
+        for at in range(0, len(q), step):
+            visit(q[at : at + step], graph[node[at : at + step]])
     q, node = (np.concatenate([h[i] for h in hits]) for i in (0, 1))
-    exact = np.einsum("ij,ij->i", queries[q], x[node]) >= low
+    exact = cosines(queries, q, x, node) >= low
     return q[exact], node[exact]
 
 
@@ -293,8 +306,8 @@ def links(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
         own = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
         own = np.where(ids[own] == qid, own, -1)
         count, a, b = np.zeros(len(qid), dtype=np.int64), [], []
-        for i in range(0, len(qid), 500):
-            q, node = search(graph, x, [medoid(x)], queries[i : i + 500], cosine, own[i : i + 500])
+        for i in range(0, len(qid), QUERIES):
+            q, node = search(graph, x, [medoid(x)], queries[i : i + QUERIES], cosine, own[i : i + QUERIES])
             other = ids[node] != qid[i + q]
             q, node = q[other] + i, node[other]
             np.add.at(count, q, copies[node])
