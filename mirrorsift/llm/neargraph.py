@@ -1,9 +1,10 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Vectors with one label are dealt to overlapping cluster shards: each goes to its nearest centroid (home)
-and to every other centroid whose bisector with the home lies within the link radius.  A vector within the
-radius of another lies on the other's side of at most such bisectors, so two linked vectors always share
-the home shard of either.  In each shard a flat graph is built: near candidates and a few far ones, robust
+and to every other centroid whose bisector with the home lies within half the link radius.  Two linked vectors
+of different homes lie on either side of the bisector of these, and together no further from it than the
+radius, so at least one of them is in the home shard of the other: that one's search finds the pair, and
+counts it for both where only one can.  In each shard a flat graph is built: near candidates and a few far ones, robust
 pruned (an edge to c is dropped where a kept neighbour p has ALPHA * d(p, c) <= d(x, c)), with reverse edges,
 and parts out of the medoid's reach get an edge from their nearest node.  The adjacency lists of a vector
 from all its shards are united.  Each vector then searches its home shard: greedy beam search from the
@@ -270,12 +271,14 @@ def links(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
             for grp, part in pdf.groupby("grp"):
                 c = centres.value.get(grp)
                 if c is None:
-                    yield part.assign(shard=f"{grp}/0", home=True)
+                    row, shard, home = np.arange(len(part)), np.zeros(len(part), dtype=int), np.ones(len(part), dtype=bool)
                 else:
-                    row, shard, home = shards_of(unit(_matrix(part["vec"])), c, radius)
-                    yield part.iloc[row].assign(shard=[f"{grp}/{s}" for s in shard], home=home)
+                    row, shard, home = shards_of(unit(_matrix(part["vec"])), c, radius / 2)
+                names = np.array([f"{grp}/{s}" for s in shard], dtype=object)
+                every = np.split(names, np.searchsorted(row, np.arange(1, len(part))))
+                yield part.iloc[row].assign(shard=names, home=names[home][row], shards=[every[r] for r in row])
 
-    dealt = stage(nodes.mapInPandas(deal, "grp string, vec array<double>, id long, copies long, shard string, home boolean"), "shards")
+    dealt = stage(nodes.mapInPandas(deal, "grp string, vec array<double>, id long, copies long, shard string, home string, shards array<string>"), "shards")
     sizes = stage(dealt.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "shard-sizes")
     member = dealt.join(sizes, "shard").withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("chunks")).cast("int"))
 
@@ -293,7 +296,8 @@ def links(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
         if not len(held) or not len(asked):
             return none
         held, asked = held.sort_values("id"), asked.sort_values("id")
-        ids, copies, x = held["id"].to_numpy(), held["copies"].to_numpy(), unit(_matrix(held["vec"]))
+        ids, copies, homes, x = held["id"].to_numpy(), held["copies"].to_numpy(), held["home"].to_numpy(), unit(_matrix(held["vec"]))
+        shard, times, mine = key[0], asked["copies"].to_numpy(), asked["shards"].tolist()
         near = [np.asarray(v, dtype=np.int64) for v in held["near"]]
         flat, row = np.concatenate(near), np.repeat(np.arange(len(ids)), [len(v) for v in near])
         at = np.minimum(np.searchsorted(ids, flat), len(ids) - 1)
@@ -306,27 +310,34 @@ def links(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
         own = np.minimum(np.searchsorted(ids, qid), len(ids) - 1)
         own = np.where(ids[own] == qid, own, -1)
         count, a, b = np.zeros(len(qid), dtype=np.int64), [], []
+        other_side: dict[int, int] = {}
         for i in range(0, len(qid), QUERIES):
             q, node = search(graph, x, [medoid(x)], queries[i : i + QUERIES], cosine, own[i : i + QUERIES])
             other = ids[node] != qid[i + q]
             q, node = q[other] + i, node[other]
             np.add.at(count, q, copies[node])
+            # a partner at home elsewhere finds the query only if the query is in that shard too
+            for i_q, i_node in zip(*(v[homes[node] != shard].tolist() for v in (q, node)), strict=True):
+                if homes[i_node] not in mine[i_q]:
+                    other_side[int(ids[i_node])] = other_side.get(int(ids[i_node]), 0) + int(times[i_q])
             # links to the query's smallest partner span what all of its links join
             a += qid[q].tolist()
             b += ids[node].tolist()
             roots = union_find(a, b)
             a, b = list(roots.keys()), list(roots.values())
         counted = dict(zip(qid.tolist(), count.tolist(), strict=True))
+        for i, n in other_side.items():
+            counted[i] = counted.get(i, 0) + n
         rooted = dict(zip(a, b, strict=True))
         every = sorted({*(i for i, n in counted.items() if n), *rooted})
         return pd.DataFrame({"id": every, "n": [counted.get(i, 0) for i in every], "root": [rooted.get(i, i) for i in every]}).astype("int64")
 
     chunks = again(sizes).withColumnRenamed("chunks", "asked_chunks")
     held = member.join(united, "id").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    asked = again(dealt).where("home").join(chunks, "shard").withColumn("part", F.pmod(F.xxhash64(F.lit(13), "id"), F.col("asked_chunks")).cast("int"))
+    asked = again(dealt).where("home = shard").join(chunks, "shard").withColumn("part", F.pmod(F.xxhash64(F.lit(13), "id"), F.col("asked_chunks")).cast("int"))
     asked = asked.withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("asked_chunks") - 1)))
-    left = held.select("shard", "chunk", "part", "id", "copies", "vec", "near").groupBy("shard", "chunk", "part")
-    right = asked.select("shard", "chunk", "part", "id", "vec").groupBy("shard", "chunk", "part")
+    left = held.select("shard", "chunk", "part", "id", "copies", "home", "vec", "near").groupBy("shard", "chunk", "part")
+    right = asked.select("shard", "chunk", "part", "id", "copies", "shards", "vec").groupBy("shard", "chunk", "part")
     return nodes, stage(left.cogroup(right).applyInPandas(look, "id long, n long, root long"), "found")
 
 
