@@ -51,8 +51,10 @@ def line_features(text: Column, empty_head: bool = False) -> dict[str, Column]:
     tail = F.when(more, F.concat(clean(tail_of(lines, 10)), F.array(strip(rest)))).otherwise(clean(tail_of(lines, 10)))
     lengths = F.transform(tail_of(lines, 100), lambda x: F.length(x).cast("double"))
     n = F.size(lengths)
-    mean = F.aggregate(lengths, F.lit(0.0), lambda s, x: s + x) / F.greatest(n, F.lit(1))
-    spread = F.when(n == 0, F.lit(0.0)).otherwise(F.aggregate(lengths, F.lit(0.0), lambda s, x: s + (x - mean) * (x - mean)) / n)
+    # one pass over the lengths: their sum and the sum of their squares, both exact in doubles
+    sums = F.aggregate(lengths, F.struct(F.lit(0.0).alias("s"), F.lit(0.0).alias("q")), lambda a, x: F.struct((a["s"] + x).alias("s"), (a["q"] + x * x).alias("q")))
+    mean = sums["s"] / F.greatest(n, F.lit(1))
+    spread = F.when(n == 0, F.lit(0.0)).otherwise(sums["q"] / n - mean * mean)
     short = lambda a: F.substring(F.md5(F.array_join(a, "\n")), 1, 16)
     head = short(clean(F.slice(lines, 1, 10)))
     return {

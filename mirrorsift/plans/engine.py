@@ -76,7 +76,8 @@ def image_edges(images: DataFrame, params: Params = Params(), block: str | None
     """(a, b, similarity) of images in one block whose mean distance of both hashes is within the threshold."""
     most = min(64, max(0, int(64 * (1 - params.similarity_threshold / 100))))
     key = F.struct(F.floor(F.col("size") / 1024), F.floor(F.col("width") / 100), F.floor(F.col("height") / 100)) if block is None else F.col(block)
-    i = images.select("path", key.alias("block"), "a1", "a2", "p1", "p2")
+    # hashes are made once, not once a pair
+    i = stage(images.select("path", key.alias("block"), "a1", "a2", "p1", "p2"), "image-hashes")
     a, b = i.alias("a"), i.alias("b")
     h = lambda t, k: (F.col(f"{t}.{k}1"), F.col(f"{t}.{k}2"))
     mean = (hashes.hamming(h("a", "a"), h("b", "a")) + hashes.hamming(h("a", "p"), h("b", "p"))) / 2
@@ -87,7 +88,7 @@ def image_edges(images: DataFrame, params: Params = Params(), block: str | None
 def video_edges(videos: DataFrame, params: Params = Params(), denominator: str = "bits", block: str | None = None) -> DataFrame:
     """(a, b, similarity) of videos (path, frames, block columns) at or over the threshold."""
     key = F.struct(blocking.video_size_key(F.col("size")), blocking.video_duration_key(F.col("duration"))) if block is None else F.col(block)
-    v = videos.select("path", key.alias("block"), "frames")
+    v = stage(videos.select("path", key.alias("block"), "frames"), "video-hashes")
     a, b = v.alias("a"), v.alias("b")
     score = hashes.frame_similarity(F.col("a.frames"), F.col("b.frames"), denominator=denominator)
     near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.path") < F.col("b.path")) & (score >= params.similarity_threshold))
