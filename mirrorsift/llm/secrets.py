@@ -2,8 +2,9 @@
 
 Candidates are the base kinds (assign, access, hex) and a broader one: long tokens of mixed letters and
 digits.  Each candidate's SHA-256 is counted over the whole corpus by distinct repositories and distinct
-owners.  A value that many owners hold is a copied example; a value that few owners hold and that looks
-random is live.  Base spans are always reported; a broader token is added as a span of kind ``token`` only
+owners.  A value that many owners hold is a copied example, and so is one in very many repositories that does
+not look random, whoever owns them; any other base value is live, whatever its length or characters, and a
+broader token is live if it looks random.  Base spans are always reported; a broader token is added as a span of kind ``token`` only
 where its ownership says live and no base span covers it.
 
 Positions come from one linear scan a kind: a lazy gap followed by the pattern or the end of the text, so
@@ -37,7 +38,9 @@ KINDS = (
 BASE = ("assign", "access", "hex")
 #: Values held by so many owners or more are copied examples.
 EXAMPLE_OWNERS = 3
-#: A live-looking value has so many characters and distinct characters at least.
+#: Values that do not look random are copied examples in so many repositories, too.
+EXAMPLE_REPOS = 100
+#: A random-looking value has so many characters and distinct characters at least.
 LIVE_LENGTH, LIVE_DISTINCT = 16, 8
 MASK = "<SECRET>"
 _BLOCK = 256
@@ -105,12 +108,13 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def _judged(found: DataFrame, example_owners: int) -> DataFrame:
-    """doc_id, row_key, judged: the spans of each distinct row with candidates, each with its n_owners and live flag."""
+    """doc_id, row_key, judged: the spans of each distinct row with candidates, each with its live and copied flags."""
     held = found.where(F.size("found") > 0).select("doc_id", "row_key", F.explode("found").alias("s"))
     counts = stage(ownership(found), "owners")
-    live = (F.col("n_owners") < example_owners) & F.col("s.random")
+    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_repos") >= EXAMPLE_REPOS) & ~F.col("s.random"))
+    live = ~copied & ((F.col("s.kind") != "token") | F.col("s.random"))
     known = held.select("doc_id", "row_key", "s", F.col("s.hash").alias("hash")).join(counts, "hash")
-    span = F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("hash"), live.alias("live"), (F.col("n_owners") >= example_owners).alias("copied"))
+    span = F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("hash"), live.alias("live"), copied.alias("copied"))
     return known.groupBy("doc_id", "row_key").agg(F.collect_set(span).alias("judged"))
 
 
