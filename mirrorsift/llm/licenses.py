@@ -7,7 +7,8 @@ the template's words that were matched.
 
 Long texts are not aligned whole.  A template covered to at least MIN_COVERAGE must show one of its
 (1 - MIN_COVERAGE) * n + 1 longest words, so texts without any are passed over; in the others, regions
-dense in template words are found by a sliding count, and each is aligned.
+dense in template words are found by a sliding count, and each is aligned, in windows where it holds more
+than one copy.
 
 Defined results: null texts are empty and match nothing; every place of a license is reported, one row
 each, overlapping places of one template once (the best); rows with equal doc_id are scanned row by row;
@@ -100,7 +101,9 @@ class Template:
         self.name, self.words = name, tokens(text)
         self.counts = Counter(self.words)
         self.need = max(1, -int(-min_coverage * len(self.words) // 1))
+        self.wide = max(len(self.words) + 4, len(self.words) * 3 // 2)
         spare = len(self.words) - self.need
+        self.lead = frozenset(self.words[: spare + 1])  # a place begins with one of these
         longest = sorted(set(self.words), key=lambda w: (-len(w), w))
         stems, n = [], 0
         for w in longest:  # so many occurrences that not all can be missing
@@ -112,7 +115,6 @@ class Template:
 
     def regions(self, words: list[str]) -> list[tuple[int, int]]:
         """Runs of the text, not overlapping, that hold enough template words close together."""
-        wide = max(len(self.words) + 4, len(self.words) * 3 // 2)
         hits = [i for i, w in enumerate(words) if w in self.counts]
         out: list[list[int]] = []
         seen: Counter = Counter()
@@ -121,7 +123,7 @@ class Template:
             w = words[i]
             seen[w] += 1
             n += seen[w] <= self.counts[w]
-            while i - hits[first] >= wide:
+            while i - hits[first] >= self.wide:
                 v = words[hits[first]]
                 n -= seen[v] <= self.counts[v]
                 seen[v] -= 1
@@ -133,6 +135,47 @@ class Template:
                     out.append([hits[first], i])
         return [(a, b + 1) for a, b in out]
 
+    def aligned(self, words: list[str], a: int, b: int) -> tuple[int, int, int, int] | None:
+        """(first, last, matched words, anchors) of the stretch's alignment, if it covers enough."""
+        matched, anchors = align(words[a:b], self.words)
+        return (a + matched[0][0], a + matched[-1][0], len(matched), anchors) if len(matched) >= self.need else None
+
+    def places(self, words: list[str], a: int, b: int) -> list[tuple[int, int, int, int]]:
+        """Places of a region, not overlapping.
+
+        No word is unique among copies close together, so a stretch whose own alignment is not one whole copy
+        is aligned in windows from each word that can be a place's first.  The best windows are kept, and the
+        parts before, between and after them are searched the same way.
+        """
+        out, todo = [], [(a, b)]
+        while todo:
+            a, b = todo.pop()
+            if sum((Counter(w for w in words[a:b] if w in self.counts) & self.counts).values()) < self.need:
+                continue
+            whole = self.aligned(words, a, b) if b - a <= 2 * self.wide else None
+            if whole and whole[2] == len(self.words) and whole[1] - whole[0] < self.wide:
+                found = [whole]
+            else:
+                found, i = [], a
+                while i < b:
+                    near = [p for size in (len(self.words), self.wide) if words[i] in self.lead and (p := self.aligned(words, i, min(b, i + size)))]
+                    found += near
+                    # nothing that starts inside a word-for-word copy is better than it
+                    i += len(self.words) if any(p[2] == len(self.words) == p[1] - p[0] + 1 for p in near) else 1
+                if not found:  # its words lie further apart than a window
+                    found = [p for p in [whole or self.aligned(words, a, b)] if p]
+                found = sorted(set(found), key=lambda p: (-p[2], p[1] - p[0], p))
+            kept: list[tuple[int, int, int, int]] = []
+            for p in found:
+                at = bisect_left(kept, p)
+                if (at == 0 or kept[at - 1][1] < p[0]) and (at == len(kept) or p[1] < kept[at][0]):
+                    kept.insert(at, p)
+            if kept:
+                out += kept
+                edges = [a, *(x for p in kept for x in (p[0], p[1] + 1)), b]
+                todo += zip(edges[::2], edges[1::2], strict=True)
+        return out
+
 
 def scan_text(text: str, templates: list[Template]) -> list[tuple[str, float, int, int, int]]:
     """(license, coverage, start, end, anchors) of each place, in code points."""
@@ -144,16 +187,8 @@ def scan_text(text: str, templates: list[Template]) -> list[tuple[str, float, in
     words = [w for _, _, w in spots]
     out = []
     for t in wanted:
-        for a, b in t.regions(words):
-            at = a
-            while at < b:  # a region may hold several places one after the other
-                matched, anchors = align(words[at:b], t.words)
-                if len(matched) < t.need:
-                    break
-                # the nearest place: words far from the others belong to another one
-                i, j = at + matched[0][0], at + matched[-1][0]
-                out.append((t.name, round(len(matched) / len(t.words), 6), spots[i][0], spots[j][1], anchors))
-                at = j + 1
+        for i, j, n, anchors in sorted(p for a, b in t.regions(words) for p in t.places(words, a, b)):
+            out.append((t.name, round(n / len(t.words), 6), spots[i][0], spots[j][1], anchors))
     return out
 
 

@@ -212,3 +212,12 @@ def test_license_scan(spark):
     assert len(head) == 1 and 0.9 < head[0].coverage < 1 and head[0].n_anchors > 20
     assert not [x for x in got if x.doc_id in (1, 2, 5)] and [x.license_id for x in got if x.doc_id is None] == ["MIT"]
     assert licenses.scan(docs_of(spark, rows).limit(0)).count() == 0
+
+
+def test_license_copies_close_together():
+    mit = [licenses.Template("MIT", licenses.TEMPLATES["MIT"])]
+    found = lambda t: [t[a:b].lower() for _, _, a, b, _ in licenses.scan_text(t, mit)]
+    notice = "released under the mit license"
+    assert found("This code is under the GPL no more. Released under the MIT License. Docs are released under the MIT License under CC.") == [notice] * 2
+    assert found("Under the " + "Released under the MIT License. " * 3) == [notice] * 3
+    assert found(f"{notice} " * 5000) == [notice] * 5000
