@@ -1,6 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
-Texts become templates: names (capitalised, not upper-case words inside a sentence), numbers and units turn into typed
+Texts become templates: names (capitalised, not upper-case words; at the start of a
+sentence unless it is a common opener), numbers and units turn into typed
 placeholders that remember the value they replace, everything else is lower-cased and stripped of
 punctuation.  Windows of WINDOW template words of documents are hash-joined with those of the benchmark
 items.  Matched windows are grouped by the diagonal (position in the document minus position in the item),
@@ -36,7 +37,9 @@ PIECE = 2000
 NAME, NUMBER, UNIT = "\ue001", "\ue002", "\ue003"
 UNITS = "km|kg|cm|mm|mg|ml|lb|lbs|oz|ft|mi|mph|kmh|hz|khz|mhz|ghz|kb|mb|gb|tb|kw|kwh|metres|meters|miles|kilometres|kilometers|grams|kilograms|litres|liters|seconds|minutes|hours|days|weeks|months|years|percent|dollars|euros|pounds|degrees"
 SLOT = f"[{NAME}-{UNIT}]"
-NAME_PATTERN = r"(\p{Lu}(?<=[\p{Ll}\p{N},;:] \p{Lu})\p{Ll}[\p{L}'’-]*+)"
+# A capitalised word is a name inside a sentence, and at any other place unless it is one of these.
+OPENERS = "A|About|After|All|Also|Although|An|And|Any|Are|As|At|Be|Because|Before|Between|But|By|Can|Could|Did|Do|Does|Each|Either|Every|Find|For|From|Given|Had|Has|Have|He|Hence|Her|Here|His|How|However|If|In|Is|It|Its|Let|May|Might|Most|Must|My|No|Not|Now|Of|On|One|Or|Our|Over|She|Should|Since|So|Some|Such|That|The|Their|Then|There|These|They|This|Those|Though|Thus|To|Two|Under|Until|Was|We|Were|What|When|Where|Which|While|Who|Whose|Why|Will|With|Would|You|Your"
+NAME_PATTERN = rf"((?=\p{{Lu}})(?<![\p{{L}}\p{{N}}]|[\p{{L}}\p{{N}}]['’-])(?:(?<=[\p{{Ll}}\p{{N}},;:] )|(?!(?:{OPENERS})(?![\p{{L}}'’-])))\p{{Lu}}\p{{Ll}}[\p{{L}}'’-]*+)"
 JUNK_PATTERN = rf"(?:[^\p{{L}}\p{{N}}{NAME}](?!(?<=\p{{N}}[.,:/-])\p{{N}}))++"
 NUMBER_PATTERN = r"(\p{N}(?<![\p{L}\p{N}]\p{N})[\p{N}.,:/-]*+)"
 UNIT_PATTERN = rf"({NUMBER}[\p{{N}}.,:/-]++) ?({UNITS})(?!\p{{L}})"

@@ -174,6 +174,13 @@ def test_decontam_edges(spark, items):
     assert decontam.scan(rows, items.limit(0)).count() == 0 and decontam.remove(rows, items.limit(0)).count() == 7
 
 
+def test_names_that_open_sentences(spark):
+    item = "Tom has 12 apples. He gives 5 to Ann. Tom then buys 7 more apples. How many apples does Tom have now?"
+    own = spark.createDataFrame([(1, item)], "item_id long, text string")
+    got = matches(spark, own, f'Solve this: "{item.replace("Tom", "Jerry")}" It is easy.')
+    assert got[1].coverage == 1.0 and got[1].reparameterised
+
+
 # -- licenses --------------------------------------------------------------------------------------
 
 
