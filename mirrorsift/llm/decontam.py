@@ -1,7 +1,7 @@
 """Benchmark decontamination by template canonicalisation, in SQL functions only.
 
-Texts become templates: names (capitalised, not upper-case words; at the start of a
-sentence unless it is a common opener), numbers and units turn into typed
+Texts become templates: names (capitalised, not upper-case words; at the start of a sentence unless it is a
+common opener), numbers and units turn into typed
 placeholders that remember the value they replace, everything else is lower-cased and stripped of
 punctuation.  Windows of WINDOW template words of documents are hash-joined with those of the benchmark
 items.  Matched windows are grouped by the diagonal (position in the document minus position in the item),
@@ -9,12 +9,14 @@ one group per place where the item may stand, and a place counts only if its slo
 values of the item must have become equal values of the document.  An item whose consistent windows cover
 MIN_SIMILARITY of all its windows contaminates the document, verbatim or re-parameterised.
 
-Windows of items with fewer than MIN_LITERALS words outside slots say nothing and are left out.  The
-item windows are broadcast only up to MAX_BROADCAST of them, counted first; beyond that the join shuffles.
+Windows with fewer than MIN_LITERALS words outside slots would match anything: they are matched with their
+names as words or, where those are too few, with all their values.  Windows with names are also matched with
+the names as words, so that case does not matter in a verbatim copy.  Items shorter than a window are matched
+as whole sequences with their values.  The item windows are broadcast only up to MAX_BROADCAST of them, counted first; beyond that the join shuffles.
 Texts are cut into pieces of PIECE words that overlap by a window, so a long text never becomes one array
 of windows.
 
-Defined results: null and short texts have no windows and match nothing; rows with equal doc_id are one
+Defined results: null texts match nothing; short texts hold at most short items; rows with equal doc_id are one
 document, items with equal item_id but different texts are judged apart and reported under their id with
 the highest coverage; repeated rows change nothing; extra columns are ignored by scan() and kept by
 remove(); empty tables give no rows and remove nothing.
@@ -55,41 +57,73 @@ def canonical(text: Column) -> Column:
 
 
 def windows(rows: DataFrame, keys: list[str], text_col: str, window: int = WINDOW) -> DataFrame:
-    """keys, at, h (hash of the template), t0.. (template tokens), o0.. (tokens with values) of each window of each row."""
+    """keys, at, h (hash of a reading), t0.. (template tokens), n0.. (names as words), o0.. (tokens with values) of each window and reading."""
     words = r"(?:\S++ ?+){1,%d}+"
     piece = rf"(?=({words % (PIECE + window - 1)})){words % PIECE}"
     pieces = rows.select(*keys, F.posexplode(F.regexp_extract_all(canonical(F.col(text_col)), F.lit(piece), F.lit(1))).alias("piece", "part"))
-    # own: tokens with the values of slots; tokens: the template.  Their windows are zipped from shifted
-    # arrays and hashed as five columns, so no window is built as text and no array is copied per window
-    slotted = F.col("part").contains(NAME) | F.col("part").contains(NUMBER)
-    template = F.when(slotted, F.regexp_replace("part", rf"({SLOT})\S+", "$1")).otherwise(F.col("part"))
-    split = pieces.select(*keys, "piece", F.split(F.rtrim("part"), " ").alias("own"), F.split(F.rtrim(template), " ").alias("tokens")).where(F.size("tokens") >= window)
-    shifted = [F.slice(c, i + 1, F.size("tokens") - (window - 1)).alias(f"{c[0]}{i}") for c in ("tokens", "own") for i in range(window)]
+    # own: tokens with the values of slots; tokens: the template; named: names as words.  Their windows are zipped
+    # from shifted arrays and hashed as columns, so no window is built as text and no array is copied per window
+    part = F.rtrim("part")
+    plain = F.when(part.contains(NAME), F.regexp_replace(part, NAME, "")).otherwise(part)
+    slotted = part.contains(NAME) | part.contains(NUMBER)
+    numbers = lambda c: F.when(c.contains(NUMBER), F.regexp_replace(c, rf"({SLOT})\S+", "$1")).otherwise(c)
+    template = F.when(slotted, F.regexp_replace(part, rf"({SLOT})\S+", "$1")).otherwise(part)
+    columns = {"t": template, "n": numbers(plain), "o": plain}
+    split = pieces.select(*keys, "piece", *(F.split(c, " ").alias(k) for k, c in columns.items())).where(F.size("t") >= window)
+    shifted = [F.slice(c, i + 1, F.size("t") - (window - 1)).alias(f"{c}{i}") for c in columns for i in range(window)]
     placed = split.select(*keys, "piece", F.posexplode(F.arrays_zip(*shifted)).alias("k", "w"))
-    fields = [F.col(f"w.{c}{i}").alias(f"{c}{i}") for c in "to" for i in range(window)]
-    return placed.select(*keys, (F.col("piece") * PIECE + F.col("k")).alias("at"), F.xxhash64(*(F.col(f"w.t{i}") for i in range(window))).alias("h"), *fields)
+    fields = [F.col(f"w.{c}{i}").alias(f"{c}{i}") for c in columns for i in range(window)]
+    flat = placed.select(*keys, (F.col("piece") * PIECE + F.col("k")).alias("at"), *fields)
+    hashed = lambda c: F.xxhash64(*(F.col(f"{c}{i}") for i in range(window)))
+    slots = lambda c, *marks: sum((F.col(f"{c}{i}").isin(*marks).cast("int") for i in range(window)), F.lit(0))
+    # a template of too few words says nothing: such a window is read with its names, then with all its values
+    few = window - MIN_LITERALS
+    readings = F.array_compact(F.array(
+        F.when(slots("t", NAME, NUMBER, UNIT) <= few, hashed("t")),
+        F.when(slots("n", NUMBER, UNIT) > few, hashed("o")).when(slots("t", NAME) > 0, hashed("n")),
+    ))
+    return flat.select("*", F.explode(readings).alias("h"))
 
 
 def _array(letter: str, window: int, suffix: str = "") -> Column:
     return F.array(*(F.col(f"{letter}{i}{suffix}") for i in range(window)))
 
 
-def _slots(letter: str, window: int, suffix: str = "") -> Column:
-    return F.filter(_array(letter, window, suffix), lambda x: F.substring(x, 1, 1).isin(NAME, NUMBER, UNIT))
+def _tokens(rows: DataFrame, text_col: str) -> DataFrame:
+    """rows with whole: all tokens with their values, and n_tokens."""
+    own = F.regexp_replace(F.trim(canonical(F.col(text_col))), NAME, "")
+    return rows.withColumn("whole", own).withColumn("n_tokens", F.when(own == "", F.lit(0)).otherwise(F.size(F.split(own, " "))))
+
+
+def _short(texts: DataFrame, own: DataFrame, window: int) -> DataFrame:
+    """doc_id, item_id of items shorter than a window that stand word for word in a document."""
+    short = _tokens(own, "text").where((F.col("n_tokens") > 0) & (F.col("n_tokens") < window)).select("item_id", "whole", "n_tokens")
+    short = stage(short, "short-items")
+    found = texts.sparkSession.createDataFrame([], f"doc_id {dict(texts.dtypes)['doc_id']}, item_id {dict(own.dtypes)['item_id']}")
+    for (n,) in short.select("n_tokens").distinct().collect():
+        # every run of n tokens, of pieces that overlap
+        run = F.array_join(_array("o", n), " ")
+        held = windows(texts, ["doc_id"], "text", n).select("doc_id", run.alias("whole"))
+        found = found.union(held.join(short.where(F.col("n_tokens") == n), "whole").select("doc_id", "item_id"))
+    return found.distinct()
 
 
 def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", min_similarity: float = MIN_SIMILARITY, window: int = WINDOW) -> DataFrame:
     """doc_id, item_id, n_windows, n_matched, coverage, reparameterised for each item that a document contains."""
     own = items.select(F.col(item_col).alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null").distinct().withColumn("item_key", F.xxhash64("text"))
-    known = windows(own, ["item_id", "item_key"], "text", window).where(F.size(_slots("o", window)) <= window - MIN_LITERALS)
-    known = known.select("item_id", "item_key", F.col("at").alias("item_at"), "h", _array("t", window).alias("item_template"), _slots("o", window).alias("item_slots"))
+    known = windows(own, ["item_id", "item_key"], "text", window)
+    # the tokens that were hashed: a window of a document must have them in the same reading
+    hashed = F.when(F.col("h") == F.xxhash64(*(F.col(f"t{i}") for i in range(window))), _array("t", window)).when(F.col("h") == F.xxhash64(*(F.col(f"n{i}") for i in range(window))), _array("n", window)).otherwise(_array("o", window))
+    known = known.select("item_id", "item_key", F.col("at").alias("item_at"), "h", hashed.alias("item_template"), _array("o", window).alias("item_own"))
     known = stage(known, "item-windows")
-    sizes = known.groupBy("item_id", "item_key").agg(F.count("*").alias("n_windows"))
+    sizes = known.groupBy("item_id", "item_key").agg(F.count_distinct("item_at").alias("n_windows"))
     small = known.count() <= MAX_BROADCAST
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where("doc_id is not null")
     held = windows(texts, ["doc_id"], "text", window)
-    hits = held.join(F.broadcast(known) if small else known, "h").where(_array("t", window) == F.col("item_template")).withColumn("slots", _slots("o", window))
-    pair = F.transform(F.arrays_zip("item_slots", "slots"), lambda x: F.struct(x["item_slots"].alias("item"), x["slots"].alias("doc")))
+    same = F.greatest(*(_array(c, window) == F.col("item_template") for c in "tno"))
+    hits = held.join(F.broadcast(known) if small else known, "h").where(same)
+    both = F.arrays_zip("item_template", "item_own", _array("o", window).alias("own"))
+    pair = F.transform(F.filter(both, lambda x: x["item_template"].isin(NAME, NUMBER, UNIT)), lambda x: F.struct(x["item_own"].alias("item"), x["own"].alias("doc")))
     places = hits.groupBy("doc_id", "item_id", "item_key", (F.col("at") - F.col("item_at")).alias("diagonal")).agg(
         F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs")
     )
@@ -99,6 +133,9 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
         F.size(F.array_distinct(F.flatten(F.collect_list("ats")))).cast("long").alias("n_matched"), F.max(changed).alias("reparameterised")
     )
     judged = per_item.join(sizes, ["item_id", "item_key"]).withColumn("coverage", F.col("n_matched") / F.col("n_windows")).where(F.col("coverage") >= min_similarity)
+    whole = F.lit(1).cast("long")
+    short = _short(texts, own, window).select("doc_id", "item_id", whole.alias("n_windows"), whole.alias("n_matched"), F.lit(1.0).alias("coverage"), F.lit(False).alias("reparameterised"))
+    judged = judged.select("doc_id", "item_id", "n_windows", "n_matched", "coverage", "reparameterised").union(short)
     best = F.max(F.struct("coverage", "n_windows", "n_matched", "reparameterised")).alias("best")
     return judged.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.n_windows", "best.n_matched", F.round("best.coverage", 6).alias("coverage"), "best.reparameterised")
 

@@ -179,6 +179,15 @@ def test_names_that_open_sentences(spark):
     own = spark.createDataFrame([(1, item)], "item_id long, text string")
     got = matches(spark, own, f'Solve this: "{item.replace("Tom", "Jerry")}" It is easy.')
     assert got[1].coverage == 1.0 and got[1].reparameterised
+    assert matches(spark, own, item.lower())[1].coverage == 1.0
+
+
+def test_items_of_few_words_outside_slots(spark):
+    texts = ["Who Wrote The Novel Pride And Prejudice In England", "Compute 12 + 35 - 7 * 2 / 4", "What is 12 + 35 - 7 * 2?", "Capital of Peru"]
+    own = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    for i, t in enumerate(texts):
+        assert set(matches(spark, own, f"some words before, {t} and after")) == {i}
+    assert not matches(spark, own, "what is 1 2 3 then, and compute 1 2 3 4 5 of the capital")
 
 
 # -- licenses --------------------------------------------------------------------------------------
