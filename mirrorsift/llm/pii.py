@@ -1,7 +1,8 @@
 """Personal data by a skip-chain conditional random field.
 
 Base spans (email, ip, card, phone) come from fixed patterns and always stay.  The field adds spans: its
-nodes are the base matches and the other tokens of a text that hold a digit or an at sign.  Neighbouring
+nodes are the base matches and the other tokens of a text that hold a digit or an at sign, digit groups that
+single spaces separate being one token; texts without base matches are judged, too.  Neighbouring
 nodes share a chain potential; distant nodes with the same key (the same last seven digits, or the same
 local part of an address) share a skip potential, so that a number written out once as a phone number is
 labelled as one wherever it is repeated in another form.  Base matches are observed; the labels of the
@@ -40,7 +41,9 @@ DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
-TOKEN = re.compile(r"\S+")
+TOKEN = re.compile(r"[0-9@]\S*+")
+GROUPS = re.compile(r"[+(]*[0-9][0-9().+-]*\Z")
+RUN_DIGITS = 19
 CUES = {"email": ("mail", "contact", "@"), "ip": ("ip", "host", "addr", "server"), "card": ("card", "visa", "credit", "iban", "account"), "phone": ("phone", "tel", "call", "fax", "mobile")}
 
 TRAIN_DOCS = 20_000
@@ -156,6 +159,48 @@ def _barred(own: str) -> tuple[int, ...]:
     return (3,) * card + (2,) * ip
 
 
+def _digits(own: str) -> str:
+    return re.sub(r"[^0-9]", "", own)
+
+
+def joined(text: str, tokens: list[tuple[int, int]], known: set[str]) -> list[tuple[int, int]]:
+    """The tokens, with digit groups that single spaces (and brackets or dots at them) separate joined to one number.
+
+    A run of up to RUN_DIGITS digits is one number.  In a longer one (a table, say) the groups that end as a
+    known number does, and only those, are joined.
+    """
+    runs: list[list[tuple[int, int]]] = []
+    out = []
+    for a, b in tokens:
+        if not GROUPS.match(text[a:b]):
+            out.append((a, b))
+        elif runs and text[runs[-1][-1][1] : a] in (" ", ") "):
+            runs[-1].append((a, b))
+        else:
+            runs.append([(a, b)])
+    tails: dict[str, list[str]] = {}
+    for k in known:
+        if len(k) >= TIE:
+            tails.setdefault(k[-TIE:], []).append(k)
+    for run in runs:
+        groups = [_digits(text[a:b]) for a, b in run]
+        if len(run) > 1 and TIE <= sum(map(len, groups)) <= RUN_DIGITS:
+            out.append((run[0][0], run[-1][1]))
+            continue
+        e = len(run)
+        while e > 0:
+            best, digits = e - 1, ""
+            for s in range(e - 1, -1, -1):
+                digits = groups[s] + digits
+                if len(digits) > RUN_DIGITS:
+                    break
+                if len(digits) >= TIE and any(k.endswith(digits) for k in tails.get(digits[-TIE:], ())):
+                    best = s
+            out.append((run[best][0], run[e - 1][1]))
+            e = best
+    return out
+
+
 def nodes_of(text: str, spans: list[tuple[int, int, int]]) -> list[Node]:
     """Base matches (of overlapping ones the first) and the other tokens with digits or at signs, in order."""
     covered: list[tuple[int, int, int]] = []
@@ -163,22 +208,25 @@ def nodes_of(text: str, spans: list[tuple[int, int, int]]) -> list[Node]:
         if not covered or s[0] >= covered[-1][2]:
             covered.append(s)
     found = [(a, b, k + 1) for a, k, b in covered]
+    free = []
     ends = iter(covered + [(len(text) + 1, 0, len(text) + 1)])
-    now = next(ends)
+    now, last = next(ends), 0
     for m in TOKEN.finditer(text):
-        if "@" not in m.group() and not DIGIT.search(m.group()):
-            continue
-        while now[2] <= m.start():
+        a, b = m.span()
+        while a > last and not text[a - 1].isspace():
+            a -= 1
+        last = b
+        while now[2] <= a:
             now = next(ends)
-        if now[0] < m.end():
+        if now[0] < b:
             continue
-        a, b = m.span()
         while a < b and not text[a].isalnum() and text[a] not in "+(":
             a += 1
         while b > a and not text[b - 1].isalnum():
             b -= 1
         if a < b:
-            found.append((a, b, -1))
+            free.append((a, b))
+    found += [(a, b, -1) for a, b in joined(text, free, {_digits(text[a:b]) for a, k, b in covered if k > 1})]
     found.sort()
     return [Node(a, b, k, _shape(text, a, b), _key(text[a:b]), _barred(text[a:b]) if k < 0 else ()) for a, b, k in found]
 
@@ -339,7 +387,7 @@ def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
             for value in b.column(1):
                 text = value.as_py() or ""
                 base = base_spans(text)
-                more = added_spans(text, base, field) if base else []
+                more = added_spans(text, base, field)
                 held = spans_text(base)
                 out.append((*(sum(s[1] == k for s in base) for k in range(4)), hashlib.sha256(held.encode()).hexdigest(), spans_text(base + more), len(more)))
             names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]

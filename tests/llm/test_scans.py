@@ -57,6 +57,19 @@ def test_many_repeats_make_a_hub():
     assert len(pii.added_spans(text, pii.base_spans(text), pii.default_field())) == 2000
 
 
+def test_field_joins_groups_of_digits():
+    text = "Call +1 (974) 555-3436 or, later, 974 555 3436. In a table: 11 22 33 44 55 66 77 974 555 3436 88 99 10"
+    added = [text[a:b] for a, k, b in pii.added_spans(text, pii.base_spans(text), pii.default_field()) if pii.KINDS[k] == "phone"]
+    assert added == ["974 555 3436"] * 2
+
+
+def test_field_needs_no_base_match(spark):
+    field = pii.default_field()
+    field.unary[1 + pii.KINDS.index("phone"), pii.LABELS.index("phone")] = 9.0  # the cue before a token
+    got = pii.scan(docs_of(spark, [(1, "my phone 974 555 3436", "s")]), field).first()
+    assert got.spans == "phone:9:21" and got.n_added == 1
+
+
 def test_pii_scan(spark):
     rows = [(1, None, "s"), (2, "", "s"), (3, "x@y.de 4111 1111 1111 1111 é +49 30 1234567 8.8.8.8", "s"), (3, "x@y.de 4111 1111 1111 1111 é +49 30 1234567 8.8.8.8", "s"), (None, "é a@b.cd", None), (5, "clean", "s")]
     got = sorted(pii.scan(docs_of(spark, rows)).collect(), key=lambda x: (x.doc_id is None, x.doc_id))
