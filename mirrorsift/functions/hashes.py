@@ -48,27 +48,70 @@ def frame_similarity(a: Column, b: Column, bits_per_frame: int = 36, rows_per_fr
 # -- pixels ----------------------------------------------------------------------------------------
 
 
-def resized(grey: np.ndarray, height: int, width: int) -> np.ndarray:
-    """Area means of a grey image on a height x width grid."""
-    def cells(n: int, m: int) -> np.ndarray:
-        edge = np.linspace(0, n, m + 1)
-        i = np.arange(n)
-        return np.clip(np.minimum(edge[1:, None], i + 1) - np.maximum(edge[:-1, None], i), 0, None) / (n / m)
+def _weights(n: int, m: int, kernel, support: float, smooth: bool = True) -> np.ndarray:
+    """The m x n matrix that resamples n pixels to m; smooth widens the kernel where pixels are left out."""
+    scale = n / m
+    wide = max(scale, 1.0) if smooth else 1.0
+    centre = (np.arange(m)[:, None] + 0.5) * scale
+    at = np.arange(n)[None, :] + 0.5
+    # the window of each output pixel is rounded to whole pixels
+    low, high = np.floor(centre - support * wide + 0.5), np.floor(centre + support * wide + 0.5)
+    inside = (at - 0.5 >= np.maximum(low, 0)) & (at - 0.5 < np.minimum(high, n))
+    w = np.where(inside, kernel((at - centre) / wide), 0.0)
+    return w / w.sum(axis=1, keepdims=True)
 
-    return cells(grey.shape[0], height) @ grey.astype(float) @ cells(grey.shape[1], width).T
 
+def _lanczos(x: np.ndarray) -> np.ndarray:
+    return np.where(np.abs(x) < 3, np.sinc(x) * np.sinc(x / 3), 0.0)
 
-def average_bits(grey: np.ndarray, side: int = 8) -> np.ndarray:
-    small = resized(grey, side, side)
+
+def _round(x: np.ndarray) -> np.ndarray:
+    return np.clip(np.floor(x + 0.5), 0, 255)
+
+
+def resized(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """Lanczos resampling of an image (rows, columns and perhaps channels) of bytes, columns first."""
+    across, down = _weights(image.shape[1], width, _lanczos, 3.0), _weights(image.shape[0], height, _lanczos, 3.0)
+    return _round(np.tensordot(down, _round(np.moveaxis(np.tensordot(across, image, (1, 1)), 0, 1)), (1, 0)))
+
+
+def shrunk(image: np.ndarray, width: int = 320, height: int = 240) -> np.ndarray:
+    """A frame larger than width x height made to fit, by linear interpolation between the nearest pixels."""
+    h, w = image.shape[:2]
+    if w <= width and h <= height:
+        return image
+    scale = min(width / w, height / h)
+
+    def sides(n: int, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        at = np.clip((np.arange(m) + 0.5) * n / m - 0.5, 0, n - 1)
+        low = np.floor(at).astype(int)
+        return low, np.minimum(low + 1, n - 1), at - low
+
+    (t, b, y), (left, right, x) = sides(h, max(1, int(h * scale))), sides(w, max(1, int(w * scale)))
+    y, x = y.reshape(-1, *[1] * (image.ndim - 1)), x.reshape(1, -1, *[1] * (image.ndim - 2))
+    rows = image[t] * (1 - y) + image[b] * y
+    return _round(rows[:, left] * (1 - x) + rows[:, right] * x)
+
+
+def grey(image: np.ndarray) -> np.ndarray:
+    """Luma of an image with red, green and blue channels; other images have one channel."""
+    if image.ndim == 2 or image.shape[2] < 3:
+        return image.reshape(*image.shape[:2], -1)[..., 0]
+    # fixed values: the weights of red, green and blue in 65536ths
+    return np.floor((image[..., 0] * 19595 + image[..., 1] * 38470 + image[..., 2] * 7471 + 32768) / 65536)
+
+
+def average_bits(image: np.ndarray, side: int = 8) -> np.ndarray:
+    small = resized(grey(image), side, side)
     return (small > small.mean()).ravel()
 
 
-def dct_bits(grey: np.ndarray, side: int = 8, factor: int = 4) -> np.ndarray:
+def dct_bits(image: np.ndarray, side: int = 8, factor: int = 4) -> np.ndarray:
     """Low frequencies of the cosine transform over their median."""
     n = side * factor
     k = np.arange(n)
     basis = np.cos(np.pi * np.outer(k[:side], 2 * k + 1) / (2 * n))
-    low = basis @ resized(grey, n, n) @ basis.T
+    low = basis @ resized(grey(image), n, n) @ basis.T
     return (low > np.median(low)).ravel()
 
 
@@ -77,12 +120,23 @@ def as_long(bits: np.ndarray) -> int:
     return value - (1 << 64) if value >= 1 << 63 else value
 
 
-def hash_pixels(frames: pd.DataFrame, side: int = 8) -> pd.DataFrame:
-    """ahash and phash for rows of height, width, n_channels and data (bytes of Spark's image source)."""
+def _images(rows: pd.DataFrame):
+    for h, w, c, data in zip(rows["height"], rows["width"], rows["n_channels"], rows["data"], strict=True):
+        # the source has blue, green, red
+        image = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c).astype(float)
+        yield image[..., 0] if c == 1 else image[..., 2::-1]
+
+
+def hash_pixels(rows: pd.DataFrame, side: int = 8) -> pd.DataFrame:
+    """ahash and phash, of the image brought to 256 x 256, for rows of height, width, n_channels and data (bytes of Spark's image source)."""
     out = []
-    for h, w, c, data in zip(frames["height"], frames["width"], frames["n_channels"], frames["data"], strict=True):
-        pixels = np.frombuffer(data, dtype=np.uint8).reshape(h, w, c).astype(float)
-        # rows of that source are blue, green, red
-        grey = pixels[..., 0] if c == 1 else pixels[..., 0] * 0.114 + pixels[..., 1] * 0.587 + pixels[..., 2] * 0.299
-        out.append((as_long(average_bits(grey, side)), as_long(dct_bits(grey, side))))
+    for image in _images(rows):
+        even = resized(image, 256, 256)
+        out.append((as_long(average_bits(even, side)), as_long(dct_bits(even, side))))
     return pd.DataFrame(out, columns=["ahash", "phash"]).astype("int64")
+
+
+def hash_frames(rows: pd.DataFrame, side: int = 6) -> pd.DataFrame:
+    """phash of video frames; the small variant (side 6) shrinks large frames first."""
+    out = [as_long(dct_bits(shrunk(image) if side == 6 else image, side)) for image in _images(rows)]
+    return pd.DataFrame({"phash": np.array(out, dtype=np.int64)})

@@ -20,31 +20,77 @@ def seq_ratio_text(a: str, b: str, autojunk: bool = True) -> float:
     return SequenceMatcher(None, a, b, autojunk).ratio() * 100
 
 
-def sampled_ratio_text(a: str, b: str) -> float:
-    """Mean over five probes of a of the best ratio to any window of b."""
+def positions(text: str) -> dict[str, int]:
+    """A bit mask of the places of each character."""
+    out: dict[str, int] = {}
+    for i, c in enumerate(text):
+        out[c] = out.get(c, 0) | 1 << i
+    return out
+
+
+def common_length(masks: dict[str, int], size: int, other: str) -> int:
+    """Length of the longest common subsequence with ``other`` of the text of these masks, a word of bits at a time."""
+    full = (1 << size) - 1
+    row = full
+    for c in other:
+        if c in masks:
+            hit = row & masks[c]
+            row = (row + hit | row - hit) & full
+    return size - row.bit_count()
+
+
+def sampled_ratio_text(a: str, b: str, least: float = 0.0) -> float:
+    """Mean over five probes of a of the best ratio to any window of b, in percent; 0 where it is under ``least``.
+
+    Matching blocks make a common subsequence, so the longest one bounds a window's ratio: windows that cannot
+    beat the best are not matched, nor are pairs whose bounds add up to less than ``least``.
+    """
     size = len(a)
     windows = [b[i : i + CHUNK] for i in range(0, len(b), STEP)]
-    best = []
-    for at in (0, size // 4, size // 2, 3 * size // 4, max(0, size - CHUNK)):
-        if at >= size:
+    matchers: dict[int, SequenceMatcher] = {}
+    probes = [a[at : at + CHUNK] for at in (0, size // 4, size // 2, 3 * size // 4, max(0, size - CHUNK)) if at < size]
+    if not probes:
+        return 0.0
+    bounds = []
+    for probe in probes:
+        if any(probe == w for w in windows):
+            bounds.append([])
             continue
-        probe, top = a[at : at + CHUNK], 0.0
-        for window in windows:
-            matcher = SequenceMatcher(None, probe, window)
-            # the upper bounds only skip windows that cannot beat the best
-            if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top:
-                top = max(top, matcher.ratio())
-            if top == 1.0:
+        masks = positions(probe)
+        bounds.append(sorted(((2 * common_length(masks, len(probe), w) / (len(probe) + len(w)), -i) for i, w in enumerate(windows)), reverse=True))
+    most = [x[0][0] if x else 1.0 for x in bounds]
+    total = sum(most)
+    for k, (probe, ranked) in enumerate(zip(probes, bounds, strict=True)):
+        if total / len(probes) * 100 < least - 1e-9:
+            return 0.0
+        top = 0.0 if ranked else 1.0
+        for bound, i in ranked:
+            if bound <= top:
                 break
-        best.append(top)
-    return sum(best) / len(best) * 100 if best else 0.0
-
-
-def similarity_text(a: str | None, b: str | None) -> float:
+            matcher = matchers.get(-i)
+            if matcher is None:
+                matcher = matchers[-i] = SequenceMatcher(None, "", windows[-i])
+            matcher.set_seq1(probe)
+            top = max(top, matcher.ratio())
+        total += top - most[k]
+        most[k] = top
+    value = sum(most) / len(most) * 100
+    return value if value >= least else 0.0
+
+
+def similarity_text(a: str | None, b: str | None, least: float = 0.0) -> float:
+    """Percent similarity of two normalised texts; 0 where it is under ``least``."""
     if not a or not b or min(len(a), len(b)) / max(len(a), len(b)) < LEAST_RATIO:
         return 0.0
-    value = sampled_ratio_text(a, b) if max(len(a), len(b)) > LONG else seq_ratio_text(a, b)
-    return max(0.0, min(100.0, value))
+    if a == b:
+        value = 100.0
+    elif max(len(a), len(b)) > LONG:
+        value = sampled_ratio_text(a, b, least)
+    else:
+        matcher = SequenceMatcher(None, a, b)
+        value = matcher.ratio() * 100 if matcher.quick_ratio() * 100 >= least else 0.0
+    value = max(0.0, min(100.0, value))
+    return value if value >= least else 0.0
 
 
 @F.pandas_udf(T.DoubleType())
@@ -57,17 +103,17 @@ def sampled_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([sampled_ratio_text(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
 
 
-@F.pandas_udf(T.DoubleType())
-def _similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity_text(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+def text_similarity(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Percent similarity of two normalised texts, 0 where it is under ``least``; equal ones and hopeless lengths never reach Python."""
 
+    @F.pandas_udf(T.DoubleType())
+    def similarity(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similarity_text(p, q, least) for p, q in zip(x, y, strict=True)], dtype="float64")
 
-def text_similarity(a: Column, b: Column) -> Column:
-    """Percent similarity of two normalised texts; equal ones and hopeless lengths never reach Python."""
     la, lb = F.length(a), F.length(b)
     close = F.least(la, lb) / F.greatest(la, lb) >= LEAST_RATIO
     empty = a.isNull() | b.isNull() | (la == 0) | (lb == 0)
-    return F.when(empty, F.lit(0.0)).when(a == b, F.lit(100.0)).when(~close, F.lit(0.0)).otherwise(_similarity(F.when(close, a), F.when(close, b)))
+    return F.when(empty, F.lit(0.0)).when(a == b, F.lit(100.0)).when(~close, F.lit(0.0)).otherwise(similarity(F.when(close, a), F.when(close, b)))
 
 
 @F.pandas_udf(T.StringType())

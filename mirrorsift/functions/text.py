@@ -28,9 +28,10 @@ def strip(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
 
 
-def normalize(text: Column, limit: int = 50_000, least: int = 10) -> Column:
-    """Lower case, single spaces, no outer space; null for texts of under ``least`` characters."""
-    return F.when(F.length(text) >= least, F.regexp_replace(strip(F.lower(F.substring(text, 1, limit))), r"(?U)\s+", " "))
+def normalize(text: Column, limit: int | None = None, least: int = 10) -> Column:
+    """Lower case, single spaces, no outer space, of the whole text or its first ``limit`` characters; null for texts of under ``least``."""
+    some = text if limit is None else F.substring(text, 1, limit)
+    return F.when(F.length(text) >= least, F.regexp_replace(strip(F.lower(some)), r"(?U)\s+", " "))
 
 
 def analysable(text: Column, least: int = 10) -> Column:

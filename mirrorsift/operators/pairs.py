@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirrorsift.functions import files, text
+from mirrorsift.functions.shingles import band_keys
+from mirrorsift.runtime import again, configure, spread, stage
 
 FEATURES = ("size", "line_count", "first_lines_hash", "last_lines_hash", "word_sample", "stem_chars")
 
@@ -36,14 +38,26 @@ def sized_gates(a: str, b: str) -> Column:
     return (size >= 0.8) & named & ((col(a, "line_count") == 0) | (col(b, "line_count") == 0) | (lines >= 0.7))
 
 
+def rarest_first(features: DataFrame) -> DataFrame:
+    """path and word: of each sample its rarest words, so many that samples over half alike share one of them.
+
+    In the order of rarity the shared words of two samples are the rarest that can be, so common words are
+    keys only of samples that hold nothing else.
+    """
+    words = features.select("path", F.size("word_sample").alias("n"), F.explode("word_sample").alias("word"))
+    often = words.groupBy("word").agg(F.count("*").alias("files"))
+    ranked = words.join(often, "word").groupBy("path", "n").agg(F.array_sort(F.collect_list(F.struct("files", "word"))).alias("w"))
+    return ranked.select("path", F.explode(F.slice("w", F.lit(1), (F.col("n") - F.floor(F.col("n") / 2)).cast("int"))).alias("x")).select("path", F.col("x.word").alias("word"))
+
+
 def quick_pairs(features: DataFrame, *block: str) -> DataFrame:
     """(a, b), a < b: pairs with an equal head, an equal tail, or samples of words with a Jaccard over 0.5.
 
-    The alternatives are a union of equi-joins, each with its own key, so none is a nested loop.  Samples
-    over half alike share one of the words of a prefix of each (in one order), which is the join key.
+    The alternatives are a union of equi-joins, each with its own key, so none is a nested loop.
     """
     a, b = features.alias("a"), features.alias("b")
     same = lambda *cs: [F.col(f"a.{c}") == F.col(f"b.{c}") for c in (*block, *cs)]
+
     def under(conditions: list[Column]) -> Column:
         out = F.col("a.path") < F.col("b.path")
         for c in conditions:
@@ -52,23 +66,28 @@ def quick_pairs(features: DataFrame, *block: str) -> DataFrame:
 
     heads = a.join(b, under(same("first_lines_hash"))).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
     tails = a.join(b, under(same("last_lines_hash"))).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
-    ordered = F.array_sort("word_sample")
-    keyed = features.withColumn("word", F.explode(F.slice(ordered, 1, F.size("word_sample") - F.floor(F.size("word_sample") / 2).cast("int"))))
-    ka, kb = keyed.alias("a"), keyed.alias("b")
+    keyed = stage(features.join(rarest_first(features), "path"), "sample-words")
+    ka, kb = keyed.alias("a"), again(keyed).alias("b")
     alike = F.size(F.array_intersect("a.word_sample", "b.word_sample")) / F.size(F.array_union("a.word_sample", "b.word_sample")) > 0.5
     word = ka.join(kb, under(same("word")) & alike).select(F.col("a.path").alias("a"), F.col("b.path").alias("b"))
     return heads.union(tails).union(word).distinct()
 
 
-def shingle_candidates(df: DataFrame, size: int = 5, bands: int = 16, rows: int = 4, id_col: str = "path", text_col: str = "text") -> DataFrame:
-    """(a, b): pairs whose MinHash signatures of word shingles agree in a band.
+#: MinHash bands and minima a band: two texts that share half their shingles meet with a probability of 0.96.
+BANDS, ROWS = 24, 3
+
+
+def shingle_keys(df: DataFrame, id_col: str = "path", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """key, id: the MinHash buckets of each text."""
+    return df.select(F.col(id_col).alias("id"), F.explode(band_keys(F.col(text_col), bands, rows)).alias("key")).select("key", "id")
+
+
+def shingle_candidates(df: DataFrame, id_col: str = "path", text_col: str = "text", bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(head, id): the members of each bucket of two texts or more with its smallest, a row a member and head.
 
-    Each band's bucket links its members to the smallest one: a row a member, never all pairs of a bucket.
+    This is the first round of links.bucket_links(), which goes on with the members that do not match their head.
     """
-    words = F.filter(F.split(F.lower(text_col), r"\s+"), lambda w: w != "")
-    shingles = df.select(F.col(id_col).alias("id"), words.alias("w")).select("id", F.explode(F.when(F.size("w") < size, F.array(F.array_join("w", " "))).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - size + 1)), lambda i: F.array_join(F.slice("w", i, size), " ")))).alias("s"))
-    least = shingles.groupBy("id").agg(*(F.min(F.xxhash64(F.lit(i), "s")).alias(f"h{i}") for i in range(bands * rows)))
-    band = F.array(*(F.xxhash64(F.lit(j), *(F.col(f"h{j * rows + r}") for r in range(rows))) for j in range(bands)))
-    keyed = least.select("id", F.posexplode(band).alias("band", "key"))
-    heads = keyed.groupBy("band", "key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
-    return keyed.join(heads, ["band", "key"]).where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()
+    configure(df.sparkSession)
+    keyed = stage(shingle_keys(spread(df.select(id_col, text_col)), id_col, text_col, bands, rows), "shingle-keys")
+    heads = keyed.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("n")).where("n > 1")
+    return keyed.join(heads, "key").where("head < id").select(F.col("head").alias("a"), F.col("id").alias("b")).distinct()

@@ -30,6 +30,14 @@ class Params:
         """A copy with some values changed; unknown names are an error."""
         return dataclasses.replace(self, **changes)
 
+    def set(self, key: str, value) -> Params:
+        """A copy with one value changed."""
+        return self.update(**{key: value})
+
+    def reset(self, *keys: str) -> Params:
+        """A copy with the defaults of the named values, or of all."""
+        return type(self)() if not keys else self.update(**{k: getattr(type(self)(), k) for k in keys})
+
     def as_dict(self) -> dict:
         return dataclasses.asdict(self)
 

@@ -8,12 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorsift.functions import files, hashes, matchers, text
-from mirrorsift.operators import blocking, exact, leaders, outcome, pairs
+from mirrorsift.operators import blocking, exact, outcome, pairs
 from mirrorsift.operators.components import connected_components
 from mirrorsift.params import Params
 from mirrorsift.plans import engine
 from mirrorsift.plans.inputs import FILES, IMAGES, VIDEOS, images, table, text_files, videos
-from mirrorsift.runtime import stage
+from mirrorsift.runtime import again, new_path, spread, stage
+from mirrorsift.sources.scan import with_video_info
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -197,13 +198,19 @@ def line_features(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumns({c: F.round(c, 4) for c in ("avg_line_length", "line_length_variance")})
 
 
-@query()
+#: Words of every tenth line of a text, the first five of each, until over a hundred are held.
+_SAMPLES = """x AS (SELECT *, string_split(text, chr(10)) AS parts FROM f),
+y AS (SELECT *, list_transform(list_filter(range(1, len(parts)), lambda i: i % 10 = 0), lambda i: regexp_extract_all(lower(parts[i]), '[\\p{L}\\p{M}\\p{Nd}\\p{Nl}\\p{Pc}]+')) AS tens FROM x),
+smp AS (SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), tens), lambda acc, l: CASE WHEN len(acc) > 100 THEN acc ELSE list_distinct(list_concat(acc, l[1:5])) END) AS sample FROM y)"""
+
+
+@query(f"WITH {FILES}, {_SAMPLES} SELECT doc_id, array_to_string(list_sort(sample), ' ') AS words, CAST(coalesce(list_sum(list_transform(tens, lambda l: len(l))), 0) AS BIGINT) AS word_count FROM smp")
 def word_sample(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
     return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.word_sample(t)), " ").alias("words"), text.sampled_word_count(t).alias("word_count"))
 
 
-@query("""SELECT doc_id, CASE WHEN length(text) >= 10 THEN regexp_replace(trim(lower(substr(text, 1, 50000)), chr(9) || chr(10) || chr(13) || chr(32)), '[ \\t\\n\\r]+', ' ', 'g') END AS normal,
+@query("""SELECT doc_id, CASE WHEN length(text) >= 10 THEN regexp_replace(trim(lower(text), chr(9) || chr(10) || chr(13) || chr(32)), '[ \\t\\n\\r]+', ' ', 'g') END AS normal,
 CASE WHEN length(trim(text, chr(9) || chr(10) || chr(13) || chr(32))) >= 10 THEN md5(trim(text, chr(9) || chr(10) || chr(13) || chr(32))) END AS stripped_hash FROM documents""")
 def normalize_content(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
@@ -230,103 +237,120 @@ def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
     return exact.exact_groups(text_files(spark, d))
 
 
-@query(f"""WITH {FILES}, h AS (SELECT path, md5(substr(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), 1, 200)) AS content_hash FROM f)
+@query(f"""WITH {FILES}, h AS (SELECT path, md5(substr(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), 1, 100000)) AS content_hash FROM f)
 SELECT min(path) OVER (PARTITION BY content_hash) AS group_id, path, CAST(100.0 AS DOUBLE) AS similarity, 'exact' AS match_type, content_hash FROM h QUALIFY count(*) OVER (PARTITION BY content_hash) > 1""")
 def exact_dup_prefix(spark: SparkSession, d: str) -> DataFrame:
-    return exact.exact_groups(text_files(spark, d), prefix_chars=200)
+    """The shipped digest, which reads 100,000 characters."""
+    return exact.exact_groups(text_files(spark, d), prefix_chars=100_000)
 
 
-@query("""SELECT min(page_id) OVER (PARTITION BY md5(html)) AS group_id, page_id, CAST(100.0 AS DOUBLE) AS similarity, 'exact' AS match_type, md5(html) AS content_hash
-FROM pages WHERE html <> '' QUALIFY count(*) OVER (PARTITION BY md5(html)) > 1""")
+@query("""SELECT min(doc_id) OVER (PARTITION BY md5(text)) AS group_id, doc_id, CAST(100.0 AS DOUBLE) AS similarity, 'exact' AS match_type, md5(text) AS content_hash
+FROM documents WHERE text <> '' QUALIFY count(*) OVER (PARTITION BY md5(text)) > 1""")
 def exact_dup_bytes(spark: SparkSession, d: str) -> DataFrame:
-    return exact.exact_groups(table(spark, d, "pages").where("html <> ''"), F.md5(F.col("html").cast("binary")), id_col="page_id")
+    return exact.exact_groups(table(spark, d, "documents").where("text <> ''"), F.md5(F.col("text").cast("binary")), id_col="doc_id")
 
 
 # -- pairs and similarities ------------------------------------------------------------------------
 
 
-def _names(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.concat("s_name", F.lit(".txt")).alias("name"), F.col("s_nationkey").alias("n"))
+@query("""WITH s AS (SELECT p_partkey AS k, list_distinct(list_filter(string_split(regexp_replace(lower(p_name), '\\.[^.]*$', ''), ''), lambda c: c <> '')) AS c FROM part)
+SELECT a.k AS a, b.k AS b, round(CASE WHEN len(a.c) = 0 OR len(b.c) = 0 THEN 0 ELSE len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c)))::DOUBLE END, 9) AS similarity FROM s a JOIN s b ON a.k + 1 = b.k""")
+def name_similarity(spark: SparkSession, d: str) -> DataFrame:
+    """Names of parts that follow each other."""
+    p = table(spark, d, "part")
+    a, b = p.select(F.col("p_partkey").alias("a"), F.col("p_name").alias("na")), p.select(F.col("p_partkey").alias("b"), F.col("p_name").alias("nb"))
+    return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(pairs.name_similarity(F.col("na"), F.col("nb")), 9).alias("similarity"))
 
 
-@query("""WITH s AS (SELECT s_suppkey AS k, s_nationkey AS n, list_distinct(list_filter(string_split(lower(s_name), ''), lambda c: c <> '')) AS c FROM supplier)
-SELECT a.k AS a, b.k AS b, round(len(list_intersect(a.c, b.c)) / len(list_distinct(list_concat(a.c, b.c)))::DOUBLE, 9) AS similarity FROM s a JOIN s b ON a.n = b.n AND a.k < b.k""")
-def name_similarity(spark: SparkSession, d: str) -> DataFrame:
-    a, b = _names(spark, d).alias("a"), _names(spark, d).alias("b")
-    both = a.join(b, (F.col("a.n") == F.col("b.n")) & (F.col("a.k") < F.col("b.k")))
-    return both.select(F.col("a.k").alias("a"), F.col("b.k").alias("b"), F.round(pairs.name_similarity(F.col("a.name"), F.col("b.name")), 9).alias("similarity"))
+def _turns(spark: SparkSession, d: str) -> DataFrame:
+    """conv_id, turn, ta, tb: each turn of a conversation with the next."""
+    c = table(spark, d, "conversations").select("conv_id", "turn", "text")
+    after = c.select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("tb"))
+    return c.withColumnRenamed("text", "ta").join(after, ["conv_id", "turn"])
 
 
-@query(f"""WITH {FILES}, x AS (SELECT path, size, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines, substr(text, 1, 12) AS head FROM f)
-SELECT a.path AS a, b.path AS b, round(least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE, 9) AS size_ratio, round(least(a.lines, b.lines) / nullif(greatest(a.lines, b.lines), 0)::DOUBLE, 9) AS line_ratio
-FROM x a JOIN x b ON a.head = b.head AND a.path < b.path WHERE least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE >= 0.8""")
+_TURNS = "p AS (SELECT a.conv_id, a.turn, a.text AS ta, b.text AS tb FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"
+_LINES_OF = "CASE WHEN {0} = '' THEN 0 ELSE length({0}) - length(replace({0}, chr(10), '')) + 1 END"
+
+
+@query(f"""WITH {_TURNS}, x AS (SELECT *, strlen(ta) AS sa, strlen(tb) AS sb, {_LINES_OF.format("ta")} AS la, {_LINES_OF.format("tb")} AS lb FROM p)
+SELECT conv_id, turn, round(least(sa, sb) / nullif(greatest(sa, sb), 0)::DOUBLE, 9) AS size_ratio, round(least(la, lb) / nullif(greatest(la, lb), 0)::DOUBLE, 9) AS line_ratio FROM x""")
 def size_line_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    x = text_files(spark, d).select("path", "size", text.line_count(F.col("text")).alias("lines"), F.substring("text", 1, 12).alias("head"))
-    a, b = x.alias("a"), x.alias("b")
-    size, lines = files.ratio(F.col("a.size"), F.col("b.size")), files.ratio(F.col("a.lines"), F.col("b.lines"))
-    both = a.join(b, (F.col("a.head") == F.col("b.head")) & (F.col("a.path") < F.col("b.path"))).where(size >= 0.8)
-    return both.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), F.round(size, 9).alias("size_ratio"), F.round(lines, 9).alias("line_ratio"))
+    size, lines = (files.ratio(f(F.col("ta")), f(F.col("tb"))) for f in (F.octet_length, text.line_count))
+    return _turns(spark, d).select("conv_id", "turn", F.round(size, 9).alias("size_ratio"), F.round(lines, 9).alias("line_ratio"))
 
 
-@query()
-def quick_check_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return pairs.quick_pairs(stage(pairs.with_features(text_files(spark, d)), "features"))
+_QUICK = f"""{_SAMPLES}, ft AS (SELECT path, name, size, sample, string_split(text, chr(10))[1:len(parts) - 1] AS lines, trim(parts[len(parts)], chr(9) || chr(32)) AS more,
+  list_distinct(list_filter(string_split(regexp_replace(lower(name), '\\.[^.]*$', ''), ''), lambda c: c <> '')) AS chars FROM smp),
+g AS (SELECT path, name, size, sample, chars, CAST(len(lines) + (more <> '')::INTEGER AS DOUBLE) AS n_lines, list_transform(lines, lambda x: trim(x, chr(9) || chr(32))) AS clean, more FROM ft),
+h AS (SELECT *, CASE WHEN len(clean) > 0 THEN md5(array_to_string(clean[1:10], chr(10))) END AS head,
+  md5(array_to_string(CASE WHEN more <> '' THEN list_append(clean[greatest(1, len(clean) - 9):len(clean)], more) ELSE clean[greatest(1, len(clean) - 9):len(clean)] END, chr(10))) AS tail FROM g)"""
 
 
-@query("""WITH b AS (SELECT item_id, CAST(length(text) AS DOUBLE) AS n FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, CASE WHEN least(a.n, b.n) / greatest(a.n, b.n) < 0.3 THEN 'no' WHEN greatest(a.n, b.n) > 1000 THEN 'sampled' ELSE 'full' END AS matcher
-FROM b a JOIN b ON a.item_id % 10 = b.item_id % 10 AND a.item_id < b.item_id WHERE a.n > 0 AND b.n > 0""")
-def length_gate_pairs(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", F.length("text").alias("n"), (F.col("item_id") % 10).alias("block")).where("n > 0")
-    x, y = b.alias("x"), b.alias("y")
-    ratio, longest = files.ratio(F.col("x.n"), F.col("y.n")), F.greatest("x.n", "y.n")
-    both = x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.item_id") < F.col("y.item_id")))
-    gate = F.when(ratio < matchers.LEAST_RATIO, F.lit("no")).when(longest > matchers.LONG, F.lit("sampled")).otherwise(F.lit("full"))
-    return both.select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), gate.alias("matcher"))
+@query(f"""WITH {FILES}, {_QUICK}
+SELECT a.path AS a, b.path AS b FROM h a JOIN h b ON a.path < b.path AND least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE >= 0.8
+WHERE (a.name = b.name OR least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE >= 0.9 OR coalesce(len(list_intersect(a.chars, b.chars)) / nullif(len(list_distinct(list_concat(a.chars, b.chars))), 0)::DOUBLE, 0) >= 0.3)
+  AND (a.n_lines = 0 OR b.n_lines = 0 OR least(a.n_lines, b.n_lines) / greatest(a.n_lines, b.n_lines) >= 0.7)
+  AND (coalesce(a.head = b.head, false) OR a.tail = b.tail OR (len(a.sample) > 0 AND len(b.sample) > 0 AND len(list_intersect(a.sample, b.sample)) / len(list_distinct(list_concat(a.sample, b.sample)))::DOUBLE > 0.5))""")
+def quick_check_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.quick_pairs(stage(pairs.with_features(spread(text_files(spark, d))), "features"))
 
 
-def _benchmark_pairs(spark: SparkSession, d: str) -> DataFrame:
-    b = table(spark, d, "benchmark").select("item_id", "text", (F.col("item_id") % 20).alias("block"))
-    x, y = b.alias("x"), b.alias("y")
-    return x.join(y, (F.col("x.block") == F.col("y.block")) & (F.col("x.item_id") < F.col("y.item_id"))).select(F.col("x.item_id").alias("a"), F.col("y.item_id").alias("b"), F.col("x.text").alias("ta"), F.col("y.text").alias("tb"))
+@query(f"""WITH {_TURNS}, n AS (SELECT conv_id, turn, CAST(length(ta) AS DOUBLE) AS a, CAST(length(tb) AS DOUBLE) AS b FROM p)
+SELECT conv_id, turn, CASE WHEN least(a, b) = 0 OR least(a, b) / greatest(a, b) < 0.3 THEN 'no' WHEN greatest(a, b) > 1000 THEN 'sampled' ELSE 'full' END AS matcher FROM n""")
+def length_gate_pairs(spark: SparkSession, d: str) -> DataFrame:
+    a, b = F.length("ta"), F.length("tb")
+    hopeless = F.coalesce(files.ratio(a, b), F.lit(0.0)) < matchers.LEAST_RATIO
+    gate = F.when((F.least(a, b) == 0) | hopeless, F.lit("no")).when(F.greatest(a, b) > matchers.LONG, F.lit("sampled")).otherwise(F.lit("full"))
+    return _turns(spark, d).select("conv_id", "turn", gate.alias("matcher"))
 
 
 @query()
 def seq_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _benchmark_pairs(spark, d).select("a", "b", F.round(matchers.seq_ratio("ta", "tb"), 6).alias("similarity"))
+    return spread(_turns(spark, d)).select("conv_id", "turn", F.round(matchers.seq_ratio("ta", "tb"), 6).alias("similarity"))
 
 
 @query()
 def sampled_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return _benchmark_pairs(spark, d).select("a", "b", F.round(matchers.sampled_ratio("ta", "tb"), 6).alias("similarity"))
+    return spread(_turns(spark, d)).select("conv_id", "turn", F.round(matchers.sampled_ratio("ta", "tb"), 6).alias("similarity"))
 
 
-_BPAIRS = "FROM w a JOIN w b ON a.item_id % 20 = b.item_id % 20 AND a.item_id < b.item_id"
+@query()
+def text_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """The score of the engine: normalised texts, the matcher that their lengths ask for."""
+    a, b = (text.normalize(F.col(c)) for c in ("ta", "tb"))
+    return spread(_turns(spark, d)).select("conv_id", "turn", F.round(matchers.text_similarity(a, b), 6).alias("similarity"))
 
 
-@query(f"""WITH w AS (SELECT item_id, list_distinct(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')) AS ws FROM benchmark)
-SELECT a.item_id AS a, b.item_id AS b, round(100 * len(list_intersect(a.ws, b.ws)) / len(list_distinct(list_concat(a.ws, b.ws)))::DOUBLE, 6) AS similarity {_BPAIRS}""")
+@query()
+def similarity_details(spark: SparkSession, d: str) -> DataFrame:
+    out = engine.similarity_details(spread(_turns(spark, d))).drop("ta", "tb")
+    return out.withColumns({c: F.round(c, 6) for c in ("sequence_similarity", "vocabulary_similarity", "structure_similarity")})
+
+
+@query(f"""WITH {_TURNS}, w AS (SELECT conv_id, turn, list_distinct(list_filter(regexp_split_to_array(ta, '[ \\n]+'), lambda x: x <> '')) AS wa, list_distinct(list_filter(regexp_split_to_array(tb, '[ \\n]+'), lambda x: x <> '')) AS wb FROM p)
+SELECT conv_id, turn, round(coalesce(100 * len(list_intersect(wa, wb)) / nullif(len(list_distinct(list_concat(wa, wb))), 0)::DOUBLE, 0), 6) AS similarity FROM w""")
 def vocabulary_similarity(spark: SparkSession, d: str) -> DataFrame:
-    ws = lambda c: F.array_distinct(F.filter(F.split(c, "[ \n]+"), lambda x: x != ""))
-    return _benchmark_pairs(spark, d).select("a", "b", F.round(F.coalesce(100 * text.jaccard(ws(F.col("ta")), ws(F.col("tb"))), F.lit(0.0)), 6).alias("similarity"))
+    return engine.similarity_details(_turns(spark, d)).select("conv_id", "turn", F.round("vocabulary_similarity", 6).alias("similarity"))
+
 
+_VECTOR = """[CAST(len(list_filter(regexp_split_to_array({0}, '[.!?。！？]+'), lambda x: length(trim(x)) > 0)) AS DOUBLE), CAST(len(list_filter(regexp_split_to_array({0}, '[ \\n]+'), lambda x: x <> '')) AS DOUBLE), CAST(length({0}) AS DOUBLE)]"""
 
-@query(f"""WITH s AS (SELECT item_id, CAST(len(list_filter(regexp_split_to_array(text, '[.!?。！？]+'), lambda x: length(trim(x)) > 0)) AS DOUBLE) AS n,
-  CAST(len(list_filter(regexp_split_to_array(text, '[ \\n]+'), lambda x: x <> '')) AS DOUBLE) AS c, CAST(length(text) AS DOUBLE) AS z FROM benchmark),
-w AS (SELECT item_id, [n, c / greatest(n, 1.0), c / greatest(z, 1.0)] AS v FROM s)
-SELECT a.item_id AS a, b.item_id AS b, round(100 * list_cosine_similarity(a.v, b.v), 6) AS similarity {_BPAIRS}""")
+
+@query(f"""WITH {_TURNS}, s AS (SELECT conv_id, turn, {_VECTOR.format("ta")} AS a, {_VECTOR.format("tb")} AS b FROM p),
+w AS (SELECT conv_id, turn, [a[1], a[2] / greatest(a[1], 1.0), a[2] / greatest(a[3], 1.0)] AS a, [b[1], b[2] / greatest(b[1], 1.0), b[2] / greatest(b[3], 1.0)] AS b FROM s)
+SELECT conv_id, turn, round(CASE WHEN list_dot_product(a, a) = 0 OR list_dot_product(b, b) = 0 THEN 0 ELSE 100 * list_cosine_similarity(a, b) END, 6) AS similarity FROM w""")
 def structure_similarity(spark: SparkSession, d: str) -> DataFrame:
-    v = text.sentence_vector
-    return _benchmark_pairs(spark, d).select("a", "b", F.round(100 * text.cosine(v(F.col("ta")), v(F.col("tb"))), 6).alias("similarity"))
+    return engine.similarity_details(_turns(spark, d)).select("conv_id", "turn", F.round("structure_similarity", 6).alias("similarity"))
 
 
-@query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
-SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id""")
+@query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings)
+SELECT a.vec_id AS a, b.vec_id AS b, round(list_cosine_similarity(a.v, b.v), 6) AS similarity FROM e a JOIN e b ON a.vec_id + 1 = b.vec_id""")
 def cosine_pairs(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "embeddings").select("vec_id", "label", F.floor(F.col("vec_id") / 50).alias("block"), "embedding")
-    a, b = e.alias("a"), e.alias("b")
-    both = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.vec_id") < F.col("b.vec_id")))
-    return both.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), F.round(text.cosine(F.col("a.embedding"), F.col("b.embedding")), 6).alias("similarity"))
+    """Vectors that follow each other."""
+    e = table(spark, d, "embeddings")
+    a, b = e.select(F.col("vec_id").alias("a"), F.col("embedding").alias("va")), e.select(F.col("vec_id").alias("b"), F.col("embedding").alias("vb"))
+    return a.join(b, F.col("a") + 1 == F.col("b")).select("a", "b", F.round(text.cosine(F.col("va"), F.col("vb")), 6).alias("similarity"))
 
 
 @query(f"WITH {IMAGES} SELECT vec_id, ahash, phash FROM img")
@@ -335,12 +359,13 @@ def ahash(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"""WITH {IMAGES} SELECT a.vec_id AS a, b.vec_id AS b, CAST(hamming(a.ahash, b.ahash) AS INTEGER) AS ahash_bits, CAST(hamming(a.phash, b.phash) AS INTEGER) AS phash_bits
-FROM img a JOIN img b ON a.label = b.label AND a.vec_id // 50 = b.vec_id // 50 AND a.vec_id < b.vec_id""")
+FROM img a JOIN img b ON a.vec_id + 1 = b.vec_id""")
 def hamming_pairs(spark: SparkSession, d: str) -> DataFrame:
-    i = images(spark, d).withColumn("block", F.floor(F.col("vec_id") / 50))
-    a, b = i.alias("a"), i.alias("b")
+    """Images that follow each other."""
+    i = stage(images(spark, d).select("vec_id", "a1", "a2", "p1", "p2"), "image-hashes")
+    a, b = i.alias("a"), again(i).alias("b")
     h = lambda t, k: (F.col(f"{t}.{k}1"), F.col(f"{t}.{k}2"))
-    both = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.block") == F.col("b.block")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    both = a.join(b, F.col("a.vec_id") + 1 == F.col("b.vec_id"))
     return both.select(F.col("a.vec_id").alias("a"), F.col("b.vec_id").alias("b"), hashes.hamming(h("a", "a"), h("b", "a")).alias("ahash_bits"), hashes.hamming(h("a", "p"), h("b", "p")).alias("phash_bits"))
 
 
@@ -355,15 +380,16 @@ def image_similar_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _video_pairs(spark: SparkSession, d: str, denominator: str) -> DataFrame:
-    v = videos(spark, d).withColumn("block", F.col("video_id") % 10)
-    a, b = v.alias("a"), v.alias("b")
-    both = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.video_id") < F.col("b.video_id")))
+    """Videos that follow each other."""
+    v = stage(videos(spark, d).select("video_id", "frames"), "video-hashes")
+    a, b = v.alias("a"), again(v).alias("b")
+    both = a.join(b, F.col("a.video_id") + 1 == F.col("b.video_id"))
     return both.select(F.col("a.video_id").alias("a"), F.col("b.video_id").alias("b"), F.round(hashes.frame_similarity(F.col("a.frames"), F.col("b.frames"), denominator=denominator), 6).alias("similarity"))
 
 
 def _video_sql(cells: int) -> str:
     return f"""WITH {VIDEOS} SELECT a.video_id AS a, b.video_id AS b, round(CASE WHEN a.n <> b.n THEN 0 ELSE greatest(0, (1 - hamming(a.bits, b.bits) / (a.n * {cells})::DOUBLE) * 100) END, 6) AS similarity
-FROM vid a JOIN vid b ON a.video_id % 10 = b.video_id % 10 AND a.video_id < b.video_id"""
+FROM vid a JOIN vid b ON a.video_id + 1 = b.video_id"""
 
 
 @query(_video_sql(36))
@@ -393,21 +419,31 @@ def similarity_components(spark: SparkSession, d: str) -> DataFrame:
     return engine.component_groups(engine.image_edges(images(spark, d), LOOSE, "label")).withColumn("similarity", F.round("similarity", 6))
 
 
-@query(f"""WITH RECURSIVE {_IEDGES}, node AS (SELECT DISTINCT unnest([a, b]) AS p FROM edge),
+#: Greedy leaders by path over edges (a, b, similarity).
+_LEADERS = """node AS (SELECT DISTINCT unnest([a, b]) AS p FROM edge),
 ordered AS (SELECT p, row_number() OVER (ORDER BY p) AS k FROM node),
 step AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS lead
   UNION ALL SELECT o.k, CASE WHEN EXISTS (SELECT 1 FROM edge e WHERE e.b = o.p AND list_contains(s.lead, e.a)) THEN s.lead ELSE list_append(s.lead, o.p) END FROM step s JOIN ordered o ON o.k = s.k + 1),
 led AS (SELECT unnest(lead) AS l FROM (SELECT lead FROM step ORDER BY k DESC LIMIT 1)),
 claim AS (SELECT b, min(a) AS a FROM edge WHERE a IN (SELECT l FROM led) AND b NOT IN (SELECT l FROM led) GROUP BY b)
-SELECT c.a AS leader, c.b AS member, round(e.similarity, 6) AS similarity FROM claim c JOIN edge e ON e.a = c.a AND e.b = c.b UNION ALL SELECT DISTINCT a, a, 100.0 FROM claim""")
+SELECT c.a AS leader, c.b AS member, round(e.similarity, 6) AS similarity FROM claim c JOIN edge e ON e.a = c.a AND e.b = c.b UNION ALL SELECT DISTINCT a, a, 100.0 FROM claim"""
+
+
+@query(f"WITH RECURSIVE {_IEDGES}, {_LEADERS}")
 def image_leader_groups(spark: SparkSession, d: str) -> DataFrame:
-    return leaders.leader_clusters(engine.image_edges(images(spark, d), LOOSE, "label")).withColumn("similarity", F.round("similarity", 6))
+    found = engine.fingerprint_groups(images(spark, d), lambda x: engine.image_edges(x, LOOSE, "label"), "label", "a1", "a2", "p1", "p2")
+    return found.withColumn("similarity", F.round("similarity", 6))
 
 
-@query()
+_VEDGES = f"""{VIDEOS}, edge AS (SELECT a.path AS a, b.path AS b, (1 - hamming(a.bits, b.bits) / (a.n * 36)::DOUBLE) * 100 AS similarity
+FROM vid a JOIN vid b ON a.size_key = b.size_key AND a.duration_key = b.duration_key AND a.n = b.n AND a.path < b.path WHERE (1 - hamming(a.bits, b.bits) / (a.n * 36)::DOUBLE) * 100 >= 58)"""
+
+
+@query(f"WITH RECURSIVE {_VEDGES}, {_LEADERS}")
 def video_leader_groups(spark: SparkSession, d: str) -> DataFrame:
-    v = videos(spark, d).select(F.format_string("vid_%06d.mp4", "video_id").alias("path"), "frames", (F.col("video_id") % 2).alias("block"))
-    return leaders.leader_clusters(engine.video_edges(v, Params(similarity_threshold=58.0), block="block")).withColumn("similarity", F.round("similarity", 6))
+    """Videos in blocks of like size and duration."""
+    found = engine.find_duplicates(videos(spark, d), "video", Params(similarity_threshold=58.0))
+    return found.select(F.col("group_id").alias("leader"), F.col("path").alias("member"), F.round("similarity", 6).alias("similarity"))
 
 
 def _near(spark: SparkSession, d: str, compat: bool) -> DataFrame:
@@ -426,17 +462,13 @@ def near_dup_groups_compat(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def merged_duplicates(spark: SparkSession, d: str) -> DataFrame:
-    """Exact groups, and the groups of similar heads among the files outside them."""
-    f = text_files(spark, d)
+    """Exact groups, and the groups of similar files among the files outside them."""
+    f = stage(spread(text_files(spark, d).select("path", "size", "text")).withColumn("id", F.monotonically_increasing_id()), "files")
     same = stage(exact.exact_groups(f).drop("content_hash"), "exact")
-    rest = exact.without_members(f, same)
-    prefix = exact.exact_groups(rest, prefix_chars=100).drop("content_hash").withColumn("match_type", F.lit("similar"))
-    return same.unionByName(prefix)
-
-
-ORACLES["merged_duplicates"] = f"""WITH {FILES}, {_EXACT}, same AS (SELECT group_id, path, CAST(100.0 AS DOUBLE) AS similarity, 'exact' AS match_type FROM e WHERE n > 1),
-rest AS (SELECT path, md5(substr(text, 1, 100)) AS h FROM f WHERE path NOT IN (SELECT path FROM same))
-SELECT * FROM same UNION ALL SELECT min(path) OVER (PARTITION BY h), path, 100.0, 'similar' FROM rest QUALIFY count(*) OVER (PARTITION BY h) > 1"""
+    links = engine.text_links(exact.without_members(f, same).select("id", "size", "text"), Params().similarity_threshold)
+    name = f.select("id", "path")
+    named = links.join(name.toDF("a", "pa"), "a").join(name.toDF("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "similarity")
+    return same.unionByName(engine.component_groups(named).withColumn("match_type", F.lit("similar"))).withColumn("similarity", F.round("similarity", 4))
 
 
 @query()
@@ -448,18 +480,26 @@ def minhash_candidates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
+    """The files of groups of equal texts, with their facts."""
     f = text_files(spark, d).withColumn("char_count", text.char_count(F.col("text"))).withColumn("line_count", text.line_count(F.col("text")))
-    groups = exact.exact_groups(f, prefix_chars=60).select("group_id", "path", "similarity", "match_type")
+    groups = exact.exact_groups(f).select("group_id", "path", "similarity", "match_type")
     return f.drop("text").join(groups, "path")
 
 
-_MEMBERS = """m AS (SELECT min(path) OVER (PARTITION BY md5(substr(text, 1, 60))) AS group_id, *, length(text) AS char_count,
-  CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS line_count, count(*) OVER (PARTITION BY md5(substr(text, 1, 60))) AS n FROM f QUALIFY n > 1)"""
+_MEMBERS = """m AS (SELECT min(path) OVER (PARTITION BY md5(text)) AS group_id, *, length(text) AS char_count,
+  CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS line_count, count(*) OVER (PARTITION BY md5(text)) AS n FROM f QUALIFY n > 1)"""
 
 
-@query(f"WITH {FILES}, {_MEMBERS} SELECT count(DISTINCT group_id) AS n_groups, count(*) AS n_files FROM m")
+@query(f"WITH {FILES}, {_MEMBERS} SELECT count(DISTINCT group_id) AS n_groups, count(*) AS n_files, round(100 * count(*) / (SELECT count(*) FROM f)::DOUBLE, 6) AS rate FROM m")
 def duplicate_summary(spark: SparkSession, d: str) -> DataFrame:
-    return outcome.summary(_members(spark, d))
+    return outcome.summary(_members(spark, d), text_files(spark, d)).withColumn("rate", F.round("rate", 6))
+
+
+@query(f"WITH {FILES}, t AS (SELECT count(*) AS n, CAST(sum(size) AS BIGINT) AS s FROM f) SELECT n AS total_files, s AS total_size, round(s / n::DOUBLE, 6) AS avg_size, round(n / 8.0::DOUBLE, 6) AS files_per_sec, round(s / 8.0::DOUBLE / 1048576, 6) AS mb_per_sec FROM t")
+def scan_throughput(spark: SparkSession, d: str) -> DataFrame:
+    """Rates of a scan that took eight seconds."""
+    out = outcome.throughput(outcome.scan_stats(text_files(spark, d)), 8.0)
+    return out.withColumns({c: F.round(c, 6) for c in ("avg_size", "files_per_sec", "mb_per_sec")})
 
 
 @query(f"WITH {FILES}, {_MEMBERS} SELECT count(*) AS n_files, CAST(coalesce(sum(size), 0) AS BIGINT) AS bytes FROM m WHERE path <> group_id")
@@ -476,6 +516,8 @@ def _keep_query(name: str, strategy: str, order: str) -> None:
 
 _keep_query("keep_largest", "largest", "char_count DESC, path")
 _keep_query("keep_smallest", "smallest", "size, path")
+_SHOWN = "CASE " + " ".join(f"WHEN size < {1024 ** (i + 1)} THEN CAST(printf('%.1f', size / {1024**i}::DOUBLE) AS DOUBLE) * {1024**i}" for i in range(4)) + " ELSE size END"
+_keep_query("keep_smallest_displayed", "smallest_displayed", f"{_SHOWN}, path")
 _keep_query("keep_newest", "newest", "mtime DESC, path")
 _keep_query("keep_oldest", "oldest", "mtime, path")
 
@@ -487,17 +529,27 @@ def keep_manual(spark: SparkSession, d: str) -> DataFrame:
     return outcome.keepers(_members(spark, d), "manual", chosen).select("group_id", "path", "keep")
 
 
+#: A name that many files share, some of its numbered forms among the originals.
+_NAME_SQL = "CASE WHEN line_count % 3 = 0 THEN 'file_' || (line_count % 7 + 1) ELSE 'file' END || extension"
+_FREE = """names AS (SELECT DISTINCT name FROM g), most AS (SELECT name, max(c) AS most FROM g GROUP BY name HAVING max(c) > 0),
+free AS (SELECT name, k, row_number() OVER (PARTITION BY name ORDER BY k) AS c FROM (SELECT name, unnest(range(1, CAST(most + (SELECT count(*) FROM names) + 1 AS BIGINT))) AS k FROM most)
+  WHERE regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '(\\.[^.]*)$', 1) NOT IN (SELECT name FROM names))"""
+
+
 def _action_query(action: str, folder: str) -> None:
     def run(spark: SparkSession, d: str) -> DataFrame:
         m = _members(spark, d)
-        if folder:  # one name for many files, so that numbers are given
-            m = m.withColumn("path", F.concat("path", F.lit("/file"), F.col("extension")))
+        if folder:
+            named = F.when(F.col("line_count") % 3 == 0, F.concat(F.lit("file_"), (F.col("line_count") % 7 + 1).cast("string"))).otherwise(F.lit("file"))
+            m = m.withColumn("path", F.concat("path", F.lit("/"), named, F.col("extension")))
         return outcome.action_plan(outcome.keepers(m, "newest"), action, folder)
 
-    path = "path || '/file' || extension" if folder else "path"
-    target = f"'{folder}/' || 'file' || CASE WHEN k = 0 THEN '' ELSE '_' || k END || extension" if folder else "CAST(NULL AS VARCHAR)"
-    query(f"""WITH {FILES}, {_MEMBERS}, r AS (SELECT group_id, extension, {path} AS path, row_number() OVER (PARTITION BY group_id ORDER BY mtime DESC, {path}) AS rank FROM m),
-g AS (SELECT *, row_number() OVER (PARTITION BY extension ORDER BY path) - 1 AS k FROM r WHERE rank > 1) SELECT path, '{action}' AS action, {target} AS target, group_id FROM g""", f"action_plan_{action}")(run)
+    path = f"path || '/' || {_NAME_SQL}" if folder else "path"
+    ranked = f"""WITH {FILES}, {_MEMBERS}, r AS (SELECT group_id, {_NAME_SQL} AS name, {path} AS path, row_number() OVER (PARTITION BY group_id ORDER BY mtime DESC, {path}) AS rank FROM m),
+g AS (SELECT *, row_number() OVER (PARTITION BY name ORDER BY path) - 1 AS c FROM r WHERE rank > 1)"""
+    target = f"'{folder}/' || CASE WHEN k IS NULL THEN name ELSE regexp_replace(name, '\\.[^.]*$', '') || '_' || k || regexp_extract(name, '(\\.[^.]*)$', 1) END"
+    sql = f"{ranked}, {_FREE} SELECT path, '{action}' AS action, {target} AS target, group_id FROM g LEFT JOIN free USING (name, c)" if folder else f"{ranked} SELECT path, '{action}' AS action, CAST(NULL AS VARCHAR) AS target, group_id FROM g"
+    query(sql, f"action_plan_{action}")(run)
 
 
 _action_query("trash", "")
@@ -568,14 +620,37 @@ def results_view(spark: SparkSession, d: str) -> DataFrame:
     return outcome.results_view(_members(spark, d))
 
 
+ORACLES["export_results"] = ORACLES["results_view"]
+
+
+@query()
+def export_results(spark: SparkSession, d: str) -> DataFrame:
+    """The results view written as JSON and read back."""
+    shown = outcome.results_view(_members(spark, d))
+    path = new_path(spark, "export")
+    outcome.export(shown, path, "json")
+    return spark.read.schema(shown.schema).json(path)
+
+
+@query("""SELECT 'v' || p_partkey || '.mp4' AS path, CASE WHEN p_size > 10 THEN p_size * 16 ELSE 0 END AS width, CASE WHEN p_size > 10 THEN p_size * 9 ELSE 0 END AS height,
+round(CASE WHEN p_size > 10 THEN 25 ELSE 0 END::DOUBLE, 6) AS fps, CASE WHEN p_size > 10 THEN p_partkey + 1 ELSE 0 END AS frame_count,
+round(CASE WHEN p_size > 10 THEN (p_partkey + 1) / 25.0::DOUBLE ELSE greatest(1.0, CAST(floor(p_retailprice * 100000) AS BIGINT) / 1048576.0::DOUBLE / 2) END, 6) AS duration FROM part""")
+def video_info_join(spark: SparkSession, d: str) -> DataFrame:
+    """Path facts of videos joined with a table of metadata that knows some of them."""
+    p = table(spark, d, "part").withColumn("path", F.concat(F.lit("v"), F.col("p_partkey").cast("string"), F.lit(".mp4")))
+    facts = p.select("path", F.floor(F.col("p_retailprice") * 100000).alias("size"))
+    known = p.where("p_size > 10").select("path", (F.col("p_size") * 16).alias("width"), (F.col("p_size") * 9).alias("height"), F.lit(25.0).alias("fps"), (F.col("p_partkey") + 1).alias("frame_count"))
+    return with_video_info(facts, known).drop("size").withColumn("duration", F.round("duration", 6))
+
+
 @query()
 def components_by_union(spark: SparkSession, d: str) -> DataFrame:
-    """Connected components over plain ids: customers linked by a fixed rule."""
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("a"), (F.col("c_custkey") * 7 % 1500 + 1).alias("b")).where("a % 3 = 0")
-    return connected_components(c)
+    """Connected components over plain ids: each customer is linked to one of its ten."""
+    key = F.col("c_custkey")
+    return connected_components(table(spark, d, "customer").select(key.alias("a"), (key - key % 10 + (key * 7 + 3) % 10).alias("b")))
 
 
-ORACLES["components_by_union"] = """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey * 7 % 1500 + 1 AS b FROM customer WHERE c_custkey % 3 = 0),
+ORACLES["components_by_union"] = """WITH RECURSIVE e AS (SELECT c_custkey AS a, c_custkey - c_custkey % 10 + (c_custkey * 7 + 3) % 10 AS b FROM customer),
 m AS (SELECT a AS u, b AS v FROM e WHERE a <> b UNION ALL SELECT b, a FROM e WHERE a <> b),
 w AS (SELECT u AS node, u AS reached FROM m UNION SELECT w.node, m.v FROM w JOIN m ON m.u = w.reached)
 SELECT node, min(reached) AS component FROM w GROUP BY node"""

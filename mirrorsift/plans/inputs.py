@@ -47,13 +47,16 @@ IMAGES = """img AS (SELECT vec_id, label, printf('img_%06d.png', vec_id) AS path
 
 
 def videos(spark: SparkSession, sf_dir: str, frames: int = 5) -> DataFrame:
-    """Runs of embeddings as videos: a 36-bit hash a frame, from the first 36 numbers over their mean."""
+    """Runs of embeddings as videos: a 36-bit hash a frame, from the first 36 numbers over their mean; synthetic sizes and durations."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", F.slice("embedding", 1, 36).alias("v"))
     bits = e.select("vec_id", F.conv(hashes.above(F.col("v"), hashes.mean_of(F.col("v"))), 2, 10).cast("long").alias("frame"))
     ordered = F.array_sort(F.collect_list(F.struct("vec_id", "frame")))
-    return bits.groupBy(F.floor(F.col("vec_id") / frames).cast("long").alias("video_id")).agg(F.transform(ordered, lambda x: x["frame"]).alias("frames"))
+    v = bits.groupBy(F.floor(F.col("vec_id") / frames).cast("long").alias("video_id")).agg(F.transform(ordered, lambda x: x["frame"]).alias("frames"))
+    return v.select("video_id", "frames", F.format_string("vid_%06d.mp4", "video_id").alias("path"), (F.col("video_id") % 40 + 100).alias("size"), (F.col("video_id") % 90).cast("double").alias("duration"))
 
 
 VIDEOS = """fr AS (SELECT vec_id, array_to_string(list_transform(e, lambda x: CASE WHEN x > list_sum(e) / len(e) THEN '1' ELSE '0' END), '') AS bits
   FROM (SELECT vec_id, list_transform(embedding[1:36], lambda x: CAST(x AS DOUBLE)) AS e FROM embeddings)),
-vid AS (SELECT CAST(vec_id // 5 AS BIGINT) AS video_id, string_agg(bits, '' ORDER BY vec_id) AS bits, count(*) AS n FROM fr GROUP BY 1)"""
+runs AS (SELECT CAST(vec_id // 5 AS BIGINT) AS video_id, string_agg(bits, '' ORDER BY vec_id) AS bits, count(*) AS n FROM fr GROUP BY 1),
+vid AS (SELECT *, printf('vid_%06d.mp4', video_id) AS path, CAST(trunc(log10(video_id % 40 + 101) * 10) AS INTEGER) AS size_key,
+  CASE WHEN video_id % 90 = 0 THEN -1 ELSE CAST(trunc(video_id % 90 / 30.0::DOUBLE) AS INTEGER) END AS duration_key FROM runs)"""

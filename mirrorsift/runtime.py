@@ -38,6 +38,20 @@ def shared_dir(spark: SparkSession) -> str:
     return f"file://{made}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A table that is read in fewer pieces than there are cores, dealt over all of them; any other as it is.
+
+    Work per text is heavier than moving it, and a single row group cannot be split.  Only plain scans are
+    looked at, so no query runs to answer this; a large input has more pieces than cores and is never moved.
+    """
+    sc = df.sparkSession.sparkContext
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    if any(word in plan for word in ("Join", "Aggregate", "Window", "Sort", "Repartition", "Limit", "Generate")):
+        return df
+    cores = sc.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/mirrorsift/{label}-{uuid.uuid4().hex[:12]}"
 

@@ -126,10 +126,58 @@ def test_frame_similarity(spark):
 def test_pixel_hashes():
     import numpy as np
 
-    grey = np.add.outer(np.arange(64), np.arange(64)).astype(float)
-    assert hashes.average_bits(grey).sum() in range(24, 41)
-    assert (hashes.average_bits(grey) == hashes.average_bits(np.kron(grey, np.ones((2, 2))))).all()
-    assert (hashes.dct_bits(grey) == hashes.dct_bits(grey * 2)).all()
+    y, x = np.mgrid[0:64, 0:64]
+    grey = np.floor(60 + 50 * np.sin(x / 9.0) + 40 * np.cos(y / 7.0 + x / 31.0)).clip(0, 127)
+    large = np.kron(grey, np.ones((2, 2)))
+    for bits in (hashes.average_bits, hashes.dct_bits):
+        assert 16 <= bits(grey).sum() <= 48 and (bits(grey) != bits(large)).sum() <= 4
+    assert (hashes.dct_bits(grey) != hashes.dct_bits(grey * 2)).sum() <= 4
+    colour = np.stack([grey, grey, grey], axis=2)
+    assert (hashes.grey(colour) == grey).all() and (hashes.average_bits(colour) == hashes.average_bits(grey)).all()
+
+
+def test_resampling():
+    import numpy as np
+
+    flat = np.full((50, 30), 77.0)
+    assert (hashes.resized(flat, 8, 8) == 77).all() and hashes.shrunk(np.full((480, 640, 3), 9.0)).shape == (240, 320, 3)
+    ramp = np.tile(np.arange(0, 256, 4.0), (64, 1))
+    assert np.abs(hashes.resized(ramp, 8, 8)[0] - (np.arange(8) * 32 + 14)).max() <= 3
+    assert np.allclose(hashes._weights(100, 7, hashes._lanczos, 3.0).sum(axis=1), 1)
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.text("abc ", max_size=60), st.text("abc ", max_size=60))
+def test_common_length(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        last = row
+        row = [0]
+        for j, y in enumerate(b):
+            row.append(last[j] + 1 if x == y else max(last[j + 1], row[j]))
+    assert matchers.common_length(matchers.positions(a), len(a), b) == (row[-1] if a else 0)
+
+
+def plain_sampled(a, b):
+    best = []
+    for at in (0, len(a) // 4, len(a) // 2, 3 * len(a) // 4, max(0, len(a) - 500)):
+        if at < len(a):
+            best.append(max((SequenceMatcher(None, a[at : at + 500], b[i : i + 500]).ratio() for i in range(0, len(b), 250)), default=0.0))
+    return sum(best) / len(best) * 100 if best else 0.0
+
+
+def test_bounds_change_no_score():
+    import random
+
+    r = random.Random(6)
+    words = ["the", "river", "of", "stone", "bright", "walks", "under", "seven", "lamps"]
+    for n in range(12):
+        a = " ".join(r.choice(words) for _ in range(r.randrange(150, 420)))
+        b = "".join(c for c in a if r.random() > 0.02 * n) if n % 3 else " ".join(r.choice(words) for _ in range(300))
+        want = plain_sampled(a, b)
+        assert matchers.sampled_ratio_text(a, b) == pytest.approx(want)
+        assert matchers.sampled_ratio_text(a, b, 80.0) == pytest.approx(want if want >= 80 else 0.0)
+        assert matchers.similarity_text(a, b, want) == pytest.approx(want)
 
 
 def test_params(tmp_path):
@@ -139,6 +187,8 @@ def test_params(tmp_path):
     assert Params.load(tmp_path / "none.json") == Params()
     with pytest.raises(TypeError):
         p.update(unknown=1)
+    q = p.set("keep", "oldest")
+    assert q.keep == "oldest" and q.reset("keep") == p and q.reset() == Params()
 
 
 def test_extension_sets():
