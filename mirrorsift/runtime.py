@@ -52,17 +52,27 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def unused(name: str, columns) -> str:
+    """The name, lengthened until no column has it."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def new_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/mirrorsift/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     """Write df to the shared folder and read it back: cuts the lineage and survives lost executors.
 
-    A staged table has file statistics, so joins against it broadcast only when it is small.
+    A staged table has file statistics, so joins against it broadcast only when it is small.  small: a table of
+    few bytes a row and few rows is written by as many tasks as there are cores, not a file a shuffle partition.
     """
     spark = df.sparkSession
     path = new_path(spark, label)
+    df = df.coalesce(spark.sparkContext.defaultParallelism) if small else df
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._staged_path = path
