@@ -9,8 +9,9 @@ most 4 errors over three segments, either two segments have at most one error ea
 Candidates are joined on these keys and verified on all 64 bits.
 
 Defined results: null and blank texts have fingerprint zero and link like any other; rows with equal
-doc_id are one node and take the smallest fingerprint among them for the join back by row; extra columns
-are dropped; an empty table gives an empty result.  Texts of any length are read in blocks.
+doc_id are one document, so all their fingerprints are linked; rows without a doc_id link by their texts
+alone and take the smallest doc_id that these reach, or null; extra columns are dropped; an empty table
+gives an empty result.  Texts of any length are read in blocks.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mirrorsift.llm.words import encoded, word_blocks
 from mirrorsift.operators.components import connected_components
-from mirrorsift.runtime import configure, stage
+from mirrorsift.runtime import configure, spread, stage
 
 #: The generator polynomial of the Golay code, and the segments as (shift, bits).
 GOLAY_POLY = 0b110001110101
@@ -86,7 +87,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["doc_id", "fp"])
 
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return source.mapInArrow(run, "doc_id long, fp long")
+    return spread(source).mapInArrow(run, "doc_id long, fp long")
 
 
 # -- the code --------------------------------------------------------------------------------------
@@ -222,8 +223,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = stage(fingerprints(docs, id_col, text_col), "prints")
     firsts = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
-    # rows that share a doc_id are one document: their fingerprints are linked whatever their distance
-    same = prints.groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("b")).where("a <> b").select("a", "b")
+    # rows that share a doc_id are one document: all their fingerprints are linked, whatever their distance
+    several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
+    same = prints.select("doc_id", F.col("fp").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
     parts = fingerprint_components(firsts.select("fp"), bits)
     parts = connected_components_with(parts, same)
     labelled = firsts.join(parts.toDF("fp", "part"), "fp", "left").select("fp", "first", F.coalesce("part", "fp").alias("part"))
