@@ -9,8 +9,9 @@ source is aggregated; a hot source costs a row per task.
 Rates above MAX_RATE are drawn as a sum of equal parts, each with a hash of its own, so that exp(-rate)
 stays a normal number.  Defined results: a null source is a source of its own (weights give it under
 None); sources without a weight in a given mapping have rate 0; documents with equal doc_id get equal
-counts; a null doc_id is hashed as an empty string; null texts are copied as they are; extra columns are
-kept; an empty table gives no rows.
+counts; a row without a doc_id is drawn and ordered by a hash of all its columns, so only equal rows among
+those get equal counts; null texts are copied as they are; extra columns are kept; an empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorsift.runtime import stage
+from mirrorsift.runtime import stage, unused
 
 MAX_RATE = 32.0
 #: Terms of the distribution function that are kept: beyond 160 the tail at rate 32 is under 1e-50.
@@ -68,14 +69,18 @@ def poisson_mix(
     """
     spark = docs.sparkSession
     table = stage(rates(docs, weights, power, source_col), "rates")
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
+    own = docs[id_col].cast("string")
+    key = F.coalesce(own, F.md5(F.to_json(F.struct(*(docs[c] for c in docs.columns)))))
     drawn = docs.join(table, docs[source_col].cast("string").eqNullSafe(table["mix_source"]))
     draws = F.transform(F.sequence(F.lit(1), table["parts"]), lambda i: uniform(F.lit(str(seed)), i.cast("string"), key))
     count = F.aggregate(draws, F.lit(0), lambda s, u: s + F.size(F.filter(table["cdf"], lambda c: c <= u)))
     clash = [c for c in ("n_copies", "copy", "order_key") if c in docs.columns]
-    drawn = drawn.select(*(docs[c] for c in docs.columns if c not in clash), count.alias("n_copies")).where("n_copies > 0")
+    kept = [c for c in docs.columns if c not in clash]
+    row = unused("row_key", docs.columns)
+    drawn = drawn.select(*(docs[c] for c in kept), key.alias(row), count.alias("n_copies")).where("n_copies > 0")
     copies = drawn.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("n_copies"))))
-    copies = copies.withColumn("order_key", F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("copy").cast("string"), F.coalesce(F.col(id_col).cast("string"), F.lit("")))), 1, 16))
+    order = F.substring(F.md5(F.concat_ws(":", F.lit(f"{seed}-order"), F.col("copy").cast("string"), F.col(row))), 1, 16)
+    copies = copies.select(*(F.col(f"`{c}`") for c in kept), "n_copies", "copy", order.alias("order_key"))
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     return copies.repartition(n, F.col("order_key")).sortWithinPartitions("order_key")
 
