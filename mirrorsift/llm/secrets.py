@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mirrorsift.runtime import stage
+from mirrorsift.runtime import spread, stage, unused
 
 # The patterns of each kind, in the order in which kinds sort.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -114,17 +114,21 @@ def _judged(found: DataFrame, example_owners: int) -> DataFrame:
     copied = (F.col("n_owners") >= example_owners) | ((F.col("n_repos") >= EXAMPLE_REPOS) & ~F.col("s.random"))
     live = ~copied & ((F.col("s.kind") != "token") | F.col("s.random"))
     known = held.select("doc_id", "row_key", "s", F.col("s.hash").alias("hash")).join(counts, "hash")
-    span = F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("hash"), live.alias("live"), copied.alias("copied"))
+    span = F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("hash"), live.alias("live"), copied.alias("copied"), "n_owners", "n_repos")
     return known.groupBy("doc_id", "row_key").agg(F.collect_set(span).alias("judged"))
 
 
 def _found(docs: DataFrame, **columns) -> DataFrame:
-    found = candidates(docs, **columns)
+    found = candidates(spread(docs), **columns)
     return stage(found.withColumn("row_key", F.sha2(F.to_json("found"), 256)), "candidates")
 
 
 def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, **columns) -> DataFrame:
-    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied."""
+    """One row per row of docs: doc_id, n_assign, n_access, n_hex, base_sha256, spans, n_live, n_copied, ownership.
+
+    ownership has kind:start:end:owners:repositories:verdict of every candidate, the verdict being live, copied
+    (a widely held example) or plain (a token that does not look random).
+    """
     found = _found(docs, **columns)
     judged = stage(_judged(found, example_owners), "judged")
     base = F.filter("found", lambda x: x["kind"] != "token")
@@ -136,9 +140,12 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, **columns) -> Da
     inside = lambda x: F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
     added = F.coalesce(slim(F.filter("judged", lambda x: (x["kind"] == "token") & x["live"] & ~inside(x))), no_more)
     tally = lambda f: F.coalesce(F.size(F.array_distinct(F.transform(F.filter("judged", lambda x: x[f]), lambda x: x["hash"]))), F.lit(0)).cast("long")
+    verdict = lambda x: F.when(x["live"], F.lit("live")).when(x["copied"], F.lit("copied")).otherwise(F.lit("plain"))
+    told = lambda x: F.concat_ws(":", x["kind"], *(x[c].cast("string") for c in ("start", "end", "n_owners", "n_repos")), verdict(x))
+    ownership_ = F.coalesce(F.array_join(F.transform(F.array_sort("judged"), told), ","), F.lit(""))
     return both.select(
         "doc_id", *(f"n_{k}" for k in BASE), F.sha2(_joined(slim("base")), 256).alias("base_sha256"), _joined(F.concat(slim("base"), added)).alias("spans"),
-        F.when(F.col("judged").isNull(), F.lit(0)).otherwise(tally("live")).cast("long").alias("n_live"), F.when(F.col("judged").isNull(), F.lit(0)).otherwise(tally("copied")).cast("long").alias("n_copied"),
+        F.when(F.col("judged").isNull(), F.lit(0)).otherwise(tally("live")).cast("long").alias("n_live"), F.when(F.col("judged").isNull(), F.lit(0)).otherwise(tally("copied")).cast("long").alias("n_copied"), ownership_.alias("ownership"),
     )
 
 
@@ -146,11 +153,12 @@ def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mask: str = MA
     """docs (doc_id, text, source, ...) with the values of live secrets replaced in the text; copied examples stay."""
     judged = _judged(_found(docs), example_owners).select("doc_id", F.explode("judged").alias("s")).where("s.live")
     live = stage(judged.groupBy("doc_id").agg(F.collect_set("s.hash").alias("live")).withColumnRenamed("doc_id", "own_id"), "live")
-    both = docs.join(live, docs["doc_id"].eqNullSafe(live["own_id"]), "left")
+    own, mine = unused("own_id", docs.columns), unused("live", docs.columns)
+    both = docs.join(live.toDF(own, mine), F.col("doc_id").eqNullSafe(F.col(own)), "left")
     text = F.col("text")
     for _, pattern, cheap, group, _ in KINDS:
-        is_live = lambda x: F.array_contains("live", F.sha2(x["value"], 256))
+        is_live = lambda x: F.array_contains(mine, F.sha2(x["value"], 256))
         prefix = lambda x: x["match"].substr(F.lit(1), F.length(x["match"]) - F.length(x["value"]))
         hidden = lambda x: F.concat(x["gap"], F.when((x["match"] != "") & is_live(x), F.concat(prefix(x), F.lit(mask))).otherwise(x["match"]))  # noqa: E731, B023
         text = F.coalesce(F.array_join(F.transform(_pieces(text, pattern, cheap, group), hidden), ""), text)
-    return both.select(*(F.when(F.col("live").isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    return both.select(*(F.when(F.col(mine).isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
