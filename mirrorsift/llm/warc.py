@@ -134,10 +134,14 @@ def ranges(spans: list[tuple[int, int]], gap: int = GAP, most: int = RANGE) -> l
     return [tuple(x) for x in out]
 
 
-def read(index: DataFrame, folder: str | None = None) -> DataFrame:
-    """The records that the rows of an index name (all or a selection), parsed and checked against the index."""
+def read(index: DataFrame, folder: str | None = None, payload: bool = True) -> DataFrame:
+    """The records that the rows of an index name (all or a selection), parsed and checked against the index.
+
+    payload False checks payloads and leaves them where they were read.
+    """
     spark = configure(index.sparkSession)
     folder = folder or index._warc_folder
+    schema = RECORD if payload else RECORD.replace("payload binary, ", "")
 
     def run(key: tuple[pa.Scalar, ...], held: pa.Table) -> pa.Table:
         store, base = _open(folder)
@@ -155,20 +159,20 @@ def read(index: DataFrame, folder: str | None = None) -> DataFrame:
                     if digest != digests[i] or not revisit and hashlib.sha256(body).hexdigest() != digest:
                         raise ValueError(f"the record at {offsets[i]} of {key[0]} is not the one indexed")
                     own, other = (fields[f].removeprefix("<urn:page:").removesuffix(">") if f in fields else "" for f in ("warc-record-id", "warc-refers-to"))
-                    rows.append((int(own) if own else None, key[0].as_py(), offsets[i], fields["warc-target-uri"], None if revisit else body, None if revisit else len(body), digest, fields["warc-type"], int(other) if other else None))
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.binary(), pa.int64(), pa.string(), pa.string(), pa.int64()]
+                    rows.append((int(own) if own else None, key[0].as_py(), offsets[i], fields["warc-target-uri"], *([None if revisit else body] if payload else []), None if revisit else len(body), digest, fields["warc-type"], int(other) if other else None))
+        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), *([pa.binary()] if payload else []), pa.int64(), pa.string(), pa.string(), pa.int64()]
         cols = list(zip(*rows, strict=True))
-        names = [x.split()[0] for x in RECORD.split(", ")]
+        names = [x.split()[0] for x in schema.split(", ")]
         return pa.Table.from_arrays([pa.array(c, type=t) for c, t in zip(cols, types, strict=True)], names=names)
 
     cut = index.withColumn("slice", F.floor(F.col("offset") / SLICE))
-    return cut.select("archive", "slice", "offset", "length", "digest").groupBy("archive", "slice").applyInArrow(run, RECORD)
+    return cut.select("archive", "slice", "offset", "length", "digest").groupBy("archive", "slice").applyInArrow(run, schema)
 
 
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write pages and read all records back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     index = write(pages, **columns)
-    records = stage(read(index).drop("payload"), "records")
+    records = stage(read(index, payload=False), "records")
     responses = records.where("record_type = 'response' and page_id is not null").groupBy(F.col("page_id").alias("refers_to"), "payload_digest").agg(F.max("payload_bytes").alias("full"))
     both = records.join(responses, ["refers_to", "payload_digest"], "left")
     return both.select("page_id", F.coalesce("payload_bytes", "full").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
