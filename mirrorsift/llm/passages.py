@@ -5,14 +5,14 @@ double from a short one to the wanted one (7, 13 for 13 words).  At the first le
 by its minimizer, the smallest hash of a run of 7 words in it, so that about a quarter of the positions
 take part.  Each level counts its windows' hashes over all documents, pre-aggregated per block of
 documents, and leaves a bit map of the hashes that occur in two documents.  Bits shared by chance only
-let more windows through to the last level, which is exact on 64-bit hashes of the whole windows: there
-each repeated window gets its smallest doc_id, and later documents lose the words that it covers.  The
-doubling ends early when no candidate survives a level.
+let more windows through to the last level, which is exact on 128 bits of each whole window, two hashes from
+word ids of their own: there each repeated window gets its smallest doc_id, and later documents lose the words
+that it covers.  The doubling ends early when no candidate survives a level.
 
 What is gathered is bounded: a bucket of hashes is sized by the input (``bucket_bytes``) and every block
 sends a hash to it once; occurrences of the last level are dealt by (bucket, salt), with more salts where
-a bucket is hot; the bit map has at most 2**MAX_FILTER_BITS bits, and a fuller one prunes less but changes
-no result.
+a bucket is hot; so are the documents that meet their windows; the bit map has at most 2**MAX_FILTER_BITS
+bits, and a fuller one prunes less but changes no result.
 
 Defined results: null text has no words; rows without a doc_id neither remove nor lose words; rows with
 equal doc_id are one document, judged row by row; extra columns are dropped; empty tables give no rows.
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorsift.llm.words import encoded, word_blocks
-from mirrorsift.runtime import again, configure, stage
+from mirrorsift.runtime import again, configure, spread, stage
 
 MAX_FILTER_BITS = 31
 #: Words of a block of documents that is hashed and pre-aggregated at once.
@@ -41,19 +41,29 @@ BLOCK_WORDS = 1 << 21
 BUCKET_BYTES = 32 << 20
 #: Occurrences of repeated windows that one task of the last level may take.
 SALT_ROWS = 1 << 22
+#: Shares of BUCKET_BYTES that one group of documents may hold before it is split.
+SPLIT = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 class WordIds(dict):
     """64-bit ids of words, forgotten when there are too many."""
 
+    def __init__(self, seed: int = 0):
+        super().__init__()
+        self.seed = seed
+
     def __missing__(self, word: bytes) -> int:
         if len(self) > 1 << 20:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word)
+        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
         return value
 
 
+#: Seeds of the two word ids that make the 128 bits of a window.
+SEEDS = (0, 1)
+
+
 def ids_of(text: str | None, known: WordIds) -> np.ndarray:
     parts = [np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws)) for ws in word_blocks(encoded(text))]
     return parts[0] if len(parts) == 1 else np.concatenate(parts)
@@ -77,6 +87,15 @@ def rolled(ids: np.ndarray, length: int) -> np.ndarray:
     return mix(h)
 
 
+def hashes_at(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """The hash of the window at each of some positions."""
+    h = np.zeros(len(at), dtype=np.uint64)
+    for j in range(length):
+        h *= _ODD
+        h += ids[at + j]
+    return mix(h)
+
+
 def smallest(h: np.ndarray, width: int) -> np.ndarray:
     """The minimum of ``width`` consecutive values from each position."""
     n = len(h) - width + 1
@@ -136,24 +155,25 @@ def level_windows(ids: np.ndarray, left: np.ndarray, lengths: list[int], filters
     return at, own[at]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(word ids, words left, doc_id of each word) for blocks of documents; longer documents come in pieces that overlap."""
-    known, ids, docs, n = WordIds(), [], [], 0
+def blocks(batches: Iterator[pa.RecordBatch], overlap: int, seeds: tuple[int, ...] = SEEDS[:1]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(word ids of each seed, words left, doc_id of each word) for blocks of documents; longer documents come in pieces that overlap."""
+    known, ids, docs, n = [WordIds(s) for s in seeds], [], [], 0
 
     def made():
-        left = np.concatenate([np.arange(len(x), 0, -1) for x in ids])
-        return np.concatenate(ids), left, np.repeat(np.array(docs, dtype=np.int64), [len(x) for x in ids])
+        left = np.concatenate([np.arange(len(x[0]), 0, -1) for x in ids])
+        return *(np.concatenate(x) for x in zip(*ids, strict=True)), left, np.repeat(np.array(docs, dtype=np.int64), [len(x[0]) for x in ids])
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if doc is None:
                 continue
-            words = ids_of(text.as_py(), known)
-            for at in range(0, max(1, len(words) - overlap), BLOCK_WORDS):
-                piece = words[at : at + BLOCK_WORDS + overlap]
+            text = text.as_py()
+            words = [ids_of(text, k) for k in known]
+            for at in range(0, max(1, len(words[0]) - overlap), BLOCK_WORDS):
+                piece = [w[at : at + BLOCK_WORDS + overlap] for w in words]
                 ids.append(piece)
                 docs.append(doc)
-                n += len(piece)
+                n += len(piece[0])
                 if n >= BLOCK_WORDS:
                     yield made()
                     ids, docs, n = [], [], 0
@@ -180,6 +200,31 @@ def merged(keys: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndar
     return keys[cuts], np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
 
 
+def merged_pairs(keys: np.ndarray, more: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, ...]:
+    """merged() for keys of two words."""
+    if not len(keys):
+        return keys, more, low, high
+    order = np.lexsort((more, keys))
+    keys, more, low, high = keys[order], more[order], low[order], high[order]
+    cuts = np.concatenate([[0], np.flatnonzero((keys[1:] != keys[:-1]) | (more[1:] != more[:-1])) + 1])
+    return keys[cuts], more[cuts], np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)
+
+
+def find_pairs(keys: np.ndarray, more: np.ndarray, have: np.ndarray, also: np.ndarray) -> np.ndarray:
+    """Where each (have, also) stands among the sorted (keys, more), or -1."""
+    out = np.full(len(have), -1, dtype=np.int64)
+    at = np.searchsorted(keys, have)
+    todo = np.arange(len(have))
+    while len(todo):  # one turn, and another only where two windows share their first word
+        todo = todo[at[todo] < len(keys)]
+        todo = todo[keys[at[todo]] == have[todo]]
+        hit = more[at[todo]] == also[todo]
+        out[todo[hit]] = at[todo[hit]]
+        todo = todo[~hit]
+        at[todo] += 1
+    return out
+
+
 def _joined(cells, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(cells), dtype=dtype)
 
@@ -227,7 +272,7 @@ def _level_filter(docs: DataFrame, lengths: list[int], filters, sizes: Sizes) ->
 
 
 def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame | None, Sizes]:
-    """(grp, docs, keys): blobs of the (doc_id, window) that also start in a document with a smaller doc_id.
+    """(grp, docs, keys, more): blobs of the (doc_id, window) that also start in a document with a smaller doc_id.
 
     docs has doc_id and text.  None where no candidate survives.  grp deals documents over Sizes.groups.
     """
@@ -243,73 +288,78 @@ def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = [Filter(filter_bits, x.value) for x in filters]
-        for ids, left, owner in blocks(batches, length - 1):
+        for ids, others, left, owner in blocks(batches, length - 1, SEEDS):
             at, keys = level_windows(ids, left, lengths, passes)
-            owner = owner[at]
-            order = np.lexsort((keys, owner, keys >> np.uint64(64 - bits)))
-            keys, owner = keys[order], owner[order]
+            owner, more = owner[at], hashes_at(others, at, length)
+            order = np.lexsort((more, keys, owner, keys >> np.uint64(64 - bits)))
+            keys, more, owner = keys[order], more[order], owner[order]
             if len(keys):
-                fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (owner[1:] != owner[:-1])])
-                keys, owner = keys[fresh], owner[fresh]
+                fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1]) | (owner[1:] != owner[:-1])])
+                keys, more, owner = keys[fresh], more[fresh], owner[fresh]
             for bucket, s in by_bucket(keys, bits):
-                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [keys[s].tobytes()], "docs": [owner[s].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [keys[s].tobytes()], "more": [more[s].tobytes()], "docs": [owner[s].tobytes()]})
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 owner = np.frombuffer(row["docs"], dtype=np.int64)
-                keys, low, high = merged(np.frombuffer(row["keys"], dtype=np.uint64), owner, owner)
-                yield pa.RecordBatch.from_pydict({"bucket": [row["bucket"]], "keys": [keys.tobytes()], "low": [low.tobytes()], "high": [high.tobytes()], "n": [len(owner)]})
+                keys, more, low, high = merged_pairs(np.frombuffer(row["keys"], dtype=np.uint64), np.frombuffer(row["more"], dtype=np.uint64), owner, owner)
+                yield pa.RecordBatch.from_pydict({"bucket": [row["bucket"]], "keys": [keys.tobytes()], "more": [more.tobytes()], "low": [low.tobytes()], "high": [high.tobytes()], "n": [len(owner)]})
 
     def first_docs(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, low, high = merged(_joined(pdf["keys"], np.uint64), _joined(pdf["low"], np.int64), _joined(pdf["high"], np.int64))
+        keys, more, low, high = merged_pairs(_joined(pdf["keys"], np.uint64), _joined(pdf["more"], np.uint64), _joined(pdf["low"], np.int64), _joined(pdf["high"], np.int64))
         two = low != high
-        return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "keys": [keys[two].tobytes()], "low": [low[two].tobytes()], "salts": [1 + int(pdf["n"].sum()) // SALT_ROWS]})
+        return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "keys": [keys[two].tobytes()], "more": [more[two].tobytes()], "low": [low[two].tobytes()], "salts": [1 + int(pdf["n"].sum()) // SALT_ROWS]})
 
     def later(key, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, bytes, bytes]] = []
+        out: list[tuple[int, bytes, bytes, bytes]] = []
         if len(known) and len(held):
-            keys, low = np.frombuffer(known["keys"].iloc[0], dtype=np.uint64), np.frombuffer(known["low"].iloc[0], dtype=np.int64)
-            have, owner = _joined(held["keys"], np.uint64), _joined(held["docs"], np.int64)
-            if len(keys):
-                at = np.minimum(np.searchsorted(keys, have), len(keys) - 1)
-                take = (keys[at] == have) & (low[at] < owner)
-                have, owner = have[take], owner[take]
-                grp = group_of(owner, groups)
-                order = np.lexsort((owner, grp))
-                have, owner, grp = have[order], owner[order], grp[order]
-                cuts = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]]).tolist() if len(grp) else []
-                out = [(int(grp[i]), owner[i:j].tobytes(), have[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
-        return pd.DataFrame(out, columns=["grp", "docs", "keys"])
-
-    held = stage(docs.mapInArrow(occurrences, "bucket long, keys binary, docs binary"), "occurrences")
-    known = held.mapInArrow(reduced, "bucket long, keys binary, low binary, high binary, n long")
-    known = stage(known.groupBy("bucket").applyInPandas(first_docs, "bucket long, keys binary, low binary, salts long"), "first-docs")
+            keys, more, low = (np.frombuffer(known[c].iloc[0], dtype=t) for c, t in (("keys", np.uint64), ("more", np.uint64), ("low", np.int64)))
+            have, also, owner = _joined(held["keys"], np.uint64), _joined(held["more"], np.uint64), _joined(held["docs"], np.int64)
+            at = find_pairs(keys, more, have, also)
+            take = at >= 0
+            take[take] = low[at[take]] < owner[take]
+            have, also, owner = have[take], also[take], owner[take]
+            grp = group_of(owner, groups)
+            order = np.lexsort((owner, grp))
+            have, also, owner, grp = have[order], also[order], owner[order], grp[order]
+            cuts = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]]).tolist() if len(grp) else []
+            out = [(int(grp[i]), owner[i:j].tobytes(), have[i:j].tobytes(), also[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pd.DataFrame(out, columns=["grp", "docs", "keys", "more"])
+
+    held = stage(docs.mapInArrow(occurrences, "bucket long, keys binary, more binary, docs binary"), "occurrences")
+    known = held.mapInArrow(reduced, "bucket long, keys binary, more binary, low binary, high binary, n long")
+    known = stage(known.groupBy("bucket").applyInPandas(first_docs, "bucket long, keys binary, more binary, low binary, salts long"), "first-docs")
     salted = held.join(again(known).select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("docs"), "salts"))
-    spread = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    pairs = salted.groupBy("bucket", "salt").cogroup(spread.groupBy("bucket", "salt"))
-    return stage(pairs.applyInPandas(later, "grp long, docs binary, keys binary"), "later"), sizes
+    spread_out = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    pairs = salted.groupBy("bucket", "salt").cogroup(spread_out.groupBy("bucket", "salt"))
+    return stage(pairs.applyInPandas(later, "grp long, docs binary, keys binary, more binary"), "later"), sizes
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
     return (mix(doc.view(np.uint64) if doc.dtype == np.int64 else doc) % np.uint64(groups)).astype(np.int64)
 
 
-def covered(ids: np.ndarray, keys: np.ndarray, length: int) -> np.ndarray:
-    """Which words lie in a window whose hash is among keys."""
+def covered(text: str | None, keys: np.ndarray, more: np.ndarray, length: int, known: tuple[WordIds, WordIds]) -> np.ndarray | None:
+    """Which words lie in a window whose 128 bits are among (keys, more); None where there are no keys."""
+    if not len(keys):
+        return None
+    ids = ids_of(text, known[0])
+    at = np.flatnonzero(np.isin(rolled(ids, length), keys))
     edge = np.zeros(len(ids) + 1, dtype=np.int32)
-    if len(keys):
-        at = np.flatnonzero(np.isin(rolled(ids, length), keys))
+    if len(at):
+        order = np.lexsort((more, keys))
+        at = at[find_pairs(keys[order], more[order], hashes_at(ids, at, length), hashes_at(ids_of(text, known[1]), at, length)) >= 0]
         edge[at] += 1
         np.subtract.at(edge, at + length, 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def kept_words(text: str | None, keys: np.ndarray, length: int, known: WordIds) -> tuple[int, int, str]:
+def kept_words(text: str | None, keys: np.ndarray, more: np.ndarray, length: int, known: tuple[WordIds, WordIds]) -> tuple[int, int, str]:
     """(words, words removed, SHA-256 of the words kept)."""
     data = encoded(text)
     digest, at, n_kept = hashlib.sha256(), 0, 0
-    gone = covered(ids_of(text, known), keys, length) if len(keys) else None
+    gone = covered(text, keys, more, length, known)
     for words in word_blocks(data):
         kept = words if gone is None else [w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g]
         if kept:
@@ -322,7 +372,7 @@ def kept_words(text: str | None, keys: np.ndarray, length: int, known: WordIds)
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = 13, start: int = 7, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 for every row of docs."""
     configure(docs.sparkSession)
-    own = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    own = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     found, sizes = repeats(own, length, start, bucket_bytes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
     none = np.zeros(0, dtype=np.uint64)
@@ -332,32 +382,50 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)) if rows else {x: [] for x in names}
 
     types = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
-    if found is None:
 
-        def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = WordIds()
-            for b in batches:
-                rows = [(d, *kept_words(t.as_py(), none, length, known)) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
-                yield pa.RecordBatch.from_pydict(table(rows), schema=types)
+    def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = WordIds(SEEDS[0]), WordIds(SEEDS[1])
+        for b in batches:
+            rows = [(d, *kept_words(t.as_py(), none, none, length, known)) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            yield pa.RecordBatch.from_pydict(table(rows), schema=types)
 
+    if found is None:
         return own.mapInArrow(plain, schema)
     groups = sizes.groups
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).fill_null(0).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(group_of(ids, groups)), b.column(0), b.column(1)], names=["grp", "doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(group_of(b.column(0).to_numpy(), groups)), b.column(0), b.column(1)], names=["grp", "doc_id", "text"])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = WordIds()
-        owner, keys = _joined(right.column("docs").to_pylist(), np.int64), _joined(right.column("keys").to_pylist(), np.uint64)
+        known = WordIds(SEEDS[0]), WordIds(SEEDS[1])
+        owner, keys, more = (_joined(right.column(c).to_pylist(), t) for c, t in (("docs", np.int64), ("keys", np.uint64), ("more", np.uint64)))
         order = np.argsort(owner, kind="stable")
-        owner, keys = owner[order], keys[order]
+        owner, keys, more = owner[order], keys[order], more[order]
         rows = []
         for d, t in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-            mine = none if d is None else keys[np.searchsorted(owner, d) : np.searchsorted(owner, d, side="right")]
-            rows.append((d, *kept_words(t.as_py(), mine, length, known)))
+            mine = slice(np.searchsorted(owner, d), np.searchsorted(owner, d, side="right"))
+            rows.append((d, *kept_words(t.as_py(), keys[mine], more[mine], length, known)))
         return pa.Table.from_pydict(table(rows), schema=types)
 
-    dealt = own.mapInArrow(deal, "grp long, doc_id long, text string")
-    return dealt.groupBy("grp").cogroup(found.groupBy("grp")).applyInArrow(apply, schema)
+    # a group that repeated ids make large is split by where its rows were read, and its windows are sent to each part
+    dealt = own.where("doc_id is not null").mapInArrow(deal, "grp long, doc_id long, text string")
+    weights = dealt.groupBy("grp").agg(F.sum(F.octet_length("text")).alias("n")).select("grp", (1 + F.floor(F.coalesce("n", F.lit(0)) / (SPLIT * bucket_bytes))).alias("salts"))
+    weights = stage(weights, "group-weights")
+    salted = dealt.join(weights, "grp").withColumn("salt", F.pmod(F.spark_partition_id(), F.col("salts")))
+    windows = found.join(again(weights), "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
+    met = salted.select("grp", "salt", "doc_id", "text").groupBy("grp", "salt").cogroup(windows.select("grp", "salt", "docs", "keys", "more").groupBy("grp", "salt")).applyInArrow(apply, schema)
+    # rows without an id lose nothing and meet nothing
+    return met.union(own.where("doc_id is null").mapInArrow(plain, schema))
+
+
+#: The result in DuckDB: windows as text, the smallest doc_id of each, and the words that none of a smaller doc_id covers.
+ORACLE = """
+WITH w AS (SELECT doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+v AS (SELECT doc_id, i, array_to_string(ws[i:i + 12], ' ') AS win FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 11)) AS i FROM w WHERE len(ws) >= 13)),
+f AS (SELECT win, min(doc_id) AS first FROM v GROUP BY win),
+gone AS (SELECT DISTINCT v.doc_id, unnest(range(i, i + 13)) AS i FROM v JOIN f ON v.win = f.win WHERE first < v.doc_id),
+one AS (SELECT doc_id, ws[i] AS word, i FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS i FROM w)),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text, count(*) AS n FROM one ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(len(ws) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)
+"""

@@ -71,4 +71,5 @@ ORACLES: dict[str, str] = {
     "op1_pruned_graph_dedup": neargraph.ORACLE,
     "op4_poisson_mixing": mixing.ORACLE,
     "op5_warc_index_first": warc.ORACLE,
+    "op8_doubling_substring_dedup": passages.ORACLE,
 }
