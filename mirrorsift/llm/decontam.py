@@ -167,7 +167,7 @@ def anchors(known: DataFrame, short: DataFrame, min_similarity: float) -> DataFr
 
 def holders(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """doc_id of the documents that hold an anchor: one pass over words and pairs of words, without slots."""
-    marks = stage(marks, "anchors")
+    marks = stage(marks, "anchors", small=True)
     small = marks.count() <= MAX_BROADCAST
     longest = marks.agg(F.max(F.length("first") + F.coalesce(F.length("second"), F.lit(0)))).first()[0] or 0
     raw = F.concat(raw_words(F.col("text")), F.lit(" "))
@@ -191,10 +191,10 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     known = windows(own, ["item_id", "item_key"], "text", window)
     base = F.when(F.col("few"), by_item[0]).otherwise(_array("t", window))
     known = known.select("item_id", "item_key", F.col("at").alias("item_at"), by_item.alias("readings"), _array("o", window).alias("item_own"), _raw_runs(base).alias("runs"))
-    known = stage(known, "item-windows")
-    short = stage(_tokens(own, "text").where((F.col("n_tokens") > 0) & (F.col("n_tokens") < window)).select("item_id", "whole", "n_tokens"), "short-items")
+    known = stage(known, "item-windows", small=True)
+    short = stage(_tokens(own, "text").where((F.col("n_tokens") > 0) & (F.col("n_tokens") < window)).select("item_id", "whole", "n_tokens"), "short-items", small=True)
     texts = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))).where("doc_id is not null")
-    near = stage(holders(texts, anchors(known, short, min_similarity)), "holders")
+    near = stage(holders(texts, anchors(known, short, min_similarity)), "holders", small=True)
     texts = texts.join(near, "doc_id", "left_semi")
     sizes = known.groupBy("item_id", "item_key").agg(F.count_distinct("item_at").alias("n_windows"))
     small = known.count() <= MAX_BROADCAST
@@ -206,12 +206,15 @@ def scan(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: st
     item = ["doc_id", "item_id", "item_key"]
     places = hits.groupBy(*item, (F.col("at") - F.col("item_at")).alias("diagonal")).agg(F.collect_set("item_at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pair))).alias("pairs"))
     # diagonals a few words apart are one place, with words put in or left out; places further apart are judged alone
-    places = stage(places, "diagonals").join(sizes, ["item_id", "item_key"])
+    places = places.join(sizes, ["item_id", "item_key"])
     line = Window.partitionBy(*item).orderBy("diagonal")
     far = F.col("diagonal") - F.lag("diagonal").over(line) > F.floor(F.col("n_windows") * DRIFT)
     placed = places.withColumn("place", F.sum(F.coalesce(far, F.lit(True)).cast("int")).over(line))
-    union = placed.groupBy(*item, "n_windows", "place").agg(F.array_distinct(F.flatten(F.collect_list("ats"))).alias("ats"), F.array_distinct(F.flatten(F.collect_list("pairs"))).alias("pairs"))
-    tried = union.select(*item, "n_windows", "ats", "pairs").union(places.select(*item, "n_windows", "ats", "pairs"))
+    parts = placed.groupBy(*item, "n_windows", "place").agg(F.collect_list(F.struct("ats", "pairs")).alias("parts"))
+    # a place as a whole, and each of its diagonals alone
+    gathered = lambda c: F.array_distinct(F.flatten(F.transform("parts", lambda x: x[c])))
+    tried = parts.select(*item, "n_windows", F.explode(F.concat(F.array(F.struct(gathered("ats").alias("ats"), gathered("pairs").alias("pairs"))), F.col("parts"))).alias("x"))
+    tried = tried.select(*item, "n_windows", "x.ats", "x.pairs")
     consistent = F.size("pairs") == F.size(F.array_distinct(F.transform("pairs", lambda x: x["item"])))
     changed = F.exists("pairs", lambda x: x["item"] != x["doc"])
     judged = tried.where(consistent).select("doc_id", "item_id", "n_windows", F.size("ats").cast("long").alias("n_matched"), changed.alias("reparameterised"))
