@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorsift.runtime import configure
+from mirrorsift.runtime import configure, spread
 
 MIN_COVERAGE = 0.8
 # Notices of well-known licenses.
@@ -196,7 +196,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, min_coverage:
     """doc_id, license_id, coverage, start, end, n_anchors: one row for each place of a license."""
     configure(docs.sparkSession)
     texts = dict(TEMPLATES if templates is None else templates)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).where("text is not null")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(rows).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [Template(k, v, min_coverage) for k, v in texts.items() if tokens(v)]

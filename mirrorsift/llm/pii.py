@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorsift.runtime import configure
+from mirrorsift.runtime import configure, spread
 
 # The kinds in the order in which they sort, and their patterns.
 KINDS = ("email", "ip", "card", "phone")
@@ -356,7 +356,7 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
     """Fit on the base matches of at most about TRAIN_DOCS documents, taken by hash of the id."""
     configure(docs.sparkSession)
     share = int((1 << 30) * min(1.0, TRAIN_DOCS / max(1, docs.count())))
-    some = docs.where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)) < share).select(F.col(text_col).cast("string").alias("text")).where("text is not null")
+    some = spread(docs).where(F.pmod(F.xxhash64(F.lit(3), F.col(id_col)), F.lit(1 << 30)) < share).select(F.col(text_col).cast("string").alias("text")).where("text is not null")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -379,7 +379,7 @@ def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
     """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row."""
     configure(docs.sparkSession)
     field = field or train(docs, id_col, text_col)
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

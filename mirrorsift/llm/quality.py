@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorsift.llm.words import encoded, word_blocks
-from mirrorsift.runtime import configure
+from mirrorsift.runtime import configure, spread
 
 MAX_POSITIVES = 20_000
 MAX_UNLABELLED = 40_000
@@ -165,7 +165,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
     trusted = labels.where(~_held_out("doc_id")).groupBy("doc_id").agg(F.min("quality").alias("least")).where("least = 1").select("doc_id")
     n_trusted, n_docs = trusted.count(), docs.count()
     trusted = trusted.where(_share(MAX_POSITIVES, n_trusted, "doc_id", 1)).limit(2 * MAX_POSITIVES).withColumn("positive", F.lit(True))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where(~_held_out("doc_id"))
+    rows = spread(docs).select("doc_id", F.col("text").cast("string").alias("text")).where(~_held_out("doc_id"))
     # at most twice MAX_POSITIVES ids: a bounded broadcast
     rows = rows.join(F.broadcast(trusted), "doc_id", "left").withColumn("unlabelled", _share(MAX_UNLABELLED, n_docs, "doc_id", 2)).where("positive or unlabelled")
 
@@ -189,7 +189,7 @@ def _scores(texts: pa.Array, model: Model | None) -> np.ndarray:
 def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out, score, predicted for every row."""
     configure(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("doc_id"), _held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
+    rows = spread(docs).select(F.col(id_col).alias("doc_id"), _held_out(id_col).alias("held_out"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
