@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from mirrorsift.llm import decontam, mixing, quality, secrets, simhash
-from mirrorsift.runtime import stage
+from mirrorsift.runtime import stage, unstage
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,5 +54,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage for the documents of sf_dir."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, step in STAGES:
-        docs = stage(step(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        before, docs = docs, stage(step(spark, docs, sf_dir), name.lower().replace(" ", "-"))
+        unstage(before)  # its rows are written anew
     return docs

@@ -465,7 +465,7 @@ def merged_duplicates(spark: SparkSession, d: str) -> DataFrame:
     """Exact groups, and the groups of similar files among the files outside them."""
     f = stage(spread(text_files(spark, d).select("path", "size", "text")).withColumn("id", F.monotonically_increasing_id()), "files")
     same = stage(exact.exact_groups(f).drop("content_hash"), "exact")
-    links = engine.text_links(exact.without_members(f, same).select("id", "size", "text"), Params().similarity_threshold)
+    links = engine.text_links(exact.without_members(f, same).select("id", "path", "size", "text"), Params().similarity_threshold)
     name = f.select("id", "path")
     named = links.join(name.toDF("a", "pa"), "a").join(name.toDF("b", "pb"), "b").select(F.least("pa", "pb").alias("a"), F.greatest("pa", "pb").alias("b"), "similarity")
     return same.unionByName(engine.component_groups(named).withColumn("match_type", F.lit("similar"))).withColumn("similarity", F.round("similarity", 4))

@@ -38,10 +38,16 @@ def scan(spark: SparkSession, roots: Iterable[str], kind: str = "text", params:
 
 
 def scored_pairs(texts: DataFrame, candidates: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity) of the candidates at or over the threshold.  texts: id and t, a normalised text."""
-    # each text travels once, to its pairs; pairs are dealt anew so that the matcher's work is even
-    both = spread_pairs(candidates).join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
-    return both.select("a", "b", matchers.text_similarity(F.col("ta"), F.col("tb"), threshold).alias("similarity")).where(F.col("similarity") >= threshold)
+    """(a, b, similarity) of the candidates at or over the threshold.  texts: id, path and t, a normalised text.
+
+    The matcher is not symmetric: the text with the smaller path always comes first.
+    """
+    # pairs are dealt anew so that the matcher's work is even
+    both = spread_pairs(candidates).join(texts.toDF("a", "pa", "ta"), "a").join(texts.toDF("b", "pb", "tb"), "b")
+    ordered = F.col("pa") <= F.col("pb")
+    first, second = F.when(ordered, F.col("ta")).otherwise(F.col("tb")), F.when(ordered, F.col("tb")).otherwise(F.col("ta"))
+    both = both.select("a", "b", first.alias("first"), second.alias("second"))
+    return both.select("a", "b", matchers.text_similarity(F.col("first"), F.col("second"), threshold).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
 def spread_pairs(pairs_: DataFrame) -> DataFrame:
@@ -94,13 +100,13 @@ def _compat_duplicates(df: DataFrame, params: Params) -> DataFrame:
     same = stage(exact.exact_groups(df, prefix_chars=params.hash_prefix_chars or 100_000).drop("content_hash"), "exact")
     rest = exact.without_members(df, same)
     candidates = stage(compat_candidates(rest), "candidates")
-    texts = rest.select("path", text.normalize(F.col("text"), 50_000).alias("t"))
+    texts = rest.select(F.col("path").alias("id"), "path", text.normalize(F.col("text"), 50_000).alias("t"))
     similar = component_groups(scored_pairs(texts, candidates, params.similarity_threshold))
     return same.unionByName(similar.withColumn("match_type", F.lit("similar")))
 
 
 def text_links(files_: DataFrame, threshold: float) -> DataFrame:
-    """(a, b, similarity): links of the texts of files_ (id, size, text) that share a MinHash bucket.
+    """(a, b, similarity): links of the texts of files_ (id, path, size, text) that share a MinHash bucket.
 
     Two texts are linked if they share a bucket, their sizes lie within a factor of 0.8 and they score the
     threshold or more.  Only texts that share a bucket with another are carried on.
@@ -110,12 +116,12 @@ def text_links(files_: DataFrame, threshold: float) -> DataFrame:
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = stage(again(keys).join(shared, "key", "left_semi"), "shared-keys")
     near = files_.join(keys.select("id").distinct(), "id", "left_semi")
-    texts = stage(near.select("id", "size", text.normalize(F.col("text")).alias("t")), "candidate-texts")
+    texts = stage(near.select("id", "path", "size", text.normalize(F.col("text")).alias("t")), "candidate-texts")
     sizes = texts.select("id", "size")
 
     def verify(candidates: DataFrame) -> DataFrame:
         sized = candidates.join(sizes.toDF("a", "sa"), "a").join(sizes.toDF("b", "sb"), "b").where(files.ratio(F.col("sa"), F.col("sb")) >= 0.8)
-        return scored_pairs(texts.select("id", "t"), sized.select("a", "b"), threshold)
+        return scored_pairs(texts.select("id", "path", "t"), sized.select("a", "b"), threshold)
 
     return bucket_links(keys, verify)
 
@@ -129,7 +135,7 @@ def _text_duplicates(df: DataFrame, params: Params) -> DataFrame:
     firsts = hashed.groupBy("digest").agg(F.min(F.struct("path", "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("m.id").alias("rep"))
     copies = stage(hashed.join(firsts, "digest").select("id", "rep"), "copies")
     later = copies.where("id <> rep").select("id")
-    edges = stage(text_links(df.select("id", "size", "text").join(later, "id", "left_anti"), params.similarity_threshold), "text-links")
+    edges = stage(text_links(df.select("id", "path", "size", "text").join(later, "id", "left_anti"), params.similarity_threshold), "text-links")
     same = copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("similarity"))
     links = same.unionByName(edges)
     parts = connected_components(links).toDF("id", "component")

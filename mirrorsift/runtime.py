@@ -86,6 +86,12 @@ def again(df: DataFrame) -> DataFrame:
     return out
 
 
+def clear_stages(spark: SparkSession) -> None:
+    """Delete every table that stage() has written under the shared folder; results that still read them are lost."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mirrorsift")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def unstage(df: DataFrame) -> None:
     """Delete the files of a table made by stage()."""
     path = getattr(df, "_staged_path", None)
