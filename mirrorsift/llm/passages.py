@@ -5,9 +5,10 @@ double from a short one to the wanted one (7, 13 for 13 words).  At the first le
 by its minimizer, the smallest hash of a run of 7 words in it, so that about a quarter of the positions
 take part.  Each level counts its windows' hashes over all documents, pre-aggregated per block of
 documents, and leaves a bit map of the hashes that occur in two documents.  Bits shared by chance only
-let more windows through to the last level, which is exact on 128 bits of each whole window, two hashes from
-word ids of their own: there each repeated window gets its smallest doc_id, and later documents lose the words
-that it covers.  The doubling ends early when no candidate survives a level.
+let more windows through to the last level, which is exact on 96 bits of each whole window, from 96 bits of
+each word: there each repeated window gets its smallest doc_id, and later documents lose the words that it
+covers.  At 10**13 windows two different ones agree by chance with a probability under 0.001.  The doubling
+ends early when no candidate survives a level.
 
 What is gathered is bounded: a bucket of hashes is sized by the input (``bucket_bytes``) and every block
 sends a hash to it once; occurrences of the last level are dealt by (bucket, salt), with more salts where
@@ -23,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -44,29 +46,32 @@ SALT_ROWS = 1 << 22
 #: Shares of BUCKET_BYTES that one group of documents may hold before it is split.
 SPLIT = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
+#: The primes of XXH64.
+XXH_PRIMES = (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)
 
 
-class WordIds(dict):
-    """64-bit ids of words, forgotten when there are too many."""
+class Vocabulary(dict):
+    """An index for each word, and for each index 64 and 32 bits of a hash of the word; forgotten when there are too many."""
 
-    def __init__(self, seed: int = 0):
+    def __init__(self):
         super().__init__()
-        self.seed = seed
+        self.first, self.second = np.zeros(1 << 16, dtype=np.uint64), np.zeros(1 << 16, dtype=np.uint32)
 
     def __missing__(self, word: bytes) -> int:
+        at = len(self)
+        if at == len(self.first):
+            self.first, self.second = np.resize(self.first, 2 * at), np.resize(self.second, 2 * at)
+        value = xxhash.xxh3_128_intdigest(word)
+        self.first[at], self.second[at] = value & 0xFFFFFFFFFFFFFFFF, value >> 96
+        self[word] = at
+        return at
+
+    def __call__(self, data: bytes) -> np.ndarray:
+        """The indices of a text's words; they hold until the next call."""
         if len(self) > 1 << 20:
             self.clear()
-        value = self[word] = xxhash.xxh64_intdigest(word, self.seed)
-        return value
-
-
-#: Seeds of the two word ids that make the 128 bits of a window.
-SEEDS = (0, 1)
-
-
-def ids_of(text: str | None, known: WordIds) -> np.ndarray:
-    parts = [np.fromiter(map(known.__getitem__, ws), dtype=np.uint64, count=len(ws)) for ws in word_blocks(encoded(text))]
-    return parts[0] if len(parts) == 1 else np.concatenate(parts)
+        parts = [np.fromiter(map(self.__getitem__, ws), dtype=np.int64, count=len(ws)) for ws in word_blocks(data)]
+        return parts[0] if len(parts) == 1 else np.concatenate(parts)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -87,13 +92,13 @@ def rolled(ids: np.ndarray, length: int) -> np.ndarray:
     return mix(h)
 
 
-def hashes_at(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
-    """The hash of the window at each of some positions."""
+def checks(ids: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
+    """32 bits more of the window at each of some positions."""
     h = np.zeros(len(at), dtype=np.uint64)
     for j in range(length):
         h *= _ODD
         h += ids[at + j]
-    return mix(h)
+    return (mix(h) >> np.uint64(32)).astype(np.uint32)
 
 
 def smallest(h: np.ndarray, width: int) -> np.ndarray:
@@ -155,28 +160,42 @@ def level_windows(ids: np.ndarray, left: np.ndarray, lengths: list[int], filters
     return at, own[at]
 
 
-def blocks(batches: Iterator[pa.RecordBatch], overlap: int, seeds: tuple[int, ...] = SEEDS[:1]) -> Iterator[tuple[np.ndarray, ...]]:
-    """(word ids of each seed, words left, doc_id of each word) for blocks of documents; longer documents come in pieces that overlap."""
-    known, ids, docs, n = [WordIds(s) for s in seeds], [], [], 0
+class Block(NamedTuple):
+    """Words of documents one after the other: ids, more bits of them, words left in the document, its doc_id, its text's hash, place in it."""
+
+    ids: np.ndarray
+    more: np.ndarray
+    left: np.ndarray
+    owner: np.ndarray
+    row: np.ndarray
+    place: np.ndarray
+
 
-    def made():
-        left = np.concatenate([np.arange(len(x[0]), 0, -1) for x in ids])
-        return *(np.concatenate(x) for x in zip(*ids, strict=True)), left, np.repeat(np.array(docs, dtype=np.int64), [len(x[0]) for x in ids])
+def blocks(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[Block]:
+    """Blocks of documents; longer documents come in pieces that overlap."""
+    known, held, n = Vocabulary(), [], 0
+
+    def made() -> Block:
+        sizes = [len(x[0]) for x in held]
+        each = lambda i, t: np.repeat(np.array([x[i] for x in held], dtype=t), sizes)
+        left = np.concatenate([np.arange(k, 0, -1) for k in sizes])
+        place = np.concatenate([np.arange(x[4], x[4] + k, dtype=np.uint32) for x, k in zip(held, sizes, strict=True)])
+        return Block(np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held]), left, each(2, np.int64), each(3, np.uint64), place)
 
     for batch in batches:
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             if doc is None:
                 continue
-            text = text.as_py()
-            words = [ids_of(text, k) for k in known]
-            for at in range(0, max(1, len(words[0]) - overlap), BLOCK_WORDS):
-                piece = [w[at : at + BLOCK_WORDS + overlap] for w in words]
-                ids.append(piece)
-                docs.append(doc)
-                n += len(piece[0])
+            data = encoded(text.as_py())
+            index = known(data)
+            row, first, second = xxhash.xxh64_intdigest(data), known.first[index], known.second[index]
+            for at in range(0, max(1, len(index) - overlap), BLOCK_WORDS):
+                piece = slice(at, at + BLOCK_WORDS + overlap)
+                held.append((first[piece], second[piece], doc, row, at))
+                n += len(first[piece])
                 if n >= BLOCK_WORDS:
                     yield made()
-                    ids, docs, n = [], [], 0
+                    held, n = [], 0
     if n:
         yield made()
 
@@ -244,9 +263,9 @@ def _level_filter(docs: DataFrame, lengths: list[int], filters, sizes: Sizes) ->
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = [Filter(filter_bits, x.value) for x in filters]
-        for ids, left, owner in blocks(batches, max(lengths) - 1):
-            at, keys = level_windows(ids, left, lengths, passes)
-            keys, low, high = merged(keys, owner[at], owner[at])
+        for b in blocks(batches, max(lengths) - 1):
+            at, keys = level_windows(b.ids, b.left, lengths, passes)
+            keys, low, high = merged(keys, b.owner[at], b.owner[at])
             for bucket, s in by_bucket(keys, bits):
                 many = np.packbits(low[s] != high[s]).tobytes()
                 yield pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [keys[s].tobytes()], "low": [low[s].tobytes()], "many": [many]})
@@ -272,9 +291,10 @@ def _level_filter(docs: DataFrame, lengths: list[int], filters, sizes: Sizes) ->
 
 
 def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int = BUCKET_BYTES) -> tuple[DataFrame | None, Sizes]:
-    """(grp, docs, keys, more): blobs of the (doc_id, window) that also start in a document with a smaller doc_id.
+    """(grp, docs, rows, places): blobs of the places of windows that also start in a document with a smaller doc_id.
 
-    docs has doc_id and text.  None where no candidate survives.  grp deals documents over Sizes.groups.
+    docs has doc_id and text.  rows are hashes of texts, which tell rows of one doc_id apart.  None where no
+    candidate survives.  grp deals documents over Sizes.groups.
     """
     spark = docs.sparkSession
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -288,80 +308,81 @@ def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         passes = [Filter(filter_bits, x.value) for x in filters]
-        for ids, others, left, owner in blocks(batches, length - 1, SEEDS):
-            at, keys = level_windows(ids, left, lengths, passes)
-            owner, more = owner[at], hashes_at(others, at, length)
-            order = np.lexsort((more, keys, owner, keys >> np.uint64(64 - bits)))
-            keys, more, owner = keys[order], more[order], owner[order]
-            if len(keys):
-                fresh = np.concatenate([[True], (keys[1:] != keys[:-1]) | (more[1:] != more[:-1]) | (owner[1:] != owner[:-1])])
-                keys, more, owner = keys[fresh], more[fresh], owner[fresh]
+        for b in blocks(batches, length - 1):
+            at, keys = level_windows(b.ids, b.left, lengths, passes)
+            # by bucket, and in it as the words stand, so that documents are runs
+            order = np.argsort(keys >> np.uint64(64 - bits), kind="stable")
+            at, keys = at[order], keys[order]
+            columns = {"keys": keys, "more": checks(b.more, at, length), "docs": b.owner[at], "rows": b.row[at], "places": b.place[at]}
             for bucket, s in by_bucket(keys, bits):
-                yield pa.RecordBatch.from_pydict({"bucket": [bucket], "keys": [keys[s].tobytes()], "more": [more[s].tobytes()], "docs": [owner[s].tobytes()]})
+                yield pa.RecordBatch.from_pydict({"bucket": [bucket], **{c: [v[s].tobytes()] for c, v in columns.items()}})
 
     def reduced(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 owner = np.frombuffer(row["docs"], dtype=np.int64)
-                keys, more, low, high = merged_pairs(np.frombuffer(row["keys"], dtype=np.uint64), np.frombuffer(row["more"], dtype=np.uint64), owner, owner)
+                keys, more, low, high = merged_pairs(np.frombuffer(row["keys"], dtype=np.uint64), np.frombuffer(row["more"], dtype=np.uint32), owner, owner)
                 yield pa.RecordBatch.from_pydict({"bucket": [row["bucket"]], "keys": [keys.tobytes()], "more": [more.tobytes()], "low": [low.tobytes()], "high": [high.tobytes()], "n": [len(owner)]})
 
     def first_docs(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, more, low, high = merged_pairs(_joined(pdf["keys"], np.uint64), _joined(pdf["more"], np.uint64), _joined(pdf["low"], np.int64), _joined(pdf["high"], np.int64))
+        keys, more, low, high = merged_pairs(_joined(pdf["keys"], np.uint64), _joined(pdf["more"], np.uint32), _joined(pdf["low"], np.int64), _joined(pdf["high"], np.int64))
         two = low != high
         return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "keys": [keys[two].tobytes()], "more": [more[two].tobytes()], "low": [low[two].tobytes()], "salts": [1 + int(pdf["n"].sum()) // SALT_ROWS]})
 
     def later(key, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple[int, bytes, bytes, bytes]] = []
         if len(known) and len(held):
-            keys, more, low = (np.frombuffer(known[c].iloc[0], dtype=t) for c, t in (("keys", np.uint64), ("more", np.uint64), ("low", np.int64)))
-            have, also, owner = _joined(held["keys"], np.uint64), _joined(held["more"], np.uint64), _joined(held["docs"], np.int64)
-            at = find_pairs(keys, more, have, also)
+            keys, more, low = (np.frombuffer(known[c].iloc[0], dtype=t) for c, t in (("keys", np.uint64), ("more", np.uint32), ("low", np.int64)))
+            owner = _joined(held["docs"], np.int64)
+            at = find_pairs(keys, more, _joined(held["keys"], np.uint64), _joined(held["more"], np.uint32))
             take = at >= 0
             take[take] = low[at[take]] < owner[take]
-            have, also, owner = have[take], also[take], owner[take]
+            owner, row, place = owner[take], _joined(held["rows"], np.uint64)[take], _joined(held["places"], np.uint32)[take]
             grp = group_of(owner, groups)
-            order = np.lexsort((owner, grp))
-            have, also, owner, grp = have[order], also[order], owner[order], grp[order]
+            order = np.lexsort((place, row, owner, grp))
+            owner, row, place, grp = owner[order], row[order], place[order], grp[order]
             cuts = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]]).tolist() if len(grp) else []
-            out = [(int(grp[i]), owner[i:j].tobytes(), have[i:j].tobytes(), also[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
-        return pd.DataFrame(out, columns=["grp", "docs", "keys", "more"])
+            out = [(int(grp[i]), owner[i:j].tobytes(), row[i:j].tobytes(), place[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+        return pd.DataFrame(out, columns=["grp", "docs", "rows", "places"])
 
-    held = stage(docs.mapInArrow(occurrences, "bucket long, keys binary, more binary, docs binary"), "occurrences")
-    known = held.mapInArrow(reduced, "bucket long, keys binary, more binary, low binary, high binary, n long")
+    held = stage(docs.mapInArrow(occurrences, "bucket long, keys binary, more binary, docs binary, rows binary, places binary"), "occurrences")
+    known = held.select("bucket", "keys", "more", "docs").mapInArrow(reduced, "bucket long, keys binary, more binary, low binary, high binary, n long")
     known = stage(known.groupBy("bucket").applyInPandas(first_docs, "bucket long, keys binary, more binary, low binary, salts long"), "first-docs")
     salted = held.join(again(known).select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("docs"), "salts"))
     spread_out = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     pairs = salted.groupBy("bucket", "salt").cogroup(spread_out.groupBy("bucket", "salt"))
-    return stage(pairs.applyInPandas(later, "grp long, docs binary, keys binary, more binary"), "later"), sizes
+    return stage(pairs.applyInPandas(later, "grp long, docs binary, rows binary, places binary"), "later"), sizes
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
-    return (mix(doc.view(np.uint64) if doc.dtype == np.int64 else doc) % np.uint64(groups)).astype(np.int64)
-
-
-def covered(text: str | None, keys: np.ndarray, more: np.ndarray, length: int, known: tuple[WordIds, WordIds]) -> np.ndarray | None:
-    """Which words lie in a window whose 128 bits are among (keys, more); None where there are no keys."""
-    if not len(keys):
-        return None
-    ids = ids_of(text, known[0])
-    at = np.flatnonzero(np.isin(rolled(ids, length), keys))
-    edge = np.zeros(len(ids) + 1, dtype=np.int32)
-    if len(at):
-        order = np.lexsort((more, keys))
-        at = at[find_pairs(keys[order], more[order], hashes_at(ids, at, length), hashes_at(ids_of(text, known[1]), at, length)) >= 0]
-        edge[at] += 1
-        np.subtract.at(edge, at + length, 1)
+    """pmod(xxhash64(doc), groups) of longs, as Spark's function has it."""
+    rotated = lambda x, n: (x << np.uint64(n)) | (x >> np.uint64(64 - n))
+    p1, p2, p3, p4, p5 = (np.uint64(p) for p in XXH_PRIMES)
+    with np.errstate(over="ignore"):
+        h = rotated(doc.view(np.uint64) * p2, 31) * p1
+        h = rotated((np.uint64(42) + p5 + np.uint64(8)) ^ h, 27) * p1 + p4
+        h = (h ^ (h >> np.uint64(33))) * p2
+        h = (h ^ (h >> np.uint64(29))) * p3
+    return np.mod((h ^ (h >> np.uint64(32))).view(np.int64), groups)
+
+
+def covered(places: np.ndarray, length: int) -> np.ndarray:
+    """Which words, up to the last such, lie in a window that starts at one of the places."""
+    if not len(places):
+        return np.zeros(0, dtype=bool)
+    edge = np.zeros(int(places.max()) + length + 1, dtype=np.int32)
+    np.add.at(edge, places.astype(np.int64), 1)
+    np.subtract.at(edge, places.astype(np.int64) + length, 1)
     return np.cumsum(edge[:-1]) > 0
 
 
-def kept_words(text: str | None, keys: np.ndarray, more: np.ndarray, length: int, known: tuple[WordIds, WordIds]) -> tuple[int, int, str]:
+def kept_words(data: bytes, places: np.ndarray, length: int) -> tuple[int, int, str]:
     """(words, words removed, SHA-256 of the words kept)."""
-    data = encoded(text)
     digest, at, n_kept = hashlib.sha256(), 0, 0
-    gone = covered(text, keys, more, length, known)
+    gone = covered(places, length)
     for words in word_blocks(data):
-        kept = words if gone is None else [w for w, g in zip(words, gone[at : at + len(words)].tolist(), strict=True) if not g]
+        some = gone[at : at + len(words)].tolist()
+        kept = [w for w, g in zip(words, some, strict=False) if not g] + words[len(some) :] if some else words
         if kept:
             digest.update((b" " if n_kept else b"") + b" ".join(kept))
         at += len(words)
@@ -375,7 +396,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     own = spread(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")))
     found, sizes = repeats(own, length, start, bucket_bytes)
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string"
-    none = np.zeros(0, dtype=np.uint64)
+    none = np.zeros(0, dtype=np.uint32)
     names = ["doc_id", "n_words", "n_removed", "kept_sha256"]
 
     def table(rows) -> dict:
@@ -384,37 +405,32 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     types = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
 
     def plain(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = WordIds(SEEDS[0]), WordIds(SEEDS[1])
         for b in batches:
-            rows = [(d, *kept_words(t.as_py(), none, none, length, known)) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
+            rows = [(d, *kept_words(encoded(t.as_py()), none, length)) for d, t in zip(b.column(0).to_pylist(), b.column(1), strict=True)]
             yield pa.RecordBatch.from_pydict(table(rows), schema=types)
 
     if found is None:
         return own.mapInArrow(plain, schema)
-    groups = sizes.groups
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(group_of(b.column(0).to_numpy(), groups)), b.column(0), b.column(1)], names=["grp", "doc_id", "text"])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
-        known = WordIds(SEEDS[0]), WordIds(SEEDS[1])
-        owner, keys, more = (_joined(right.column(c).to_pylist(), t) for c, t in (("docs", np.int64), ("keys", np.uint64), ("more", np.uint64)))
+        owner, row, place = (_joined(right.column(c).to_pylist(), t) for c, t in (("docs", np.int64), ("rows", np.uint64), ("places", np.uint32)))
         order = np.argsort(owner, kind="stable")
-        owner, keys, more = owner[order], keys[order], more[order]
+        owner, row, place = owner[order], row[order], place[order]
         rows = []
         for d, t in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
+            data = encoded(t.as_py())
             mine = slice(np.searchsorted(owner, d), np.searchsorted(owner, d, side="right"))
-            rows.append((d, *kept_words(t.as_py(), keys[mine], more[mine], length, known)))
+            places = place[mine]
+            rows.append((d, *kept_words(data, places[row[mine] == xxhash.xxh64_intdigest(data)] if len(places) else none, length)))
         return pa.Table.from_pydict(table(rows), schema=types)
 
     # a group that repeated ids make large is split by where its rows were read, and its windows are sent to each part
-    dealt = own.where("doc_id is not null").mapInArrow(deal, "grp long, doc_id long, text string")
+    dealt = own.where("doc_id is not null").withColumn("grp", F.pmod(F.xxhash64("doc_id"), F.lit(sizes.groups)))
     weights = dealt.groupBy("grp").agg(F.sum(F.octet_length("text")).alias("n")).select("grp", (1 + F.floor(F.coalesce("n", F.lit(0)) / (SPLIT * bucket_bytes))).alias("salts"))
-    weights = stage(weights, "group-weights")
+    weights = stage(weights, "group-weights", small=True)
     salted = dealt.join(weights, "grp").withColumn("salt", F.pmod(F.spark_partition_id(), F.col("salts")))
     windows = found.join(again(weights), "grp").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
-    met = salted.select("grp", "salt", "doc_id", "text").groupBy("grp", "salt").cogroup(windows.select("grp", "salt", "docs", "keys", "more").groupBy("grp", "salt")).applyInArrow(apply, schema)
+    met = salted.select("grp", "salt", "doc_id", "text").groupBy("grp", "salt").cogroup(windows.select("grp", "salt", "docs", "rows", "places").groupBy("grp", "salt")).applyInArrow(apply, schema)
     # rows without an id lose nothing and meet nothing
     return met.union(own.where("doc_id is null").mapInArrow(plain, schema))
 
