@@ -1,7 +1,7 @@
 """Embedding near-dedup on a robust-pruned flat graph.
 
 Vectors with one label are dealt to overlapping cluster shards: each goes to its nearest centroid (home)
-and to every other centroid whose bisector with the home lies within half the link radius.  Two linked vectors
+and, of the OVERLAP nearest, to those whose bisector with the home lies within half the link radius.  Two linked vectors
 of different homes lie on either side of the bisector of these, and together no further from it than the
 radius, so at least one of them is in the home shard of the other: that one's search finds the pair, and
 counts it for both where only one can.  In each shard a flat graph is built: near candidates and a few far ones, robust
@@ -15,7 +15,9 @@ Equal vectors are one node with a multiplicity.  Shards larger than CHUNK are cu
 every chunk of queries searches every chunk of the shard, so a task holds at most two chunks; links are
 counted per query and each task returns a spanning forest of its links, never its pairs.
 
-Centroids are fitted on at most SAMPLE vectors; every vector is indexed.  audit() measures recall against
+Centroids are fitted on at most SAMPLE vectors; every vector is indexed.  Shards that are still large are dealt
+again among centroids of their own, each fitted on at most SAMPLE of the shard's vectors.  Only a pair that lies
+past the OVERLAP nearest centroids of both can be missed.  audit() measures recall against
 brute force for the vectors whose id is divisible by 100.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite numbers, and rows with a
@@ -41,6 +43,9 @@ COSINE = 0.98
 SAMPLE = 20_000
 SHARD = 1000
 CHUNK = 2000
+#: Shards that a vector may be in, the nearest first; shards of over SPLIT * SHARD vectors are dealt anew among
+#: centroids of their own, LEVELS deals in all, where the parts are smaller on average by a factor of WORTH.
+OVERLAP, SPLIT, LEVELS, WORTH = 6, 4, 3, 2
 DEGREE = 32
 NEAR, FAR = 64, 16
 ALPHA = 1.2
@@ -70,16 +75,31 @@ def kmeans(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return np.unique(centres, axis=0)
 
 
-def shards_of(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, shard, home) of unit vectors: the home and each shard whose bisector lies within the radius."""
+def apart(centres: np.ndarray, radius: float) -> np.ndarray:
+    """Centroids further than the radius from each other: those inside a ball of near copies become one.
+
+    There every vector links to every other, so to deal them to many shards would only copy or lose links.
+    """
+    kept: list[int] = []
+    for i in range(len(centres)):
+        if not kept or np.linalg.norm(centres[kept] - centres[i], axis=1).min() > radius:
+            kept.append(i)
+    return centres[kept]
+
+
+def shards_of(x: np.ndarray, centres: np.ndarray, margin: float | np.ndarray, most: int = OVERLAP) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, shard, home) of unit vectors: the nearest centroid, and of the ``most`` nearest those whose bisector with it lies within the margin."""
     dist = (x**2).sum(axis=1)[:, None] - 2 * x @ centres.T + (centres**2).sum(axis=1)
-    home = dist.argmin(axis=1)
-    apart = np.sqrt(np.maximum(((centres[:, None] - centres[None]) ** 2).sum(axis=2), 1e-300))
-    margin = (dist - dist[np.arange(len(x)), home][:, None]) / (2 * apart[home])
-    inside = margin <= radius + 1e-9
-    inside[np.arange(len(x)), home] = True
-    row, shard = np.nonzero(inside)
-    return row, shard, shard == home[row]
+    few = min(most, len(centres))
+    near = np.argpartition(dist, few - 1, axis=1)[:, :few]
+    own = np.take_along_axis(dist, near, axis=1)
+    order = np.argsort(own, axis=1, kind="stable")
+    near, own = np.take_along_axis(near, order, axis=1), np.take_along_axis(own, order, axis=1)
+    apart = np.linalg.norm(centres[near] - centres[near[:, :1]], axis=2)
+    inside = (own - own[:, :1]) / (2 * np.maximum(apart, 1e-150)) <= np.broadcast_to(margin, len(x))[:, None] + 1e-9
+    inside[:, 0] = True
+    row, at = np.nonzero(inside)
+    return row, near[row, at], at == 0
 
 
 # -- the graph of one chunk ------------------------------------------------------------------------
@@ -244,7 +264,65 @@ def _valid(vec: str, label: str):
     return F.coalesce(F.col(label).isNotNull() & c.isNotNull() & (F.size(c) > 0) & finite & F.exists(c, lambda x: x != 0), F.lit(False))
 
 
-def _centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
+def split_centres(x: np.ndarray, k: int, radius: float) -> np.ndarray | None:
+    """About k centroids for a shard from a sample of it; None where they would not part it, as in a ball of near copies."""
+    k = min(k, len(x) // 8)
+    if k < 2:
+        return None
+    centres = apart(kmeans(x, k), radius)
+    row, _, _ = shards_of(x, centres, radius / 2)
+    return centres if len(row) * WORTH <= len(x) * len(centres) else None
+
+
+def refine(dealt: DataFrame, radius: float) -> tuple[DataFrame, bool]:
+    """The deal with each shard of over SPLIT * SHARD vectors dealt anew among centroids of its own, and whether any was.
+
+    A vector that is at home in the shard goes to the parts within half the radius of its own, like in the first
+    deal.  A guest goes to those within the whole radius: only the partner at home searches there.
+    """
+    sizes = stage(dealt.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SPLIT * SHARD), "large-shards", small=True)
+    if sizes.isEmpty():
+        return dealt, False
+    large = dealt.join(sizes, "shard")
+    share = F.least(F.lit(float(SAMPLE)), 8.0 * F.col("n") / SHARD) / F.col("n") * (1 << 30)
+    some = large.where(F.pmod(F.xxhash64(F.lit(17), "id"), F.lit(1 << 30)) < share).select("shard", "n", "id", "vec")
+
+    wanted = SHARD
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("id")
+        centres = split_centres(unit(_matrix(pdf["vec"])), round(pdf["n"].iloc[0] / wanted), radius)
+        rows = [] if centres is None else [(pdf["shard"].iloc[0], int(pdf["n"].iloc[0]), centres.tobytes(), len(centres))]
+        return pd.DataFrame(rows, columns=["shard", "n", "centres", "k"])
+
+    # a sample holds SAMPLE vectors of a shard at most, so a group is bounded
+    fitted = stage(some.groupBy("shard").applyInPandas(fit, "shard string, n long, centres binary, k long"), "shard-centres")
+    if fitted.isEmpty():
+        return dealt, False
+    salts = F.ceil(F.col("n") / SAMPLE).cast("int")
+    rows = dealt.join(fitted.select("shard", salts.alias("salts")), "shard").withColumn("salt", F.pmod(F.xxhash64(F.lit(19), "id"), F.col("salts")).cast("int"))
+    held = again(fitted).withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+
+    def deal(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        names = ["grp", "vec", "id", "copies", "shard", "at_home"]
+        if not len(left) or not len(right):
+            return pd.DataFrame({c: [] for c in names})
+        centres = np.frombuffer(right["centres"].iloc[0]).reshape(int(right["k"].iloc[0]), -1)
+        home = (left["home"] == left["shard"]).to_numpy()
+        row, part, first = shards_of(unit(_matrix(left["vec"])), centres, np.where(home, radius / 2, radius))
+        out = left.iloc[row].assign(shard=[f"{key[0]}/{p}" for p in part], at_home=first & home[row])
+        return out[names]
+
+    kind = "grp string, vec array<double>, id long, copies long, shard string, at_home boolean"
+    parted = rows.select("grp", "vec", "id", "copies", "shard", "home", "salt").groupBy("shard", "salt").cogroup(held.groupBy("shard", "salt")).applyInPandas(deal, kind)
+    whole = dealt.join(again(fitted).select("shard"), "shard", "left_anti").select("grp", "vec", "id", "copies", "shard", (F.col("home") == F.col("shard")).alias("at_home"))
+    member = stage(parted.unionByName(whole), "members")
+    # a vector is in a bounded number of shards
+    named = member.groupBy("id").agg(F.max(F.when(F.col("at_home"), F.col("shard"))).alias("home"), F.collect_set("shard").alias("shards"))
+    return stage(member.drop("at_home").join(named, "id").select("grp", "vec", "id", "copies", "shard", "home", "shards"), "shards"), True
+
+
+def _centroids(nodes: DataFrame, radius: float) -> dict[str, np.ndarray]:
     """Centroids by group (label and length) from a bounded sample taken by hash."""
     n = nodes.count()
     share = int((1 << 30) * min(1.0, SAMPLE / max(1, n)))
@@ -253,7 +331,7 @@ def _centroids(nodes: DataFrame) -> dict[str, np.ndarray]:
     for grp, part in some.groupby("grp"):
         k = min(round(len(part) * n / max(1, len(some)) / SHARD), len(part) // 8)
         if k > 1:
-            out[grp] = kmeans(unit(_matrix(part["vec"])), k)
+            out[grp] = apart(kmeans(unit(_matrix(part["vec"])), k), radius)
     return out
 
 
@@ -263,8 +341,8 @@ def links(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
     rows = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vec_col).alias("vec")).where(F.col("id").isNotNull() & _valid("vec", "label"))
     group = F.concat_ws(":", F.size("vec").cast("string"), "label")
     nodes = stage(rows.groupBy(group.alias("grp"), "vec").agg(F.min("id").alias("id"), F.count("*").alias("copies")), "vectors")
-    centres = nodes.sparkSession.sparkContext.broadcast(_centroids(nodes))
     radius = float(np.sqrt(max(0.0, 2 - 2 * cosine)))
+    centres = nodes.sparkSession.sparkContext.broadcast(_centroids(nodes, radius))
 
     def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -279,6 +357,10 @@ def links(embeddings: DataFrame, cosine: float = COSINE, id_col: str = "vec_id",
                 yield part.iloc[row].assign(shard=names, home=names[home][row], shards=[every[r] for r in row])
 
     dealt = stage(nodes.mapInPandas(deal, "grp string, vec array<double>, id long, copies long, shard string, home string, shards array<string>"), "shards")
+    for _ in range(LEVELS - 1):
+        dealt, more = refine(dealt, radius)
+        if not more:
+            break
     sizes = stage(dealt.groupBy("shard").agg(F.count("*").alias("n")).select("shard", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks")), "shard-sizes")
     member = dealt.join(sizes, "shard").withColumn("chunk", F.pmod(F.xxhash64(F.lit(11), "id"), F.col("chunks")).cast("int"))
 
@@ -346,11 +428,14 @@ def near_duplicates(embeddings: DataFrame, cosine: float = COSINE, id_col: str =
     nodes, found = links(embeddings, cosine, id_col, vec_col, label_col)
     parts = connected_components(found.select(F.col("id").alias("a"), F.col("root").alias("b")))
     counts = found.groupBy("id").agg(F.sum("n").alias("n"))
-    node = nodes.select("grp", "vec", "id", "copies").join(counts, "id", "left").join(parts.toDF("id", "component"), "id", "left")
-    node = node.select("grp", "vec", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
+    # rows meet their node by 128 bits of the vector, so vectors do not travel again; zeros have one sign
+    plain = lambda c: F.transform(c, lambda x: x.cast("double") + F.lit(0.0))
+    bits = lambda c: (F.xxhash64(F.lit(0), plain(c)).alias("h0"), F.xxhash64(F.lit(1), plain(c)).alias("h1"))
+    node = nodes.select("grp", *bits("vec"), "id", "copies").join(counts, "id", "left").join(parts.toDF("id", "component"), "id", "left")
+    node = node.select("grp", "h0", "h1", "copies", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("component", "id").alias("component"))
     group = F.when(_valid(vec_col, label_col), F.concat_ws(":", F.size(vec_col).cast("string"), F.col(label_col).cast("string")))
-    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), group.alias("grp"), F.col(vec_col).alias("vec"))
-    both = rows.join(stage(node, "judged"), ["grp", "vec"], "left")
+    rows = embeddings.select(F.col(id_col).cast("long").alias("vec_id"), group.alias("grp"), *bits(vec_col))
+    both = rows.join(stage(node, "judged"), ["grp", "h0", "h1"], "left")
     own = F.coalesce("component", "vec_id")
     links_ = F.when(F.col("vec_id").isNull() | F.col("n").isNull(), F.lit(0)).otherwise(F.col("n") + F.col("copies") - 1).cast("long")
     return both.select("vec_id", links_.alias("n_links"), F.when(F.col("vec_id").isNotNull(), own).alias("component_id"), (F.col("vec_id") == own).alias("kept"))
