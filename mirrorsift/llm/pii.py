@@ -3,15 +3,17 @@
 Base spans (email, ip, card, phone) come from fixed patterns and always stay.  The field adds spans: its
 nodes are the base matches and the other tokens of a text that hold a digit or an at sign, digit groups that
 single spaces separate being one token; texts without base matches are judged, too.  Neighbouring
-nodes share a chain potential; distant nodes with the same key (the same last seven digits, or the same
-local part of an address) share a skip potential, so that a number written out once as a phone number is
+nodes share a chain potential; distant nodes that are alike share skip potentials: by the same last seven
+digits, the same network address (whatever its port), or the same local part of a mail address (whatever its
+case, its dots and dashes, and what follows a plus sign).  So a number written out once as a phone number is
 labelled as one wherever it is repeated in another form.  Base matches are observed; the labels of the
 other nodes come from loopy belief propagation.  A node labelled as an entity becomes an added span.
 
-Repeats of one key are linked through a hub variable, so m repeats make m edges.  The weights (shape and
-cue features by label, chain and skip agreement) are learned by regularised pseudo-likelihood from the
-base matches of a sample of at most TRAIN_DOCS documents taken by hash; whether a pattern matched is never
-a feature, a checksum that fails is.  The scans are linear in the text: each pattern is matched from its rarest character.
+Repeats of one key are linked through a hub variable, the label of that value in the document, so m repeats
+make m edges.  The hub of a base match is observed like the match itself.  The weights (shape and cue features
+by label, chain and skip agreement) are learned by regularised pseudo-likelihood from the nodes of a sample of
+at most TRAIN_DOCS documents, TEXT_NODES nodes a text and TRAIN_NODES in all, all taken by hash; whether a
+pattern matched is never a feature, a checksum that fails is.  The scans are linear in the text: each pattern is matched from its rarest character.
 
 Defined results: null texts are empty; repeated rows give repeated results; a null doc_id is passed
 through and is not trained on; without training data the added spans come from agreement alone; extra
@@ -43,10 +45,13 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 TOKEN = re.compile(r"[0-9@]\S*+")
 GROUPS = re.compile(r"[+(]*[0-9][0-9().+-]*\Z")
+ADDRESS = re.compile(r"([0-9]+(?:\.[0-9]+){3})(?::[0-9]+)?\Z")
 RUN_DIGITS = 19
 CUES = {"email": ("mail", "contact", "@"), "ip": ("ip", "host", "addr", "server"), "card": ("card", "visa", "credit", "iban", "account"), "phone": ("phone", "tel", "call", "fax", "mobile")}
 
+#: Bounds of the training sample: documents, nodes of one text, nodes in all.
 TRAIN_DOCS = 20_000
+TEXT_NODES = 1000
 TRAIN_NODES = 200_000
 ROUNDS = 20
 TIE = 7
@@ -145,8 +150,13 @@ def _shape(text: str, start: int, end: int) -> tuple[float, ...]:
 
 
 def _key(own: str) -> str:
+    """What repeats of a value have in common; '' for tokens that say too little."""
     if "@" in own:
-        return "@" + own[: own.index("@")].lower().strip("<(\"'.,;:")
+        local = own[: own.index("@")].lower().strip("<(\"'.,;:").split("+")[0]
+        return "@" + re.sub(r"[._-]", "", local)
+    address = ADDRESS.match(own)
+    if address:
+        return "ip" + ".".join(p.lstrip("0") or "0" for p in address[1].split("."))
     digits = re.sub(r"[^0-9]", "", own)
     return digits[-TIE:] if len(digits) >= TIE else ""
 
@@ -269,7 +279,7 @@ def beliefs(nodes: list[Node], field: Field) -> np.ndarray:
         edges += [(i, n + h, field.skip) for i in g]
     hubs = np.zeros((len(groups), k))
     for h, g in enumerate(groups):
-        for i in g:  # what is observed under a key outweighs any number of repeats without evidence of their own
+        for i in g:  # an observed hub: no number of repeats without evidence of their own changes it
             if nodes[i].label >= 0:
                 hubs[h, nodes[i].label] = 1e9
     local = np.vstack([unary, hubs])
@@ -360,10 +370,16 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Fi
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows = [r for t in b.column(0) for r in training_rows(t.as_py())[:1000]]
+            rows = []
+            for t in b.column(0):
+                found = training_rows(t.as_py())
+                # of a text with more nodes, evenly spaced ones
+                rows += found if len(found) <= TEXT_NODES else [found[i * len(found) // TEXT_NODES] for i in range(TEXT_NODES)]
             yield pa.RecordBatch.from_arrays([pa.array(rows, type=pa.list_(pa.float64()))], names=["x"])
 
-    sample = some.mapInArrow(run, "x array<double>").limit(TRAIN_NODES).toPandas()
+    made = some.mapInArrow(run, "x array<double>")
+    # the first by hash are the same whatever the partitions; equal rows are interchangeable
+    sample = made.orderBy(F.xxhash64(F.lit(7), "x"), "x").limit(TRAIN_NODES).toPandas()
     rows = np.array(sample["x"].tolist(), dtype=float).reshape(-1, N_SHAPE + 2 * len(LABELS) + 1)
     return fit(rows[np.lexsort(rows.T[::-1])])
 
