@@ -3,7 +3,7 @@
 Trusted positives are rows labelled quality 1; the unlabelled set is web text whatever its label.  The
 class prior is estimated as the smallest ratio of unlabelled to positive mass over upper level sets of a
 first positive-against-unlabelled score (no set can hold more positives than the unlabelled text has).
-A linear model of text statistics then minimises
+A linear model of text statistics and of word frequencies, hashed to LEXICAL buckets, then minimises
 
     prior * E_p[l(g)] + max(0, E_u[l(-g)] - prior * E_p[l(-g)]),   l(g) = log(1 + exp(-g)),
 
@@ -26,17 +26,18 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorsift.llm.words import encoded, word_blocks
 from mirrorsift.runtime import configure, spread
 
-MAX_POSITIVES = 20_000
-MAX_UNLABELLED = 40_000
+MAX_POSITIVES = 10_000
+MAX_UNLABELLED = 20_000
 FOLDS = 5
 THRESHOLD = 0.3
-STEPS, RATE, RIDGE = 1500, 0.05, 1e-4
+STEPS, RATE, RIDGE = 800, 0.08, 1e-4
 
 
 def _class(chars: bytes) -> np.ndarray:
@@ -49,13 +50,28 @@ CLASSES = np.stack([
     _class(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"), _class(b"abcdefghijklmnopqrstuvwxyz"), _class(b"0123456789"), _class(b".,;:?"), _class(b"!"), _class(b"|"),
     _class(b"#$%&*@^~_=+<>{}[]\\/`"), _class(b"\n"), _class(bytes(range(128, 256))), _class(b"'\"()-"),
 ])
-N_FEATURES = 15
+N_STATISTICS, LEXICAL = 15, 64
+N_FEATURES = N_STATISTICS + LEXICAL
+
+
+class Buckets(dict):
+    """The bucket of each word, whatever its case; forgotten when there are too many words."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) > 1 << 20:
+            self.clear()
+        value = self[word] = xxhash.xxh64_intdigest(word.lower()) % LEXICAL
+        return value
+
+
+_BUCKETS = Buckets()
 
 
 def features(text: str | None) -> np.ndarray:
-    """Numbers of a whole text that do not depend on its language; zeros for a text without words."""
+    """Statistics of a whole text and the frequencies of its words' buckets; zeros for a text without words."""
     data = encoded(text)
     n = same = longest = 0
+    held = np.zeros(LEXICAL)
     kinds, weight = 0.0, 0
     last = None
     for words in word_blocks(data):
@@ -63,6 +79,7 @@ def features(text: str | None) -> np.ndarray:
             continue
         same += sum(map(operator.eq, words, words[1:])) + (last == words[0])
         last = words[-1]
+        held += np.bincount(np.fromiter(map(_BUCKETS.__getitem__, words), dtype=np.int64, count=len(words)), minlength=LEXICAL)
         n += len(words)
         longest = max(longest, max(map(len, words)))
         kinds += len(words) * np.log(len(set(words)) + 1) / np.log(len(words) + 1)
@@ -74,6 +91,7 @@ def features(text: str | None) -> np.ndarray:
     return np.concatenate([
         np.log1p(20 * share),
         [np.log1p(n), (upper + lower + digit + high) / n, kinds / weight, np.log1p(longest), upper / max(1.0, upper + lower), high / len(data), np.log1p(20 * abs(upper - stop) / n)],
+        np.log1p(20 * held / n),
     ])
 
 
@@ -126,6 +144,8 @@ def fit(pos: np.ndarray, unl: np.ndarray) -> Model | None:
     both = np.concatenate([pos, unl])
     mean, scale = both.mean(axis=0), both.std(axis=0)
     scale[scale < 1e-9] = 1.0
+    # all buckets together weigh as much as one statistic, so that the ridge holds them back
+    scale[N_STATISTICS:] *= np.sqrt(LEXICAL)
     design = lambda x: np.hstack([np.clip((x - mean) / scale, -8, 8), np.ones((len(x), 1))])
     p, u = design(pos), design(unl)
 
@@ -171,11 +191,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model | None:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            x = [features(t.as_py()).tolist() for t in b.column(0)]
-            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, type=pa.list_(pa.float64()))], names=["positive", "unlabelled", "x"])
+            x = [features(t.as_py()).tobytes() for t in b.column(0)]
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(x, type=pa.binary())], names=["positive", "unlabelled", "x"])
 
-    sample = rows.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled").mapInArrow(run, "positive boolean, unlabelled boolean, x array<double>").toPandas()
-    take = lambda c: np.array(sample.loc[sample[c], "x"].tolist(), dtype=float).reshape(-1, N_FEATURES)
+    sample = rows.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), "unlabelled").mapInArrow(run, "positive boolean, unlabelled boolean, x binary").toPandas()
+    take = lambda c: np.frombuffer(b"".join(sample.loc[sample[c], "x"])).reshape(-1, N_FEATURES)
     order = lambda x: x[np.lexsort(x.T[::-1])]  # noqa: E731  the same sums whatever the order of tasks
     return fit(order(take("positive")), order(take("unlabelled")))
 
