@@ -40,6 +40,22 @@ def test_prior_and_risk():
     assert (m.score(neg) < 0.5).mean() > 0.95 and (m.score(pos) >= 0.5).mean() > 0.95
 
 
+def test_risk_is_least(monkeypatch):
+    """The fitted risk against a search over a grid of one-dimensional models, and the step where the risk would turn negative."""
+    r = np.random.default_rng(2)
+    pos, unl = r.normal(1.5, 1, (1500, 1)), np.concatenate([r.normal(1.5, 1, (900, 1)), r.normal(-1.5, 1, (600, 1))])
+    m = quality.fit(pos, unl)
+    soft = lambda z: np.logaddexp(0, z)
+
+    def risk(gp, gu):
+        return m.prior * soft(-gp).mean() + max(0.0, soft(gu).mean() - m.prior * soft(gp).mean())
+
+    z = lambda x: np.clip((x[:, 0] - m.mean[0]) / m.scale[0], -8, 8)
+    best = min(risk(w * z(pos) + b, w * z(unl) + b) for w in np.linspace(0, 8, 41) for b in np.linspace(-6, 6, 61))
+    assert risk(m.margin(pos), m.margin(unl)) <= best + 0.01
+    assert abs(m.prior - 0.6) < 0.06
+
+
 def test_features_in_blocks(monkeypatch):
     from mirrorsift.llm.words import word_blocks
 
@@ -96,6 +112,14 @@ def test_mixing_high_rates_and_edges(spark):
     assert mixing.poisson_mix(docs, {}).count() == 0
 
 
+def test_mixing_rows_without_ids(spark):
+    docs = spark.createDataFrame([(None, f"text {i}", "en", "a", i) for i in range(2000)], DOCS)
+    for seed in range(3):
+        got = mixing.poisson_mix(docs, {"a": 1.0}, seed=seed).collect()
+        n = Counter(x.text for x in got)
+        assert 1700 < len(got) < 2300 and 600 < 2000 - len(n) < 870 and len({x.order_key for x in got}) == len(got)
+
+
 def test_mixing_is_repeatable_and_shuffled(spark):
     docs = spark.createDataFrame([(i, "t", "en", f"s{i % 4}", 1) for i in range(800)], DOCS)
     a, b = mixing.poisson_mix(docs).collect(), mixing.poisson_mix(docs.repartition(7)).collect()
@@ -140,6 +164,11 @@ def test_selected_records_and_payloads(spark):
         assert a.archive != b.archive or a.offset + a.length == b.offset
 
 
+def test_payloads_can_stay(spark):
+    index = warc.write(pages_of(spark, [(1, "u", BIG), (2, "v", BIG)]))
+    assert "payload" not in warc.read(index, payload=False).columns and {x.payload_bytes for x in warc.read(index, payload=False).collect()} == {len(BIG.encode()), None}
+
+
 def test_ranges():
     assert warc.ranges([(0, 10), (10, 5), (100, 5), (300, 1)], gap=100, most=1000) == [(0, 105, 0, 2), (300, 301, 3, 3)]
     assert warc.ranges([(0, 10), (10, 10)], gap=0, most=15) == [(0, 10, 0, 0), (10, 20, 1, 1)]
@@ -192,3 +221,61 @@ def test_pipeline_stages(spark, sf_dir):
         else:
             assert set(after) <= set(before) and out.columns == [*columns, "n_copies", "copy", "order_key"]
         docs = out
+
+
+def plain_redaction(rows):
+    """doc_id -> text with live secrets masked, by regular expressions and counts in memory."""
+    import re
+
+    assign = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
+    kinds = [("assign", assign, 1, 12), ("access", re.compile("AKIA[A-Z0-9]{14,}"), 0, 0), ("hex", re.compile("[0-9a-f]{16,}"), 0, 0), ("token", re.compile("[A-Za-z0-9+/_-]{24,}"), 0, 0)]
+    held, seen = {}, {}
+    for d, text, source in rows:
+        for kind, pattern, group, least in kinds:
+            for m in pattern.finditer(text):
+                if len(v := m.group(group)) >= least:
+                    held.setdefault(v, (set(), set()))[0].add(source)
+                    held[v][1].add(d)
+                    seen.setdefault(d, set()).add((kind, v))
+    random_ = lambda v: len(v) >= 16 and len(set(v)) >= 8 and re.search("[0-9]", v) and re.search("[A-Za-z]", v)
+    out = {}
+    for d, text, _ in rows:
+        live = {v for k, v in seen.get(d, ()) if len(held[v][0]) < 3 and not (len(held[v][1]) >= 100 and not random_(v)) and (k != "token" or random_(v))}
+        for _, pattern, group, _ in kinds:
+            text = pattern.sub(lambda m: m.group()[: len(m.group()) - len(m.group(group))] + secrets.MASK if m.group(group) in live else m.group(), text)  # noqa: B023
+        out[d] = text
+    return out
+
+
+def test_pipeline_against_loops(spark, sf_dir):
+    """All rows of the pipeline from loops over the documents: scores, all pairs, all windows, counts and draws."""
+    from test_dedup import brute_components
+    from test_scans import brute_contaminated
+
+    from mirrorsift.llm import decontam
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = quality.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    rows = {x.doc_id: x for x in docs.collect() if model.score(quality.features(x.text)[None])[0] >= quality.THRESHOLD}
+    rows = {d: rows[d] for d, _, c in brute_components([(d, x.text) for d, x in rows.items()]) if d == c}
+    tokens = lambda df, key: {x[0]: x[1].split() for x in df.select(key, decontam.canonical(F.col("text"))).collect()}
+    items = tokens(spark.read.parquet(f"{sf_dir}/benchmark.parquet"), "item_id")
+    kept = {d: t for d, t in tokens(docs, "doc_id").items() if d in rows}
+    assert min(map(len, items.values())) >= 5
+    dirty = {d for d, _ in brute_contaminated(kept, items)}
+    rows = {d: x for d, x in rows.items() if d not in dirty}
+    texts = plain_redaction([(d, x.text, x.source) for d, x in rows.items()])
+    sizes = Counter(x.source for x in rows.values())
+    whole = sum(math.sqrt(n) for n in sizes.values())
+    want = Counter()
+    for d, x in rows.items():
+        rate = math.sqrt(sizes[x.source]) * len(rows) / whole / sizes[x.source]
+        u, k, p = int(hashlib.md5(f"0:1:{d}".encode()).hexdigest()[:13], 16) / 2**52, 0, math.exp(-rate)
+        c = p
+        while c <= u:
+            k += 1
+            p *= rate / k
+            c += p
+        want.update((d, texts[d], x.lang, x.source, k, i) for i in range(1, k + 1))
+    got = Counter((x.doc_id, x.text, x.lang, x.source, x.n_copies, x.copy) for x in corpus_pipeline.run(spark, sf_dir).collect())
+    assert got == want and dirty and len(want) > 50

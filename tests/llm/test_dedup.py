@@ -107,6 +107,18 @@ def test_simhash_edges(spark):
         simhash.fingerprint_components(spark.createDataFrame([(1,)], "fp long"), 5)
 
 
+def test_simhash_ids(spark):
+    a, b, c = "a b c d e f", "x y z w v u t", "p q r s t u v w"
+    rows = [(None, a), (None, b), (5, a), (6, b), (7, a + " one"), (8, None)]
+    got = {(x.doc_id, x.fingerprint): x.component_id for x in simhash.near_duplicates(docs_of(spark, rows)).collect()}
+    print_ = lambda t: f"{plain_fingerprint(t):016x}"
+    assert got[5, print_(a)] == 5 and got[6, print_(b)] == 6 and got[None, print_(a)] == 5 and got[None, print_(b)] == 6
+    rows = [(7, a), (7, b), (7, c), (5, c), (6, a)]
+    assert {x.component_id for x in simhash.near_duplicates(docs_of(spark, rows)).collect()} == {5}
+    lone = simhash.near_duplicates(docs_of(spark, [(None, a), (None, a)])).collect()
+    assert len(lone) == 2 and {x.component_id for x in lone} == {None}
+
+
 # -- passages --------------------------------------------------------------------------------------
 
 
@@ -151,6 +163,41 @@ def test_passages_in_pieces_and_salts(spark, monkeypatch):
     assert sorted(map(tuple, got)) == sorted(brute_passages(rows))
 
 
+def test_passages_hot_and_missing_ids(spark, monkeypatch):
+    monkeypatch.setattr(passages, "SPLIT", 0.25)
+    r = random.Random(3)
+    hot = " ".join(f"h{i}" for i in range(30))
+    rows = [(7, f"{hot} a{i}") for i in range(40)] + [(None, hot)] * 30 + [(3, hot), (9, hot + " z")] + [(i, " ".join(f"u{r.randrange(99)}" for _ in range(40))) for i in range(20, 40)]
+    got = passages.remove_repeats(docs_of(spark, rows), bucket_bytes=256).collect()
+    key = lambda x: (x[0] is None, x[0] or 0, x)
+    assert sorted(map(tuple, got), key=key) == sorted(brute_passages(rows), key=key)
+
+
+def test_windows_are_told_apart_by_all_bits():
+    keys, more = np.array([3, 5, 5, 9], dtype=np.uint64), np.array([1, 2, 4, 7], dtype=np.uint64)
+    have, also = np.array([5, 5, 5, 3, 9, 1, 10], dtype=np.uint64), np.array([4, 2, 3, 1, 8, 1, 1], dtype=np.uint64)
+    assert passages.find_pairs(keys, more, have, also).tolist() == [2, 1, -1, 0, -1, -1, -1]
+    assert passages.covered(np.array([2, 4], dtype=np.uint32), 3).tolist() == [False, False, True, True, True, True, True]
+
+
+def test_windows_that_share_their_first_word(spark, monkeypatch):
+    """All windows of a document get one key, so only the other bits tell them apart."""
+    monkeypatch.setattr(passages, "level_windows", lambda ids, left, lengths, filters: ((at := np.flatnonzero(left >= 13)), np.full(len(at), 77, dtype=np.uint64)))
+    r = random.Random(5)
+    shared = " ".join(f"s{i}" for i in range(20))
+    rows = [(i, " ".join([*(f"u{r.randrange(10**6)}" for _ in range(20)), *([shared] if i % 2 else [])])) for i in range(8)]
+    docs = docs_of(spark.newSession(), rows).coalesce(1)
+    found, _ = passages.repeats(docs.select("doc_id", "text"))
+    got = sorted((d, p) for x in found.collect() for d, p in zip(np.frombuffer(x.docs, dtype=np.int64).tolist(), np.frombuffer(x.places, dtype=np.uint32).tolist(), strict=True))
+    assert got == [(i, p) for i in (3, 5, 7) for p in range(20, 28)]
+
+
+def test_groups_are_those_of_spark(spark):
+    ids = [0, 1, -1, 7, 2**62, -(2**63), 10**12]
+    got = spark.createDataFrame([(i,) for i in ids], "i long").selectExpr("pmod(xxhash64(i), 1024) as g").collect()
+    assert passages.group_of(np.array(ids, dtype=np.int64), 1024).tolist() == [x.g for x in got]
+
+
 def test_passages_without_repeats(spark):
     rows = [(1, "a b c"), (2, " ".join(f"x{i}" for i in range(50)))]
     assert sorted(map(tuple, passages.remove_repeats(docs_of(spark, rows)).collect())) == sorted(brute_passages(rows))
@@ -210,6 +257,31 @@ def test_graph_finds_all_links(spark, monkeypatch, shard, chunk):
     assert there == 0 or found / there >= 0.9
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_levels_lose_no_link(spark, monkeypatch, seed):
+    """Shards that are dealt again: clusters at three scales, and a ball of near copies that cannot be parted."""
+    monkeypatch.setattr(neargraph, "SHARD", 6)
+    monkeypatch.setattr(neargraph, "_centroids", lambda nodes, radius: {})  # the first deal leaves one shard
+    r = np.random.default_rng(seed)
+    broad = r.normal(size=(6, 24))
+    rows = []
+    for i in range(420):
+        v = broad[r.integers(6)] + 0.5 * r.normal(size=24) if i % 3 else broad[0] + r.normal(scale=0.01, size=24)
+        if i % 5 == 0 and rows:
+            v = np.array(rows[r.integers(len(rows))][1]) + r.normal(scale=0.02, size=24)
+        rows.append((i, [float(np.float32(x)) for x in v], 1))
+    rows += [(500, [0.0] * 23 + [1.0], 1), (501, [-0.0] * 23 + [1.0], 1)]
+    deals = []
+    refine = neargraph.refine
+    monkeypatch.setattr(neargraph, "refine", lambda d, radius: deals.append(refine(d, radius)) or deals[-1])
+    got = sorted((x.vec_id, x.n_links, x.component_id, x.kept) for x in neargraph.near_duplicates(vecs_of(spark, rows)).collect())
+    want = brute_links(rows)
+    assert any(more for _, more in deals)
+    found, there = sum(min(g[1], w[1]) for g, w in zip(got, want, strict=True)), sum(w[1] for w in want)
+    assert all(g[1] <= w[1] for g, w in zip(got, want, strict=True)) and found / there >= 0.98
+    assert got[-1] == (501, 1, 500, False)
+
+
 def test_graph_edges(spark):
     one = [1.0] + [0.0] * 3
     got = neargraph.near_duplicates(vecs_of(spark, [(None, one, 1), (1, one, 1), (2, one, 1)])).collect()

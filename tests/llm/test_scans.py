@@ -1,10 +1,13 @@
 import hashlib
 import re
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from mirrorsift.llm import decontam, licenses, pii, secrets
 
 DOCS = "doc_id long, text string, lang string, source string, found string, spans string, hash string, at string, template string"
@@ -63,6 +66,46 @@ def test_field_joins_groups_of_digits():
     assert added == ["974 555 3436"] * 2
 
 
+def enumerated(nodes, field):
+    """Marginals by summing over all labellings of nodes and hubs."""
+    from itertools import product
+
+    chain, groups = pii.links_of(nodes)
+    k, n = len(pii.LABELS), len(nodes)
+    unary = np.array([x.shape for x in nodes]) @ field.unary
+    free = [[x.label] if x.label >= 0 else [v for v in range(k) if v not in x.barred] for x in nodes]
+    free += [[lab[0]] if (lab := [nodes[i].label for i in g if nodes[i].label >= 0]) else list(range(k)) for g in groups]
+    out = np.zeros((n, k))
+    for v in product(*free):
+        score = sum(unary[i, v[i]] for i in range(n)) + field.chain * sum(v[a] == v[b] for a, b in chain)
+        score += field.skip * sum(v[i] == v[n + h] for h, g in enumerate(groups) for i in g)
+        out[range(n), v[:n]] += np.exp(score)
+    return out / out.sum(axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("text", [
+    "host 10.0.0.1 up, see 10.0.0.1:8080 later", "tel 974 555 3436 or 12345 and 555-3436", "mail a.b@x or ab+z@y.org now 77", "one 1234567 two",
+    "+1 (974) 555-3436 then 555-3436 then 9745553436",
+])
+def test_messages_against_enumeration(text):
+    r = np.random.default_rng(len(text))
+    field = pii.Field(r.normal(scale=0.4, size=(pii.N_SHAPE, len(pii.LABELS))), 0.3, 1.1)
+    nodes = pii.nodes_of(text, pii.base_spans(text))
+    got, want = pii.beliefs(nodes, field), enumerated(nodes, field)
+    # exact where the graph is a tree; near copies of the marginals where chain and skips make loops
+    assert np.abs(got - want).max() < 0.03 and (got.argmax(axis=1) == want.argmax(axis=1)).all()
+
+
+def test_similar_values_share_a_key():
+    key = pii._key
+    assert key("10.0.0.1") == key("10.0.0.1:8080") == key("010.0.0.1") != key("10.0.0.2")
+    assert key("John.Doe@a.org") == key("johndoe+news@b.com") and key("jane@a.org") != key("john@a.org")
+    assert key("555-3436") == key("+1 (974) 555-3436") and key("12") == ""
+    text = "Server 192.168.1.10 is up; the panel is at 192.168.1.10:8080 and 192.168.1.11:8080"
+    added = [text[a:b] for a, k, b in pii.added_spans(text, pii.base_spans(text), pii.default_field()) if pii.KINDS[k] == "ip"]
+    assert "192.168.1.10:8080" not in added  # the address inside is a base match already
+
+
 def test_field_needs_no_base_match(spark):
     field = pii.default_field()
     field.unary[1 + pii.KINDS.index("phone"), pii.LABELS.index("phone")] = 9.0  # the cue before a token
@@ -134,6 +177,11 @@ def test_ownership_tells_examples_from_live(spark):
     empty = docs_of(spark, rows).limit(0)
     assert secrets.scan(empty).count() == 0 and secrets.redact(empty).count() == 0
     assert secrets.redact(docs_of(spark, rows)).columns == docs_of(spark, rows).columns
+    told = dict(x.rsplit(":", 3)[0::3] for x in by[0].ownership.split(","))
+    assert set(told.values()) == {"copied"} and by[0].ownership.endswith(":4:4:copied") and ":2:3:live" in by[11].ownership
+    clash = docs_of(spark, rows).selectExpr("*", "1 as live", "2 as own_id", "3 as judged", "4 as row_key")
+    out = secrets.redact(clash)
+    assert out.columns == clash.columns and out.where("live <> 1 or own_id <> 2").count() == 0 and out.count() == 8
 
 
 def test_weak_secrets_are_masked(spark):
@@ -203,6 +251,108 @@ def test_items_of_few_words_outside_slots(spark):
     assert not matches(spark, own, "what is 1 2 3 then, and compute 1 2 3 4 5 of the capital")
 
 
+def far(a, b, words):
+    return f"{a} " + " ".join(f"filler{i}" for i in range(words)) + f" {b}"
+
+
+def test_places_far_apart_are_judged_alone(spark):
+    item = "the train went 60 km in the morning before it stopped and then the same train went 60 km again in the evening until it stopped"
+    own = spark.createDataFrame([(1, item)], "item_id long, text string")
+    first, second = item.split(" and ")
+    assert matches(spark, own, item.replace("60", "75"))[1].reparameterised
+    for words in (0, 3, 40, 400):
+        assert not matches(spark, own, far(first.replace("60", "70"), "and " + second.replace("60", "80"), words)), words
+    assert not matches(spark, own, far(first, "and " + second, 400))
+    # two copies with values of their own, side by side
+    got = matches(spark, own, f"{item.replace('60', '70')} {item.replace('60', '80')}")
+    assert got[1].coverage == 1.0
+    # words put in are no hindrance
+    assert matches(spark, own, item.replace("evening", "late and cold evening").replace("60", "70"))
+
+
+def brute_contaminated(docs, items, window=5, least=0.8, drift=0.25):
+    """(doc, item) by loops over all windows of all documents, from the tokens alone."""
+    mark = lambda t: t[0] if t[0] in (decontam.NAME, decontam.NUMBER, decontam.UNIT) else t
+    named = lambda t: t[1:] if t[0] == decontam.NAME else mark(t)
+    own = lambda t: t[1:] if t[0] == decontam.NAME else t
+    slots = lambda ts: sum(t in (decontam.NAME, decontam.NUMBER, decontam.UNIT) for t in ts)
+
+    def read(tokens):
+        out = []
+        for i in range(len(tokens) - window + 1):
+            w = tokens[i : i + window]
+            t, n, o = [mark(x) for x in w], [named(x) for x in w], [own(x) for x in w]
+            plain = o if slots(n) > window - 2 else n
+            out.append((plain if slots(t) > window - 2 else t, [plain] if slots(t) > window - 2 else [t, n], o))
+        return out
+
+    found = set()
+    for j, item in items.items():
+        asked = read(item)
+        if not asked:
+            continue
+        for d, doc in docs.items():
+            lines = {}
+            for at, (reading, _, o) in enumerate(read(doc)):
+                for k, (_, known, io) in enumerate(asked):
+                    if reading in known:
+                        ats, pairs_ = lines.setdefault(at - k, (set(), set()))
+                        ats.add(k)
+                        pairs_ |= {(p, q) for m, p, q in zip(reading, io, o, strict=True) if m in (decontam.NAME, decontam.NUMBER, decontam.UNIT)}
+            places, last = [], None
+            for g in sorted(lines):
+                if last is None or g - last > int(len(asked) * drift):
+                    places.append([])
+                places[-1].append(lines[g])
+                last = g
+            for p in places:
+                for some in [p, *([x] for x in p)]:
+                    pairs_ = set().union(*(x[1] for x in some))
+                    if len(set().union(*(x[0] for x in some))) >= least * len(asked) - 1e-9 and len({a for a, _ in pairs_}) == len(pairs_):
+                        found.add((d, j))
+    return found
+
+
+def test_scan_against_all_windows(spark):
+    import random
+
+    r = random.Random(11)
+    words = "the old river town has many small boats and people who like to walk along its banks in summer".split()
+    names, units = ["Maria", "Peter", "Olga"], ["km", "kg", "hours"]
+
+    def sentence(n):
+        out = [r.choice(words) for _ in range(n)]
+        for i in range(2, n, 4):
+            out[i] = r.choice([r.choice(names), str(r.randrange(9)), f"{r.randrange(9)} {r.choice(units)}"])
+        return " ".join(out)
+
+    items = [sentence(r.randrange(6, 26)) for _ in range(14)]
+    docs = []
+    for i in range(90):
+        text = r.choice(items)
+        if r.random() < 0.5:
+            text = text.replace("3", "7").replace("Maria", "Jana")
+        if r.random() < 0.3:
+            text = text.lower()
+        parts = text.split(" ")
+        for _ in range(r.choice([0, 0, 1, 2, 4])):
+            parts[r.randrange(len(parts))] = r.choice(words)
+        docs.append((i, f"{sentence(r.randrange(20))} {' '.join(parts)} {sentence(r.randrange(20))}"))
+    own = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    tokens = lambda df, key: {x[0]: x[1].split() for x in df.select(key, decontam.canonical(F.col("text"))).collect()}
+    want = brute_contaminated(tokens(rows, "doc_id"), tokens(own, "item_id"))
+    got = {(x.doc_id, x.item_id) for x in decontam.scan(rows, own).collect()}
+    assert got == want and len(want) > 30
+
+
+def test_long_text_in_stretches(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "STRETCH", 64)
+    own = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
+    text = "w " * 333 + ITEM + " w" * 500
+    assert set(matches(spark, own, text)) == {1}
+
+
 # -- licenses --------------------------------------------------------------------------------------
 
 
@@ -250,3 +400,38 @@ def test_license_copies_close_together():
     assert found("This code is under the GPL no more. Released under the MIT License. Docs are released under the MIT License under CC.") == [notice] * 2
     assert found("Under the " + "Released under the MIT License. " * 3) == [notice] * 3
     assert found(f"{notice} " * 5000) == [notice] * 5000
+
+
+def test_planted_licenses_are_found():
+    """Noisy copies at known places, several in a text and close together: each is found where it stands, and nothing else is."""
+    import random
+
+    r = random.Random(17)
+    made = [licenses.Template(k, v) for k, v in licenses.TEMPLATES.items()]
+    long = [t for t in made if len(t.words) >= 25]
+    filler = "river stone bright garden walks under seven lamps the and of to software copy use".split()
+    n = 0
+    for _ in range(60):
+        words, planted = [], []
+        for _ in range(r.randrange(1, 4)):
+            words += [r.choice(filler) for _ in range(r.choice([0, 1, 5, 60]))]
+            t = r.choice(long)
+            copy = [w for w in t.words if r.random() > 0.04]
+            for _ in range(len(copy) // 25):
+                copy.insert(r.randrange(len(copy)), r.choice(filler))
+            planted.append((t.name, len(words), len(words) + len(copy)))
+            words += copy
+        text = " ".join(words)
+        starts = {}
+        at = 0
+        for i, w in enumerate(words):
+            starts[at] = i
+            at += len(w) + 1
+        got = [(name, starts[a], starts[a] + len(text[a:b].split())) for name, _, a, b, _ in licenses.scan_text(text, made)]
+        for name, a, b in planted:
+            n += 1
+            assert any(g == name and min(b, y) - max(a, x) >= 0.8 * (b - a) for g, x, y in got), (name, a, b, got)
+        # a place lies in some copy whose text holds that of the template
+        for name, x, y in got:
+            assert any(min(b, y) - max(a, x) >= 0.5 * (y - x) for _, a, b in planted), (name, x, y, planted)
+    assert n > 80
