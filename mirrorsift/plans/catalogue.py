@@ -287,6 +287,13 @@ h AS (SELECT *, CASE WHEN len(clean) > 0 THEN md5(array_to_string(clean[1:10], c
   md5(array_to_string(CASE WHEN more <> '' THEN list_append(clean[greatest(1, len(clean) - 9):len(clean)], more) ELSE clean[greatest(1, len(clean) - 9):len(clean)] END, chr(10))) AS tail FROM g)"""
 
 
+@query(f"WITH {FILES}, {_QUICK} SELECT path, size, CAST(n_lines AS BIGINT) AS line_count, substr(head, 1, 16) AS first_lines_hash, substr(tail, 1, 16) AS last_lines_hash, CAST(len(sample) AS BIGINT) AS n_words, CAST(len(chars) AS BIGINT) AS n_stem_chars FROM h")
+def feature_records(spark: SparkSession, d: str) -> DataFrame:
+    """The features that the quick check reads, of every file."""
+    f = pairs.with_features(spread(text_files(spark, d)))
+    return f.select("path", "size", "line_count", "first_lines_hash", "last_lines_hash", F.size("word_sample").cast("long").alias("n_words"), F.size("stem_chars").cast("long").alias("n_stem_chars"))
+
+
 @query(f"""WITH {FILES}, {_QUICK}
 SELECT a.path AS a, b.path AS b FROM h a JOIN h b ON a.path < b.path AND least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE >= 0.8
 WHERE (a.name = b.name OR least(a.size, b.size) / greatest(a.size, b.size)::DOUBLE >= 0.9 OR coalesce(len(list_intersect(a.chars, b.chars)) / nullif(len(list_distinct(list_concat(a.chars, b.chars))), 0)::DOUBLE, 0) >= 0.3)
