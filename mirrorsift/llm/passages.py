@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mirrorsift.llm.words import encoded, word_blocks
-from mirrorsift.runtime import again, configure, spread, stage
+from mirrorsift.runtime import again, configure, spread, stage, unstage
 
 MAX_FILTER_BITS = 31
 #: Words of a block of documents that is hashed and pre-aggregated at once.
@@ -351,7 +351,10 @@ def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int
     salted = held.join(again(known).select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("docs"), "salts"))
     spread_out = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     pairs = salted.groupBy("bucket", "salt").cogroup(spread_out.groupBy("bucket", "salt"))
-    return stage(pairs.applyInPandas(later, "grp long, docs binary, rows binary, places binary"), "later"), sizes
+    out = stage(pairs.applyInPandas(later, "grp long, docs binary, rows binary, places binary"), "later")
+    unstage(held)
+    unstage(known)
+    return out, sizes
 
 
 def group_of(doc: np.ndarray, groups: int) -> np.ndarray:
