@@ -4,7 +4,7 @@ Writing: payloads get their SHA-256; of equal payloads of at least MIN_REVISIT b
 is the response and the others are revisits.  Each task appends its records, one gzip member each, to
 archives of its own in the shared folder, and returns the index: archive, offset, length, URL, digest.  The
 index is committed by Spark as a table, and only archives that it names count: a task that was lost and run
-again leaves an archive that nothing refers to.
+again leaves an archive that nothing refers to, until clean() deletes it.
 
 Reading: the selected index rows are sorted by archive and offset; ranges that touch or lie within GAP
 bytes of each other are read at once, up to RANGE bytes, so a scan of everything reads long runs and a
@@ -169,6 +169,22 @@ def read(index: DataFrame, folder: str | None = None, payload: bool = True) -> D
     return cut.select("archive", "slice", "offset", "length", "digest").groupBy("archive", "slice").applyInArrow(run, schema)
 
 
+def clean(index: DataFrame, folder: str | None = None) -> int:
+    """Delete the archives of the folder that the index does not name, as lost tasks leave them; how many they were."""
+    spark, folder = index.sparkSession, folder or index._warc_folder
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [x.getPath().getName() for x in store.listStatus(path)] if store.exists(path) else []
+    if not there:
+        return 0
+    # archives are files of ARCHIVE bytes or one a task: their names are few
+    listed = spark.createDataFrame([(x,) for x in there], "archive string")
+    orphans = [x.archive for x in listed.join(index.select("archive").distinct(), "archive", "left_anti").collect()]
+    for name in orphans:
+        store.delete(spark._jvm.org.apache.hadoop.fs.Path(path, name), False)
+    return len(orphans)
+
+
 def round_trip(pages: DataFrame, **columns) -> DataFrame:
     """Write pages and read all records back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
     index = write(pages, **columns)

@@ -164,6 +164,13 @@ def test_selected_records_and_payloads(spark):
         assert a.archive != b.archive or a.offset + a.length == b.offset
 
 
+def test_archives_of_lost_tasks_are_cleaned(spark, tmp_path):
+    folder = f"file://{tmp_path}/warc"
+    index = warc.write(pages_of(spark, [(1, "u", BIG), (2, "v", "x")]), folder)
+    (tmp_path / "warc" / "lost.warc.gz").write_bytes(b"half a record")
+    assert warc.clean(index) == 1 and warc.clean(index) == 0 and warc.read(index).count() == 2
+
+
 def test_payloads_can_stay(spark):
     index = warc.write(pages_of(spark, [(1, "u", BIG), (2, "v", BIG)]))
     assert "payload" not in warc.read(index, payload=False).columns and {x.payload_bytes for x in warc.read(index, payload=False).collect()} == {len(BIG.encode()), None}
