@@ -15,6 +15,7 @@ from mirrorsift.plans import engine
 from mirrorsift.plans.inputs import FILES, IMAGES, VIDEOS, images, table, text_files, videos
 from mirrorsift.runtime import again, new_path, spread, stage
 from mirrorsift.sources.scan import with_video_info
+from mirrorsift.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -194,7 +195,7 @@ SELECT doc_id, CAST(len(lines) + (more <> '')::INTEGER AS BIGINT) AS line_count,
   round(CASE WHEN len(sizes) = 0 THEN 0 ELSE list_avg(sizes) END, 4) AS avg_line_length, round(CASE WHEN len(sizes) = 0 THEN 0 ELSE list_var_pop(sizes) END, 4) AS line_length_variance FROM t""")
 def line_features(spark: SparkSession, d: str) -> DataFrame:
     f = text.line_features(F.col("text"))
-    out = table(spark, d, "documents").select("doc_id", *(c.alias(n) for n, c in f.items()))
+    out = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", *(c.alias(n) for n, c in f.items()))
     return out.withColumns({c: F.round(c, 4) for c in ("avg_line_length", "line_length_variance")})
 
 
@@ -207,19 +208,19 @@ smp AS (SELECT *, list_reduce(list_prepend(CAST([] AS VARCHAR[]), tens), lambda
 @query(f"WITH {FILES}, {_SAMPLES} SELECT doc_id, array_to_string(list_sort(sample), ' ') AS words, CAST(coalesce(list_sum(list_transform(tens, lambda l: len(l))), 0) AS BIGINT) AS word_count FROM smp")
 def word_sample(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.array_sort(text.word_sample(t)), " ").alias("words"), text.sampled_word_count(t).alias("word_count"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.array_join(F.array_sort(text.word_sample(t)), " ").alias("words"), text.sampled_word_count(t).alias("word_count"))
 
 
 @query("""SELECT doc_id, CASE WHEN length(text) >= 10 THEN regexp_replace(trim(lower(text), chr(9) || chr(10) || chr(13) || chr(32)), '[ \\t\\n\\r]+', ' ', 'g') END AS normal,
 CASE WHEN length(trim(text, chr(9) || chr(10) || chr(13) || chr(32))) >= 10 THEN md5(trim(text, chr(9) || chr(10) || chr(13) || chr(32))) END AS stripped_hash FROM documents""")
 def normalize_content(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").select("doc_id", text.normalize(t).alias("normal"), F.md5(text.analysable(t)).alias("stripped_hash"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", text.normalize(t).alias("normal"), F.md5(text.analysable(t)).alias("stripped_hash"))
 
 
 @query()
 def nfkc_normalize(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.md5(matchers.nfkc("text")).alias("normal_hash"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(matchers.nfkc("text")).alias("normal_hash"))
 
 
 @query()
@@ -241,7 +242,7 @@ def exact_dup_groups(spark: SparkSession, d: str) -> DataFrame:
 SELECT min(path) OVER (PARTITION BY content_hash) AS group_id, path, CAST(100.0 AS DOUBLE) AS similarity, 'exact' AS match_type, content_hash FROM h QUALIFY count(*) OVER (PARTITION BY content_hash) > 1""")
 def exact_dup_prefix(spark: SparkSession, d: str) -> DataFrame:
     """The shipped digest, which reads 100,000 characters."""
-    return exact.exact_groups(text_files(spark, d), prefix_chars=100_000)
+    return exact.exact_groups(spread(text_files(spark, d).select("path", "text")), prefix_chars=100_000)
 
 
 @query("""SELECT min(doc_id) OVER (PARTITION BY md5(text)) AS group_id, doc_id, CAST(100.0 AS DOUBLE) AS similarity, 'exact' AS match_type, md5(text) AS content_hash
@@ -483,14 +484,41 @@ def minhash_candidates(spark: SparkSession, d: str) -> DataFrame:
     return pairs.shingle_candidates(text_files(spark, d))
 
 
+# -- streams ---------------------------------------------------------------------------------------
+
+
+@query("SELECT DISTINCT md5(text) AS content_hash FROM documents")
+def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
+    """The documents as a stream of files, each text let through once; the sink is read back."""
+    schema = table(spark, d, "documents").schema
+    # a pattern, so that the table may be one file or a folder of files
+    source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
+    timed = source.select("text", F.timestamp_seconds(F.col("doc_id") * 3600).alias("mtime_ts"))
+    out, log = new_path(spark, "stream"), new_path(spark, "stream-log")
+    sink = incremental.first_seen(timed, delay="1000 weeks").select("content_hash").writeStream.format("parquet").option("checkpointLocation", log)
+    sink.trigger(availableNow=True).start(out).awaitTermination()
+    return spark.read.schema("content_hash string").parquet(out)
+
+
+@query(f"""WITH {FILES}, known AS (SELECT md5(text) AS content_hash, min(path) AS duplicate_of FROM f WHERE doc_id IN (SELECT doc_id FROM labels) GROUP BY 1)
+SELECT path, md5(text) AS content_hash, duplicate_of FROM f LEFT JOIN known ON md5(text) = content_hash""")
+def incremental_against_known(spark: SparkSession, d: str) -> DataFrame:
+    """All documents against the stored hashes of the labelled ones."""
+    f = text_files(spark, d)
+    known = f.join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_semi").select("path", F.md5("text").alias("content_hash"))
+    return incremental.against_known(f.select("path", "text"), stage(known, "known")).select("path", "content_hash", "duplicate_of")
+
+
 # -- outcome ---------------------------------------------------------------------------------------
 
 
 def _members(spark: SparkSession, d: str) -> DataFrame:
     """The files of groups of equal texts, with their facts."""
-    f = text_files(spark, d).withColumn("char_count", text.char_count(F.col("text"))).withColumn("line_count", text.line_count(F.col("text")))
-    groups = exact.exact_groups(f).select("group_id", "path", "similarity", "match_type")
-    return f.drop("text").join(groups, "path")
+    f = text_files(spark, d)
+    groups = exact.exact_groups(f.select("path", "text")).select("group_id", "path", "similarity", "match_type")
+    facts = f.withColumns({"char_count": text.char_count(F.col("text")), "line_count": text.line_count(F.col("text"))}).drop("text")
+    # read twice or more below: the members are few, the texts are not
+    return stage(facts.join(groups, "path"), "members", small=True)
 
 
 _MEMBERS = """m AS (SELECT min(path) OVER (PARTITION BY md5(text)) AS group_id, *, length(text) AS char_count,
