@@ -493,7 +493,7 @@ def stream_first_seen(spark: SparkSession, d: str) -> DataFrame:
     schema = table(spark, d, "documents").schema
     # a pattern, so that the table may be one file or a folder of files
     source = spark.readStream.schema(schema).parquet(f"{d}/documents.parque[t]")
-    timed = source.select("text", F.timestamp_seconds(F.col("doc_id") * 3600).alias("mtime_ts"))
+    timed = source.select("text", F.timestamp_seconds(F.col("doc_id") * 3600 + 10**9).alias("mtime_ts"))
     out, log = new_path(spark, "stream"), new_path(spark, "stream-log")
     sink = incremental.first_seen(timed, delay="1000 weeks").select("content_hash").writeStream.format("parquet").option("checkpointLocation", log)
     sink.trigger(availableNow=True).start(out).awaitTermination()
