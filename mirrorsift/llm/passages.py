@@ -248,6 +248,11 @@ def _joined(cells, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(cells), dtype=dtype)
 
 
+def flags(pdf: pd.DataFrame) -> np.ndarray:
+    """1 for each key that a block saw in two documents: added to the first, that counts as another end."""
+    return np.concatenate([np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(k) // 8) for m, k in zip(pdf["many"], pdf["keys"], strict=True)]).astype(np.int64)
+
+
 class Sizes:
     """Numbers of buckets and filter bits for an input of so many bytes of text."""
 
@@ -272,9 +277,7 @@ def _level_filter(docs: DataFrame, lengths: list[int], filters, sizes: Sizes) ->
 
     def repeated(pdf: pd.DataFrame) -> pd.DataFrame:
         keys, low = _joined(pdf["keys"], np.uint64), _joined(pdf["low"], np.int64)
-        many = np.concatenate([np.unpackbits(np.frombuffer(m, dtype=np.uint8), count=len(k) // 8) for m, k in zip(pdf["many"], pdf["keys"], strict=True)]).astype(np.int64)
-        # a key that a block saw in two documents counts as one with two ends
-        keys, first, last = merged(np.concatenate([keys, keys]), np.concatenate([low, low]), np.concatenate([low, low + many]))
+        keys, first, last = merged(keys, low, low + flags(pdf))
         keys = keys[first != last]
         own = np.zeros(1 << (filter_bits - bits), dtype=np.uint8)
         own[(keys >> np.uint64(64 - filter_bits)) & np.uint64(len(own) - 1)] = 1
@@ -322,10 +325,11 @@ def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int
             for row in batch.to_pylist():
                 owner = np.frombuffer(row["docs"], dtype=np.int64)
                 keys, more, low, high = merged_pairs(np.frombuffer(row["keys"], dtype=np.uint64), np.frombuffer(row["more"], dtype=np.uint32), owner, owner)
-                yield pa.RecordBatch.from_pydict({"bucket": [row["bucket"]], "keys": [keys.tobytes()], "more": [more.tobytes()], "low": [low.tobytes()], "high": [high.tobytes()], "n": [len(owner)]})
+                yield pa.RecordBatch.from_pydict({"bucket": [row["bucket"]], "keys": [keys.tobytes()], "more": [more.tobytes()], "low": [low.tobytes()], "many": [np.packbits(low != high).tobytes()], "n": [len(owner)]})
 
     def first_docs(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, more, low, high = merged_pairs(_joined(pdf["keys"], np.uint64), _joined(pdf["more"], np.uint32), _joined(pdf["low"], np.int64), _joined(pdf["high"], np.int64))
+        first = _joined(pdf["low"], np.int64)
+        keys, more, low, high = merged_pairs(_joined(pdf["keys"], np.uint64), _joined(pdf["more"], np.uint32), first, first + flags(pdf))
         two = low != high
         return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "keys": [keys[two].tobytes()], "more": [more[two].tobytes()], "low": [low[two].tobytes()], "salts": [1 + int(pdf["n"].sum()) // SALT_ROWS]})
 
@@ -346,7 +350,7 @@ def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int
         return pd.DataFrame(out, columns=["grp", "docs", "rows", "places"])
 
     held = stage(docs.mapInArrow(occurrences, "bucket long, keys binary, more binary, docs binary, rows binary, places binary"), "occurrences")
-    known = held.select("bucket", "keys", "more", "docs").mapInArrow(reduced, "bucket long, keys binary, more binary, low binary, high binary, n long")
+    known = held.select("bucket", "keys", "more", "docs").mapInArrow(reduced, "bucket long, keys binary, more binary, low binary, many binary, n long")
     known = stage(known.groupBy("bucket").applyInPandas(first_docs, "bucket long, keys binary, more binary, low binary, salts long"), "first-docs")
     salted = held.join(again(known).select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("docs"), "salts"))
     spread_out = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
