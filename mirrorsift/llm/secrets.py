@@ -43,6 +43,8 @@ EXAMPLE_REPOS = 100
 #: A random-looking value has so many characters and distinct characters at least.
 LIVE_LENGTH, LIVE_DISTINCT = 16, 8
 MASK = "<SECRET>"
+#: Examples that redact() sends to every task as a set of hashes.
+MAX_EXAMPLES = 20_000
 _BLOCK = 256
 
 
@@ -87,16 +89,23 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def with_found(df: DataFrame, text: Column, name: str) -> DataFrame:
+    """df with an array of the base spans and token candidates of a text (start, ord, kind, end, hash, random)."""
+    kept = [F.col(f"`{c}`") for c in df.columns]
+    cols = {k: unused(f"found_{k}", [*df.columns, name]) for k, *_ in KINDS}
+    pieces = df.select(*kept, *(_pieces(text, p, cheap, g).alias(cols[k]) for k, p, cheap, g, _ in KINDS))
+    spans = pieces.select(*kept, *(_spans(F.col(cols[k]), least).alias(cols[k]) for k, _, _, _, least in KINDS))
+    tag = lambda i, k: F.transform(cols[k], lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("ord"), F.lit(k).alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("hash"), _looks_random(x["value"]).alias("random")))
+    return spans.select(*kept, F.concat(*(tag(i, k) for i, (k, *_) in enumerate(KINDS))).alias(name))
+
+
 def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", owner_col: str = "source", repo_col: str | None = None) -> DataFrame:
-    """doc_id, owner, repo, found: the base spans and token candidates of each row (start, ord, kind, end, hash, live-looking).
+    """doc_id, owner, repo, found: the base spans and token candidates of each row.
 
     repo_col names the repository; by default each document is one.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), F.col(owner_col).cast("string").alias("owner"), F.col(repo_col or id_col).cast("string").alias("repo"))
-    rows = rows.select("doc_id", "owner", "repo", *(_pieces(F.col("text"), p, cheap, g).alias(f"p_{k}") for k, p, cheap, g, _ in KINDS))
-    rows = rows.select("doc_id", "owner", "repo", *(_spans(F.col(f"p_{k}"), least).alias(k) for k, _, _, _, least in KINDS))
-    tag = lambda i, k: F.transform(k, lambda x: F.struct(x["start"].alias("start"), F.lit(i).alias("ord"), F.lit(k).alias("kind"), x["end"].alias("end"), F.sha2(x["value"], 256).alias("hash"), _looks_random(x["value"]).alias("random")))
-    return rows.select("doc_id", "owner", "repo", F.concat(*(tag(i, k) for i, (k, *_) in enumerate(KINDS))).alias("found"))
+    return with_found(rows, F.col("text"), "found").drop("text")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -107,12 +116,21 @@ def ownership(found: DataFrame) -> DataFrame:
     return by_owner.groupBy("hash").agg(F.count("*").alias("n_owners"), F.sum("repos").alias("n_repos"))
 
 
+def _copied(random: Column, example_owners: int) -> Column:
+    """Whether a value with n_owners and n_repos is a copied example."""
+    return (F.col("n_owners") >= example_owners) | ((F.col("n_repos") >= EXAMPLE_REPOS) & ~random)
+
+
+def _live(span: Column, copied: Column) -> Column:
+    return ~copied & ((span["kind"] != "token") | span["random"])
+
+
 def _judged(found: DataFrame, example_owners: int) -> DataFrame:
     """doc_id, row_key, judged: the spans of each distinct row with candidates, each with its live and copied flags."""
     held = found.where(F.size("found") > 0).select("doc_id", "row_key", F.explode("found").alias("s"))
     counts = stage(ownership(found), "owners")
-    copied = (F.col("n_owners") >= example_owners) | ((F.col("n_repos") >= EXAMPLE_REPOS) & ~F.col("s.random"))
-    live = ~copied & ((F.col("s.kind") != "token") | F.col("s.random"))
+    copied = _copied(F.col("s.random"), example_owners)
+    live = _live(F.col("s"), copied)
     known = held.select("doc_id", "row_key", "s", F.col("s.hash").alias("hash")).join(counts, "hash")
     span = F.struct(F.col("s.start").alias("start"), F.col("s.ord").alias("ord"), F.col("s.kind").alias("kind"), F.col("s.end").alias("end"), F.col("hash"), live.alias("live"), copied.alias("copied"), "n_owners", "n_repos")
     return known.groupBy("doc_id", "row_key").agg(F.collect_set(span).alias("judged"))
@@ -149,16 +167,39 @@ def scan(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, **columns) -> Da
     )
 
 
+def examples(found: DataFrame, example_owners: int = EXAMPLE_OWNERS) -> DataFrame:
+    """hash: the values that are copied examples."""
+    shape = found.where(F.size("found") > 0).select(F.explode(F.array_distinct(F.transform("found", lambda x: F.struct(x["hash"].alias("hash"), x["random"].alias("random"))))).alias("x")).select("x.hash", "x.random").distinct()
+    wide = ownership(found).where((F.col("n_owners") >= example_owners) | (F.col("n_repos") >= EXAMPLE_REPOS))
+    return wide.join(shape, "hash").where(_copied(F.col("random"), example_owners)).select("hash").distinct()
+
+
 def redact(docs: DataFrame, example_owners: int = EXAMPLE_OWNERS, mask: str = MASK) -> DataFrame:
-    """docs (doc_id, text, source, ...) with the values of live secrets replaced in the text; copied examples stay."""
-    judged = _judged(_found(docs), example_owners).select("doc_id", F.explode("judged").alias("s")).where("s.live")
-    live = stage(judged.groupBy("doc_id").agg(F.collect_set("s.hash").alias("live")).withColumnRenamed("doc_id", "own_id"), "live")
-    own, mine = unused("own_id", docs.columns), unused("live", docs.columns)
-    both = docs.join(live.toDF(own, mine), F.col("doc_id").eqNullSafe(F.col(own)), "left")
+    """docs (doc_id, text, source, ...) with the values of live secrets replaced in the text; copied examples stay.
+
+    Live is what is no example, so where the examples are few (MAX_EXAMPLES, counted first) each row is judged
+    where it lies against their set, and no text is moved; beyond that the live values of each document are
+    joined to it, with the same result.
+    """
+    found = candidates(spread(docs))
+    kept = [F.col(f"`{c}`") for c in docs.columns]
+    mine = unused("live", docs.columns)
+    few = stage(examples(stage(found, "candidates"), example_owners), "examples", small=True)
+    if few.count() <= MAX_EXAMPLES:
+        known = [x.hash for x in few.collect()]
+        every = unused("found", docs.columns)
+        live = F.transform(F.filter(every, lambda x: _live(x, x["hash"].isin(known))), lambda x: x["hash"])
+        both = with_found(docs, F.coalesce(F.col("text").cast("string"), F.lit("")), every).select(*kept, live.alias(mine))
+    else:
+        judged = _judged(_found(docs), example_owners).select("doc_id", F.explode("judged").alias("s")).where("s.live")
+        own = unused("own_id", docs.columns)
+        held = stage(judged.groupBy("doc_id").agg(F.collect_set("s.hash").alias("live")), "live").toDF(own, mine)
+        both = docs.join(held, F.col("doc_id").eqNullSafe(F.col(own)), "left")
     text = F.col("text")
     for _, pattern, cheap, group, _ in KINDS:
         is_live = lambda x: F.array_contains(mine, F.sha2(x["value"], 256))
         prefix = lambda x: x["match"].substr(F.lit(1), F.length(x["match"]) - F.length(x["value"]))
         hidden = lambda x: F.concat(x["gap"], F.when((x["match"] != "") & is_live(x), F.concat(prefix(x), F.lit(mask))).otherwise(x["match"]))  # noqa: E731, B023
         text = F.coalesce(F.array_join(F.transform(_pieces(text, pattern, cheap, group), hidden), ""), text)
-    return both.select(*(F.when(F.col(mine).isNotNull(), text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
+    some = F.coalesce(F.size(mine), F.lit(0)) > 0
+    return both.select(*(F.when(some, text).otherwise(F.col("text")).alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns))
