@@ -392,7 +392,7 @@ def spans_text(spans: list[tuple[int, int, int]]) -> str:
 
 
 def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added for every row."""
+    """doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, n_added, n_spans (of all) for every row."""
     configure(docs.sparkSession)
     field = field or train(docs, id_col, text_col)
     rows = spread(docs).select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
@@ -405,11 +405,11 @@ def scan(docs: DataFrame, field: Field | None = None, id_col: str = "doc_id", te
                 base = base_spans(text)
                 more = added_spans(text, base, field)
                 held = spans_text(base)
-                out.append((*(sum(s[1] == k for s in base) for k in range(4)), hashlib.sha256(held.encode()).hexdigest(), spans_text(base + more), len(more)))
-            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"]
-            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64()]
+                out.append((*(sum(s[1] == k for s in base) for k in range(4)), hashlib.sha256(held.encode()).hexdigest(), spans_text(base + more), len(more), len(base) + len(more)))
+            names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added", "n_spans"]
+            types = [*[pa.int64()] * 4, pa.string(), pa.string(), pa.int64(), pa.int64()]
             cols = list(zip(*out, strict=True)) or [[] for _ in types]
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, type=t) for c, t in zip(cols, types, strict=True))], names=names)
 
     kinds = ", ".join(f"n_{k} long" for k in KINDS)
-    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, {kinds}, base_sha256 string, spans string, n_added long")
+    return rows.mapInArrow(run, f"doc_id {dict(docs.dtypes)[id_col]}, {kinds}, base_sha256 string, spans string, n_added long, n_spans long")
