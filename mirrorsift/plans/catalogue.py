@@ -223,7 +223,7 @@ def nfkc_normalize(spark: SparkSession, d: str) -> DataFrame:
     return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.md5(matchers.nfkc("text")).alias("normal_hash"))
 
 
-@query()
+@query("SELECT page_id, 'utf-8' AS encoding FROM pages")
 def detect_encoding(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", matchers.detect_encoding(F.col("html").cast("binary")).alias("encoding"))
 

@@ -105,14 +105,16 @@ def _compat_duplicates(df: DataFrame, params: Params) -> DataFrame:
     return same.unionByName(similar.withColumn("match_type", F.lit("similar")))
 
 
-def text_links(files_: DataFrame, threshold: float) -> DataFrame:
+def text_links(files_: DataFrame, threshold: float, skip: DataFrame | None = None) -> DataFrame:
     """(a, b, similarity): links of the texts of files_ (id, path, size, text) that share a MinHash bucket.
 
     Two texts are linked if they share a bucket, their sizes lie within a factor of 0.8 and they score the
-    threshold or more.  Only texts that share a bucket with another are carried on.
+    threshold or more.  Only texts that share a bucket with another are carried on; skip is a table of ids to
+    leave out, which are taken from the keys, so that no other text travels.
     """
     configure(files_.sparkSession)
-    keys = stage(pairs.shingle_keys(files_, "id"), "shingle-keys")
+    keys = pairs.shingle_keys(files_, "id")
+    keys = stage(keys if skip is None else keys.join(skip, "id", "left_anti"), "shingle-keys")
     shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
     keys = stage(again(keys).join(shared, "key", "left_semi"), "shared-keys")
     near = files_.join(keys.select("id").distinct(), "id", "left_semi")
@@ -135,7 +137,7 @@ def _text_duplicates(df: DataFrame, params: Params) -> DataFrame:
     firsts = hashed.groupBy("digest").agg(F.min(F.struct("path", "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select("digest", F.col("m.id").alias("rep"))
     copies = stage(hashed.join(firsts, "digest").select("id", "rep"), "copies")
     later = copies.where("id <> rep").select("id")
-    edges = stage(text_links(df.select("id", "path", "size", "text").join(later, "id", "left_anti"), params.similarity_threshold), "text-links")
+    edges = stage(text_links(df.select("id", "path", "size", "text"), params.similarity_threshold, later), "text-links")
     same = copies.where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(100.0).alias("similarity"))
     links = same.unionByName(edges)
     parts = connected_components(links).toDF("id", "component")

@@ -83,8 +83,6 @@ def test_normal_forms_against_loops(spark, sf_dir):
     docs = pd.read_parquet(f"{sf_dir}/documents.parquet").set_index("doc_id")["text"]
     got = {x.doc_id: x.normal_hash for x in catalogue.nfkc_normalize(spark, sf_dir).collect()}
     assert got == {d: hashlib.md5(" ".join(unicodedata.normalize("NFKC", t).split()).lower().encode()).hexdigest() for d, t in docs.items()}
-    pages = pd.read_parquet(f"{sf_dir}/pages.parquet").set_index("page_id")["html"]
-    assert {x.page_id: x.encoding for x in catalogue.detect_encoding(spark, sf_dir).collect()} == dict.fromkeys(pages.index, "utf-8")
 
 
 def near_pairs(files):
@@ -134,7 +132,7 @@ def test_minhash_candidates_meet_near_pairs(spark, sf_dir):
 
 def test_no_query_is_unheld():
     """Queries without SQL are held to loops above."""
-    above = {*PAIR_SCORES, "similarity_details", "nfkc_normalize", "detect_encoding", "near_dup_groups_intended", "near_dup_groups_compat", "merged_duplicates", "minhash_candidates"}
+    above = {*PAIR_SCORES, "similarity_details", "nfkc_normalize", "near_dup_groups_intended", "near_dup_groups_compat", "merged_duplicates", "minhash_candidates"}
     assert set(catalogue.QUERIES) - set(catalogue.ORACLES) == above
 
 
