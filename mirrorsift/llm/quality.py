@@ -58,7 +58,7 @@ class Buckets(dict):
     """The bucket of each word, whatever its case; forgotten when there are too many words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 1 << 20:
+        if len(self) > 1 << 17:
             self.clear()
         value = self[word] = xxhash.xxh64_intdigest(word.lower()) % LEXICAL
         return value
