@@ -11,9 +11,10 @@ covers.  At 10**13 windows two different ones agree by chance with a probability
 ends early when no candidate survives a level.
 
 What is gathered is bounded: a bucket of hashes is sized by the input (``bucket_bytes``) and every block
-sends a hash to it once; occurrences of the last level are dealt by (bucket, salt), with more salts where
-a bucket is hot; so are the documents that meet their windows; the bit map has at most 2**MAX_FILTER_BITS
-bits, and a fuller one prunes less but changes no result.
+sends a hash to it once; occurrences of the last level meet by bucket, and where a bucket is hot by (bucket,
+salt), after the first documents of its windows were found with combining; documents meet their windows by
+group, and a group that is large by (group, salt); the bit map has at most 2**MAX_FILTER_BITS bits, and a
+fuller one prunes less but changes no result.
 
 Defined results: null text has no words; rows without a doc_id neither remove nor lose words; rows with
 equal doc_id are one document, judged row by row; extra columns are dropped; empty tables give no rows.
@@ -40,9 +41,9 @@ MAX_FILTER_BITS = 31
 #: Words of a block of documents that is hashed and pre-aggregated at once.
 BLOCK_WORDS = 1 << 21
 #: Text bytes that stand behind one bucket of hashes or one group of documents.
-BUCKET_BYTES = 32 << 20
+BUCKET_BYTES = 16 << 20
 #: Occurrences of repeated windows that one task of the last level may take.
-SALT_ROWS = 1 << 22
+SALT_ROWS = 1 << 21
 #: Shares of BUCKET_BYTES that one group of documents may hold before it is split.
 SPLIT = 2
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -333,29 +334,50 @@ def repeats(docs: DataFrame, length: int = 13, start: int = 7, bucket_bytes: int
         two = low != high
         return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], "keys": [keys[two].tobytes()], "more": [more[two].tobytes()], "low": [low[two].tobytes()], "salts": [1 + int(pdf["n"].sum()) // SALT_ROWS]})
 
-    def later(key, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, bytes, bytes, bytes]] = []
-        if len(known) and len(held):
-            keys, more, low = (np.frombuffer(known[c].iloc[0], dtype=t) for c, t in (("keys", np.uint64), ("more", np.uint32), ("low", np.int64)))
-            owner = _joined(held["docs"], np.int64)
-            at = find_pairs(keys, more, _joined(held["keys"], np.uint64), _joined(held["more"], np.uint32))
-            take = at >= 0
-            take[take] = low[at[take]] < owner[take]
-            owner, row, place = owner[take], _joined(held["rows"], np.uint64)[take], _joined(held["places"], np.uint32)[take]
-            grp = group_of(owner, groups)
-            order = np.lexsort((place, row, owner, grp))
-            owner, row, place, grp = owner[order], row[order], place[order], grp[order]
-            cuts = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]]).tolist() if len(grp) else []
-            out = [(int(grp[i]), owner[i:j].tobytes(), row[i:j].tobytes(), place[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
+    def placed(held: pd.DataFrame, keys: np.ndarray, more: np.ndarray, low: np.ndarray) -> pd.DataFrame:
+        """The occurrences of known windows in documents after their first, by group of documents."""
+        owner = _joined(held["docs"], np.int64)
+        at = find_pairs(keys, more, _joined(held["keys"], np.uint64), _joined(held["more"], np.uint32))
+        take = at >= 0
+        take[take] = low[at[take]] < owner[take]
+        owner, row, place = owner[take], _joined(held["rows"], np.uint64)[take], _joined(held["places"], np.uint32)[take]
+        grp = group_of(owner, groups)
+        order = np.lexsort((place, row, owner, grp))
+        owner, row, place, grp = owner[order], row[order], place[order], grp[order]
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(grp)) + 1, [len(grp)]]).tolist() if len(grp) else []
+        out = [(int(grp[i]), owner[i:j].tobytes(), row[i:j].tobytes(), place[i:j].tobytes()) for i, j in zip(cuts, cuts[1:], strict=False)]
         return pd.DataFrame(out, columns=["grp", "docs", "rows", "places"])
 
-    held = stage(docs.mapInArrow(occurrences, "bucket long, keys binary, more binary, docs binary, rows binary, places binary"), "occurrences")
-    known = held.select("bucket", "keys", "more", "docs").mapInArrow(reduced, "bucket long, keys binary, more binary, low binary, many binary, n long")
+    def whole(held: pd.DataFrame) -> pd.DataFrame:
+        owner = _joined(held["docs"], np.int64)
+        keys, more, low, high = merged_pairs(_joined(held["keys"], np.uint64), _joined(held["more"], np.uint32), owner, owner)
+        two = low != high
+        return placed(held, keys[two], more[two], low[two])
+
+    def later(key, held: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        if not len(known) or not len(held):
+            return pd.DataFrame([], columns=["grp", "docs", "rows", "places"])
+        return placed(held, *(np.frombuffer(known[c].iloc[0], dtype=t) for c, t in (("keys", np.uint64), ("more", np.uint32), ("low", np.int64))))
+
+    blobs = "keys binary, more binary, docs binary, rows binary, places binary"
+    held = stage(docs.mapInArrow(occurrences, f"bucket long, {blobs}"), "occurrences")
+    counts = held.groupBy("bucket").agg((F.sum(F.octet_length("keys")) / 8).cast("long").alias("n"))
+    hot = stage(counts.where(F.col("n") > SALT_ROWS).select("bucket"), "hot-buckets", small=True)
+    result = "grp long, docs binary, rows binary, places binary"
+    if hot.isEmpty():
+        out = stage(held.groupBy("bucket").applyInPandas(whole, result), "later")
+        unstage(held)
+        return out, sizes
+    # a hot bucket is too much for a task: its windows' first documents are found with combining, and its occurrences
+    # meet them in as many parts as it takes
+    plain = held.join(hot, "bucket", "left_anti").groupBy("bucket").applyInPandas(whole, result)
+    large = held.join(again(hot), "bucket", "left_semi")
+    known = large.select("bucket", "keys", "more", "docs").mapInArrow(reduced, "bucket long, keys binary, more binary, low binary, many binary, n long")
     known = stage(known.groupBy("bucket").applyInPandas(first_docs, "bucket long, keys binary, more binary, low binary, salts long"), "first-docs")
-    salted = held.join(again(known).select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("docs"), "salts"))
+    salted = large.join(again(known).select("bucket", "salts"), "bucket").withColumn("salt", F.pmod(F.xxhash64("docs"), "salts"))
     spread_out = known.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)))
     pairs = salted.groupBy("bucket", "salt").cogroup(spread_out.groupBy("bucket", "salt"))
-    out = stage(pairs.applyInPandas(later, "grp long, docs binary, rows binary, places binary"), "later")
+    out = stage(plain.unionByName(pairs.applyInPandas(later, result)), "later")
     unstage(held)
     unstage(known)
     return out, sizes
