@@ -18,7 +18,8 @@ matched as whole sequences with their values.
 Templates are made only of documents that can hold an item: of any set of windows larger than the share that
 may be missing, a document that holds the item has one.  So a few pairs of adjacent words an item, chosen to
 touch so many windows, are looked for first, in one plain pass; no document that holds an item lacks them all.
-Windows and pairs are broadcast only up to MAX_BROADCAST of them, counted first; beyond that joins shuffle.
+Windows and pairs are broadcast only up to MAX_BROADCAST and MAX_ANCHORS of them, counted first; beyond that
+joins shuffle.
 Long texts are cut into pieces that overlap, so a text never becomes one array of words.
 
 Defined results: null texts match nothing; short texts hold at most short items; rows with equal doc_id are one
@@ -38,6 +39,8 @@ WINDOW = 5
 MIN_SIMILARITY = 0.8
 MIN_LITERALS = 2
 MAX_BROADCAST = 100_000
+#: Pairs of words that are broadcast at most: some 100 bytes each.
+MAX_ANCHORS = 1_000_000
 PIECE = 2000
 #: Characters of a stretch that is looked through for pairs of words.
 STRETCH = 1 << 20
@@ -158,17 +161,19 @@ def anchors(known: DataFrame, short: DataFrame, min_similarity: float) -> DataFr
         return F.when(done, acc).otherwise(F.struct(more.alias("ats"), F.concat(acc["out"], F.array(r["x"])).alias("out")))
 
     chosen = ranked.join(sizes.withColumn("spare", spare), ["item_id", "item_key"]).select(F.explode(F.aggregate("r", start, step)["out"]).alias("x"))
-    raw = F.element_at(F.flatten(_raw_runs(F.split("whole", " "))), 1)
-    # a short item of slots alone (say, a number with its unit) is stood for by its digits
-    alone = F.coalesce(raw, F.element_at(F.split(F.trim(raw_words(F.col("whole"))), " "), 1))
-    lone = short.select(F.struct(alone.alias("first"), F.lit(None).cast("string").alias("second")).alias("x"))
+    raw = F.get(F.flatten(_raw_runs(F.split("whole", " "))), F.lit(0))
+    # a short item of a number with its unit is stood for by the number, and by both written as one word
+    words = F.split(F.trim(raw_words(F.col("whole"))), " ")
+    glued = F.concat(F.get(words, F.lit(0)), F.coalesce(F.get(words, F.lit(1)), F.lit("")))
+    alone = F.explode(F.when(raw.isNotNull(), F.array(raw)).otherwise(F.array(F.get(words, F.lit(0)), glued)))
+    lone = short.select(alone.alias("first")).select(F.struct("first", F.lit(None).cast("string").alias("second")).alias("x"))
     return chosen.union(lone).select("x.first", "x.second").where("first is not null and first <> ''").distinct()
 
 
 def holders(texts: DataFrame, marks: DataFrame) -> DataFrame:
     """doc_id of the documents that hold an anchor: one pass over words and pairs of words, without slots."""
     marks = stage(marks, "anchors", small=True)
-    small = marks.count() <= MAX_BROADCAST
+    small = marks.count() <= MAX_ANCHORS
     longest = marks.agg(F.max(F.length("first") + F.coalesce(F.length("second"), F.lit(0)))).first()[0] or 0
     raw = F.concat(raw_words(F.col("text")), F.lit(" "))
     # a long text in stretches that overlap by an anchor: a word cut at an end only adds a candidate

@@ -251,6 +251,9 @@ def test_items_of_few_words_outside_slots(spark):
     for i, t in enumerate(texts):
         assert set(matches(spark, own, f"some words before, {t} and after")) == {i}
     assert not matches(spark, own, "what is 1 2 3 then, and compute 1 2 3 4 5 of the capital")
+    own = spark.createDataFrame([(1, "12 km"), (2, "7"), (3, "Anna"), (4, "3.5 kg now")], "item_id long, text string")
+    assert set(matches(spark, own, "it is 12km to the town of ANNA")) == {1, 3}
+    assert set(matches(spark, own, "12 km, or 7")) == {1, 2} and set(matches(spark, own, "weigh 3.5 kg now")) == {4}
 
 
 def far(a, b, words):
