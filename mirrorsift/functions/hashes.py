@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 def above(values: Column, level: Column) -> Column:
     """'1' for each value over the level, else '0', as text."""
-    return F.array_join(F.transform(values, lambda x: F.when(x.cast("double") > level, F.lit("1")).otherwise(F.lit("0"))), "")
+    # the level is repeated, not named inside the function, where it would be computed anew for each value
+    levels = F.array_repeat(level, F.size(values))
+    return F.array_join(F.zip_with(values, levels, lambda x, y: F.when(x.cast("double") > y, F.lit("1")).otherwise(F.lit("0"))), "")
 
 
 def mean_of(values: Column) -> Column:

@@ -28,12 +28,15 @@ def bucket_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], head
     spark = keys.sparkSession
     edges = spark.createDataFrame([], "a long, b long, similarity double")
     tested = part = None
+    past: list[DataFrame] = []
     open_ = keys.where("key is not null and id is not null").select("key", "id").distinct()
     width, turn = heads, 0
     while True:
         labelled = open_.withColumn("part", F.col("id")) if part is None else open_.join(part, "id", "left").select("key", "id", F.coalesce("part", "id").alias("part"))
         several = labelled.groupBy("key").agg(F.min("part").alias("lo"), F.max("part").alias("hi")).where("lo < hi").select("key")
         labelled = stage(labelled.join(several, "key", "left_semi"), "open-buckets")
+        for table in past:
+            unstage(table)
         if labelled.isEmpty():
             unstage(labelled)
             return edges
@@ -49,5 +52,6 @@ def bucket_links(keys: DataFrame, verify: Callable[[DataFrame], DataFrame], head
         if not found.isEmpty():
             edges = edges.unionByName(found)
             part = connected_components(edges).toDF("id", "part")
+        past = [labelled, first]
         open_ = labelled.join(first.select("key", F.col("head").alias("id")), ["key", "id"], "left_anti").select("key", "id")
         width, turn = width * growth, turn + 1

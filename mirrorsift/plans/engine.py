@@ -27,13 +27,13 @@ def scan(spark: SparkSession, roots: Iterable[str], kind: str = "text", params:
     """
     roots = list(roots)
     if kind == "video":
-        found = stage(sources.scan_directories(spark, roots, kind, extensions=params.extensions), "scanned")
+        found = sources.dealt(stage(sources.scan_directories(spark, roots, kind, extensions=params.extensions), "scanned"))
         known = sources.with_video_info(found, metadata)
         longest = F.lit(True) if params.max_duration is None else F.col("duration") <= params.max_duration
         return sources.with_frames(known.where((F.col("duration") >= params.min_duration) & longest), roots, params.sample_frames, cache)
     least = params.min_file_size if kind == "text" else None
     found = stage(sources.scan_directories(spark, roots, kind, min_size=least, max_size=params.max_file_size, extensions=params.extensions), "scanned")
-    found = spread(found)
+    found = sources.dealt(found)
     return sources.with_text(found) if kind == "text" else sources.with_image_hashes(sources.with_image_info(found), roots, cache)
 
 

@@ -100,6 +100,16 @@ def scan_directories(spark: SparkSession, roots: Iterable[str], kind: str = "tex
     return out.dropDuplicates(["path"])
 
 
+#: Files that one task opens: a listing has many to a partition, and reading them is what takes long.
+FILES_A_TASK = 5000
+
+
+def dealt(scanned: DataFrame) -> DataFrame:
+    """A staged scan dealt over tasks of at most about FILES_A_TASK files, and over all cores."""
+    n = scanned.count()
+    return scanned.repartition(max(scanned.sparkSession.sparkContext.defaultParallelism, -(-n // FILES_A_TASK)))
+
+
 def _read(scanned: DataFrame, columns: str, make) -> DataFrame:
     """scanned with the columns that make(open file) returns, one file at a time; files that cannot be read are left out.
 
