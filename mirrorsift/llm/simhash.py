@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from mirrorsift.llm.words import encoded, word_blocks
 from mirrorsift.operators.components import connected_components
-from mirrorsift.runtime import configure, spread, stage
+from mirrorsift.runtime import configure, fewer, spread, stage
 
 #: The generator polynomial of the Golay code, and the segments as (shift, bits).
 GOLAY_POLY = 0b110001110101
@@ -210,7 +210,7 @@ def fingerprint_components(fps: DataFrame, bits: int = 4) -> DataFrame:
     """
     if bits > 4:
         raise ValueError("the keys guarantee links of at most 4 differing bits")
-    lead = stage(leader_links(fps, bits), "leaders")
+    lead = stage(fewer(leader_links(fps, bits)), "leaders")
     joined = connected_components(lead)
     known = stage(fps.join(joined.toDF("fp", "comp"), "fp", "left").select("fp", F.coalesce("comp", "fp").alias("comp")), "known")
     left = _spread(known, lambda x: probe_keys(x, 0), ["fp", "comp"]).toDF("key", "a", "ca")
@@ -222,7 +222,7 @@ def fingerprint_components(fps: DataFrame, bits: int = 4) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: int = 4) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     prints = stage(fingerprints(docs, id_col, text_col), "prints")
-    firsts = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "firsts")
+    firsts = stage(fewer(prints.groupBy("fp").agg(F.min("doc_id").alias("first"))), "firsts")
     # rows that share a doc_id are one document: all their fingerprints are linked, whatever their distance
     several = prints.where("doc_id is not null").groupBy("doc_id").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a <> z").select("doc_id", "a")
     same = prints.select("doc_id", F.col("fp").alias("b")).join(several, "doc_id").where("a <> b").select("a", "b").distinct()
@@ -230,13 +230,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     parts = connected_components_with(parts, same)
     labelled = firsts.join(parts.toDF("fp", "part"), "fp", "left").select("fp", "first", F.coalesce("part", "fp").alias("part"))
     least = labelled.groupBy("part").agg(F.min("first").alias("component_id"))
-    by_print = stage(labelled.join(least, "part").select("fp", "component_id"), "by-print")
+    # a large group is a hot key of this join, so its pieces are dealt anew, not joined, to write few files
+    by_print = stage(labelled.join(least, "part").select("fp", "component_id").repartition(docs.sparkSession.sparkContext.defaultParallelism), "by-print")
     return prints.join(by_print, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def connected_components_with(parts: DataFrame, extra: DataFrame) -> DataFrame:
     """parts refined by the few extra links; parts as it is where there are none."""
-    extra = stage(extra, "same")
+    extra = stage(fewer(extra), "same")
     if extra.isEmpty():
         return parts
     return connected_components(parts.toDF("a", "b").union(extra))
@@ -245,4 +246,4 @@ def connected_components_with(parts: DataFrame, extra: DataFrame) -> DataFrame:
 def keep_one(docs: DataFrame, bits: int = 4) -> DataFrame:
     """docs without the rows whose group has a smaller doc_id; rows without a doc_id stay."""
     later = near_duplicates(docs, bits=bits).where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(stage(later, "later"), "doc_id", "left_anti").select(*docs.columns)
+    return docs.join(stage(fewer(later), "later"), "doc_id", "left_anti").select(*docs.columns)

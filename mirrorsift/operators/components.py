@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirrorsift.runtime import stage, unstage
+from mirrorsift.runtime import fewer, stage, unstage
 
 #: Edges that one task may finish alone: 20,000 rows of two longs.
 SMALL = 20_000
@@ -47,11 +47,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
     Null ends, self loops and repeated edges are ignored; an empty edge table gives an empty result.
     """
     spark = edges.sparkSession
-    left = stage(
-        edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
-        .where("x and y and a < b").select("a", "b").distinct(),
-        "edges",
-    )
+    ends = edges.select(F.least(a, b).cast("long").alias("a"), F.greatest(a, b).cast("long").alias("b"), F.col(a).isNotNull().alias("x"), F.col(b).isNotNull().alias("y"))
+    left = stage(fewer(ends.where("x and y and a < b").select("a", "b").distinct()), "edges")
     maps: list[DataFrame] = []
     rounds = 0
     while True:
@@ -64,10 +61,10 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", small: in
         both = left.union(left.select("b", "a")).toDF("u", "v")
         order = lambda c: F.struct(F.xxhash64(F.lit(rounds), c).alias("o"), F.col(c).alias("id"))  # noqa: E731, B023
         firsts = both.groupBy("u").agg(F.min(order("v")).alias("m"))
-        hook = stage(firsts.select(F.col("u").alias("node"), F.least("m", order("u"))["id"].alias("rep")), "hooks")
+        hook = stage(fewer(firsts.select(F.col("u").alias("node"), F.least("m", order("u"))["id"].alias("rep"))), "hooks")
         maps.append(hook)
         ends = left.join(hook.toDF("a", "ra"), "a").join(hook.toDF("b", "rb"), "b")
-        nxt = stage(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct(), "edges")
+        nxt = stage(fewer(ends.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).where("a < b").distinct()), "edges")
         unstage(left)
         left = nxt
         rounds += 1

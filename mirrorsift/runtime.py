@@ -79,6 +79,16 @@ def stage(df: DataFrame, label: str, small: bool = False) -> DataFrame:
     return out
 
 
+def fewer(df: DataFrame) -> DataFrame:
+    """A table of few bytes a row, dealt by a shuffle without hot keys, in at most a piece a core or 16 shuffle partitions.
+
+    Shuffle partitions that AQE does not join are a file each, however small, and without its native library Hadoop
+    forks the executor for each file in a local folder, to change its mode.
+    """
+    spark = df.sparkSession
+    return df.coalesce(max(spark.sparkContext.defaultParallelism, -(-int(spark.conf.get("spark.sql.shuffle.partitions")) // 16)))
+
+
 def again(df: DataFrame) -> DataFrame:
     """A second reader of a staged table, with columns of its own: both sides of a join may come from one table."""
     out = df.sparkSession.read.schema(df.schema).parquet(df._staged_path)

@@ -1,4 +1,6 @@
+import glob
 import hashlib
+import os
 import random
 
 import numpy as np
@@ -119,6 +121,26 @@ def test_simhash_ids(spark):
     assert len(lone) == 2 and {x.component_id for x in lone} == {None}
 
 
+def test_simhash_writes_few_files(spark):
+    r = random.Random(6)
+    base = [[str(r.randrange(10**6)) for _ in range(120)] for _ in range(150)]
+    rows = [(i, " ".join(base[i % 150][:119] + [str(i % 300)])) for i in range(450)]
+    shared = spark.conf.get("spark.checkpoint.dir").removeprefix("file://")
+    before = set(glob.glob(f"{shared}/mirrorsift/*"))
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    kept = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        got = [tuple(x) for x in simhash.near_duplicates(docs_of(spark, rows)).collect()]
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert sorted(got) == sorted(brute_components(rows))
+    files = {os.path.basename(d): len(glob.glob(f"{d}/*.parquet")) for d in set(glob.glob(f"{shared}/mirrorsift/*")) - before}
+    assert len(files) >= 5 and max(files.values()) <= 4, files
+
+
 # -- passages --------------------------------------------------------------------------------------
 
 
