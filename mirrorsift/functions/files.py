@@ -35,12 +35,18 @@ def has_extension(path: Column, extensions) -> Column:
     return suffix(path).isin(sorted(extensions))
 
 
+def one_decimal(value: Column) -> Column:
+    """One decimal, the nearest to the value held; ties go to the even digit, which Java's %.1f rounds up."""
+    return F.call_function("format_number", value, F.lit("0.0"))
+
+
 def format_size(size: Column, units: tuple[str, ...] = SIZE_UNITS) -> Column:
     """One decimal and a unit in steps of 1024; the last unit takes the rest."""
     value = size.cast("double")
-    out = F.format_string("%.1f " + units[-1], value / float(1024 ** (len(units) - 1)))
+    shown = lambda power: F.concat(one_decimal(value / float(1024**power)), F.lit(" " + units[power]))
+    out = shown(len(units) - 1)
     for power in range(len(units) - 2, -1, -1):
-        out = F.when(value < float(1024 ** (power + 1)), F.format_string("%.1f " + units[power], value / float(1024**power))).otherwise(out)
+        out = F.when(value < float(1024 ** (power + 1)), shown(power)).otherwise(out)
     return out
 
 

@@ -137,5 +137,5 @@ def results_view(members: DataFrame, kind: str = "text") -> DataFrame:
     order = numbered(members.select("group_id").distinct(), "group_id", name="group_no")
     return members.join(order, "group_id").select(
         "group_no", "path", files.format_size(F.col("size"), files.SIZE_UNITS[:5]).alias("size_text"), first.alias("detail_1"), second.alias("detail_2"),
-        F.format_string("%.1f%%", F.coalesce("similarity", F.lit(100.0))).alias("similarity_text"),
+        F.concat(files.one_decimal(F.coalesce("similarity", F.lit(100.0))), F.lit("%")).alias("similarity_text"),
     )

@@ -23,6 +23,14 @@ def test_format_size(spark, size, expected):
     assert one(spark, files.format_size(F.lit(size))) == expected
 
 
+def test_format_size_rounds_as_printf(spark):
+    """Ties go to the even digit, and a value that only looks like a tie to its own side."""
+    sizes = [1280.0, 3328.0, 3840.0, 1023.95 * 1024, 1.15 * 1024, 8.35 * 1024, 0.25, 0.15, 2.675, 1023.95, 900.05 * 1024**2]
+    got = [x.t for x in spark.createDataFrame([(i, v) for i, v in enumerate(sizes)], "i int, v double").select("i", files.format_size(F.col("v")).alias("t")).orderBy("i").collect()]
+    powers = [sum(v >= 1024 ** (k + 1) for k in range(5)) for v in sizes]
+    assert got == [f"{v / 1024**k:.1f} {files.SIZE_UNITS[k]}" for v, k in zip(sizes, powers)]
+
+
 @pytest.mark.parametrize("value,expected", [("1.5 KB", 1536.0), ("2 xb", 2.0), ("x KB", 0.0), ("", 0.0), ("3", 0.0), (None, 0.0)])
 def test_parse_size(spark, value, expected):
     assert one(spark, files.parse_size(F.lit(value).cast("string"))) == expected

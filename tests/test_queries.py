@@ -39,6 +39,17 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert canon(got) == canon(want)
 
 
+@pytest.mark.parametrize("name", ["results_view"])
+def test_view_of_sizes_between_two_tenths(spark, tmp_path, name):
+    rows = [(i, "x" * n, "en", f"s{i % 2}") for i, n in enumerate(n for n in (1280, 3328, 3840, 5427) for _ in range(2))]
+    pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
+    got = catalogue.QUERIES[name](spark, str(tmp_path)).toPandas()
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents.parquet'")
+    want = con.execute(catalogue.ORACLES[name]).fetch_df()
+    assert len(got) == 8 and canon(got) == canon(want)
+
+
 def turns(sf_dir):
     c = pd.read_parquet(f"{sf_dir}/conversations.parquet").set_index(["conv_id", "turn"])["text"]
     return {k: (t, c[k[0], k[1] + 1]) for k, t in c.items() if (k[0], k[1] + 1) in c.index}
