@@ -39,7 +39,7 @@ def test_query_equals_sql(spark, sf_dir, duck, name):
     assert canon(got) == canon(want)
 
 
-@pytest.mark.parametrize("name", ["results_view"])
+@pytest.mark.parametrize("name", ["results_view", "export_results"])
 def test_view_of_sizes_between_two_tenths(spark, tmp_path, name):
     rows = [(i, "x" * n, "en", f"s{i % 2}") for i, n in enumerate(n for n in (1280, 3328, 3840, 5427) for _ in range(2))]
     pd.DataFrame(rows, columns=["doc_id", "text", "lang", "source"]).to_parquet(tmp_path / "documents.parquet")
