@@ -1,3 +1,4 @@
+import random
 from difflib import SequenceMatcher
 
 import pytest
@@ -206,3 +207,50 @@ def test_extension_sets():
     with pytest.raises(ValueError):
         scan.with_extension(files.TEXT_EXTENSIONS, "abc")
     assert len(files.TEXT_EXTENSIONS) == 40 and len(files.IMAGE_EXTENSIONS) == 14 and len(files.VIDEO_EXTENSIONS) == 12
+
+
+def edited(r, text, edits, alphabet):
+    out = list(text)
+    for _ in range(edits):
+        at = r.randrange(len(out) + 1)
+        out[at : at + r.choice([0, 0, 1, 20])] = [r.choice(alphabet) for _ in range(r.choice([0, 1, 3]))]
+    return "".join(out)
+
+
+@pytest.mark.parametrize("alphabet", ["ab", "abcdefgh ", "abcdefghijklmnopqrstuvwxyz.,0123456789" + "e" * 40 + " " * 60, "aé😀x "])
+def test_matcher_is_difflib(alphabet):
+    r = random.Random(len(alphabet))
+    for size in (0, 1, 60, 199, 200, 350, 500, 700):
+        for edits in (0, 5, 40):
+            a = "".join(r.choice(alphabet) for _ in range(size))
+            b = edited(r, a, edits, alphabet)
+            for autojunk in (True, False):
+                assert matchers.Matcher(b, autojunk).ratio(a) == SequenceMatcher(None, a, b, autojunk).ratio()
+
+
+def words_of(r, n):
+    return " ".join("".join(r.choice("abcdefghijklmnopqrstuvwxyzeeeaaattt") for _ in range(r.randrange(2, 9))) for _ in range(n))
+
+
+@pytest.mark.parametrize("least", [0.0, 55.0, 80.0])
+def test_sampled_ratio_against_all_windows(least):
+    r = random.Random(4)
+    for n in (1, 80, 200, 500):
+        for edits in (0, 20, 200):
+            a = words_of(r, n)
+            b = edited(r, a, edits, "abc xyz")
+            probes = [a[at : at + 500] for at in (0, len(a) // 4, len(a) // 2, 3 * len(a) // 4, max(0, len(a) - 500)) if at < len(a)]
+            tops = [max((SequenceMatcher(None, p, b[i : i + 500]).ratio() for i in range(0, len(b), 250)), default=0.0) for p in probes]
+            want = sum(tops) / len(tops) * 100
+            assert matchers.sampled_ratio_text(a, b, least) == pytest.approx(want if want >= least else 0.0, abs=1e-9)
+    assert matchers.sampled_ratio_text("a" * 30, "") == matchers.sampled_ratio_text("", "a") == 0.0
+
+
+def test_hopeless_pairs_are_left_early(monkeypatch):
+    r = random.Random(8)
+    shared = words_of(r, 150)
+    met = []
+    whole = matchers.Matcher.ratio
+    monkeypatch.setattr(matchers.Matcher, "ratio", lambda self, a: met.append(a) or whole(self, a))
+    assert matchers.sampled_ratio_text(shared + words_of(r, 600), shared + words_of(r, 600), 80.0) == 0.0
+    assert len(met) <= 5
