@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirrorsift.functions import hashes
+from mirrorsift.runtime import configure
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver; what reads it in Arrow batches gets bounded ones."""
+    return configure(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:

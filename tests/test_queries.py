@@ -10,6 +10,7 @@ import __spark_entry__ as entry
 from mirrorsift.operators.components import union_find
 from mirrorsift.plans import catalogue
 from mirrorsift.plans.inputs import text_files
+from mirrorsift.runtime import ARROW_CONF
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -96,6 +97,14 @@ def test_normal_forms_against_loops(spark, sf_dir):
     assert got == {d: hashlib.md5(" ".join(unicodedata.normalize("NFKC", t).split()).lower().encode()).hexdigest() for d, t in docs.items()}
 
 
+@pytest.mark.parametrize("name", ["nfkc_normalize", "sampled_ratio_pairs", "detect_encoding"])
+def test_batches_of_texts_are_bounded(spark, sf_dir, name):
+    for key in ARROW_CONF:
+        spark.conf.unset(key)
+    catalogue.QUERIES[name](spark, sf_dir)
+    assert {k: spark.conf.get(k) for k in ARROW_CONF} == ARROW_CONF
+
+
 def near_pairs(files):
     """Pairs of different texts of like size whose normal forms score 80, by a loop over all pairs."""
     out = []
