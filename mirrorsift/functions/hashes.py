@@ -35,16 +35,26 @@ def hamming(a: tuple[Column, Column], b: tuple[Column, Column]) -> Column:
     return F.bit_count(a[0].bitwiseXOR(b[0])) + F.bit_count(a[1].bitwiseXOR(b[1]))
 
 
-def frame_similarity(a: Column, b: Column, bits_per_frame: int = 36, rows_per_frame: int = 6, denominator: str = "bits") -> Column:
-    """Percent of equal bits of two arrays of frame hashes; 0 where their lengths differ.
+#: Frames of a video whose comparison is written out.
+UNROLLED = 32
 
-    denominator 'rows' divides the differing bits by hash rows instead of bits, floored at 0.
+
+def frame_similarity(a: Column, b: Column, bits_per_frame: int = 36, rows_per_frame: int = 6, denominator: str = "bits", most: int | None = None) -> Column:
+    """Percent of equal bits of two arrays of frame hashes; 0 where their lengths differ or are 0.
+
+    denominator 'rows' divides the differing bits by hash rows instead of bits, floored at 0.  most: no array is
+    longer; up to ``UNROLLED`` the sum is written out, which Spark compiles, as it does no function over an array.
     """
     if denominator not in ("bits", "rows"):
         raise ValueError("denominator is 'bits' or 'rows'")
-    differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    if most is None or most > UNROLLED:
+        differ = F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    else:
+        differ = F.lit(0)
+        for i in range(most):
+            differ = differ + F.when(F.size(a) > i, F.bit_count(F.get(a, F.lit(i)).bitwiseXOR(F.get(b, F.lit(i))))).otherwise(F.lit(0))
     per_frame = bits_per_frame if denominator == "bits" else rows_per_frame
-    return F.when(F.size(a) != F.size(b), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (1 - differ / (F.size(a) * per_frame)) * 100))
+    return F.when((F.size(a) != F.size(b)) | (F.size(a) == 0), F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), (1 - differ / (F.size(a) * per_frame)) * 100))
 
 
 # -- pixels ----------------------------------------------------------------------------------------

@@ -51,11 +51,14 @@ def scored_pairs(texts: DataFrame, candidates: DataFrame, threshold: float) -> D
     return both.select("a", "b", matchers.text_similarity(F.col("first"), F.col("second"), threshold).alias("similarity")).where(F.col("similarity") >= threshold)
 
 
+def pieces(spark: SparkSession) -> int:
+    """Tasks of heavy work on few bytes."""
+    return max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def spread_pairs(pairs_: DataFrame) -> DataFrame:
     """Pairs in runs of one second text, each text's dealt over a few tasks."""
-    spark = pairs_.sparkSession
-    pieces = max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return pairs_.repartition(pieces, "second_id", F.pmod(F.xxhash64("a", "b"), F.lit(4))).sortWithinPartitions("second_id")
+    return pairs_.repartition(pieces(pairs_.sparkSession), "second_id", F.pmod(F.xxhash64("a", "b"), F.lit(4))).sortWithinPartitions("second_id")
 
 
 def grouped(members: DataFrame) -> DataFrame:
@@ -186,8 +189,10 @@ SALTS = 16
 
 
 def salted(df: DataFrame, name: str, spread_out: bool = False) -> DataFrame:
+    """df (block, path) in parts of blocks, dealt by number: rows are few bytes and their pairs are many, so the
+    partitions that Spark would join by bytes are the tasks of the pairs."""
     salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))) if spread_out else F.pmod(F.xxhash64("path"), F.lit(SALTS)).cast("int")
-    return df.withColumn("salt", salt).alias(name)
+    return df.withColumn("salt", salt).repartition(pieces(df.sparkSession), "block", "salt").alias(name)
 
 
 def video_edges(videos: DataFrame, params: Params = Params(), denominator: str = "bits", block: str | None = None) -> DataFrame:
@@ -195,7 +200,8 @@ def video_edges(videos: DataFrame, params: Params = Params(), denominator: str =
     key = blocking.video_key() if block is None else F.col(block)
     v = stage(videos.select("path", key.alias("block"), "frames").where("frames is not null"), "video-hashes")
     a, b = salted(v, "a"), salted(again(v), "b", spread_out=True)
-    score = hashes.frame_similarity(F.col("a.frames"), F.col("b.frames"), denominator=denominator)
+    most = v.agg(F.max(F.size("frames"))).first()[0]
+    score = hashes.frame_similarity(F.col("a.frames"), F.col("b.frames"), denominator=denominator, most=most)
     near = a.join(b, (F.col("a.block") == F.col("b.block")) & (F.col("a.salt") == F.col("b.salt")) & (F.col("a.path") < F.col("b.path")) & (score >= params.similarity_threshold))
     return near.select(F.col("a.path").alias("a"), F.col("b.path").alias("b"), score.alias("similarity"))
 

@@ -4,6 +4,7 @@ import struct
 import pytest
 from pyspark.sql import functions as F
 
+from mirrorsift.functions import hashes
 from mirrorsift.operators import blocking, exact, leaders, outcome, pairs
 from mirrorsift.operators.components import connected_components, union_find
 from mirrorsift.params import Params
@@ -173,3 +174,26 @@ def test_streaming_first_seen(spark, tmp_path):
     known = spark.createDataFrame([("k", "t1")], "path string, text string").withColumn("content_hash", F.md5("text")).drop("text")
     got = {x.path: x.duplicate_of for x in incremental.against_known(df, known).collect()}
     assert got == {"a": "k", "b": "k", "c": None}
+
+
+@pytest.mark.parametrize("kind", ["image", "video"])
+def test_pairs_of_a_small_hot_block_are_many_tasks(spark, kind):
+    """A block of few bytes makes many pairs: AQE must not join its parts by their bytes."""
+    rows = [(f"p{i:03d}", 1, [i * 7919 % 1024, i], i * 31 % 256, i % 16, i * 17 % 256, i % 8) for i in range(200)]
+    df = spark.createDataFrame(rows, "path string, k int, frames array<long>, a1 long, a2 long, p1 long, p2 long")
+    edges = engine.video_edges if kind == "video" else engine.image_edges
+    found = edges(df, Params(similarity_threshold=90.0), block="k")
+    sizes = found.groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert len(sizes) >= 6
+    if kind == "video":
+        differ = lambda x, y: sum((p ^ q).bit_count() for p, q in zip(x, y))
+        want = {(x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and (1 - differ(x[2], y[2]) / 72) * 100 >= 90}
+        assert {(x.a, x.b) for x in found.collect()} == want and want
+
+
+def test_written_out_frames_score_alike(spark):
+    rows = [([], []), ([1, 2], [1, 2]), ([1, 7, 255], [0, 7, 1 << 35]), ([1], [1, 2]), ([1, None], [1, 5]), (None, [1]), ([3] * 5, [12] * 5)]
+    df = spark.createDataFrame(rows, "a array<long>, b array<long>")
+    for denominator in ("bits", "rows"):
+        plain, out = (hashes.frame_similarity(F.col("a"), F.col("b"), denominator=denominator, most=n) for n in (None, 5))
+        assert df.where(~plain.eqNullSafe(out)).count() == 0
