@@ -270,6 +270,11 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
     return c.withColumnRenamed("text", "ta").join(after, ["conv_id", "turn"])
 
 
+def _dealt_turns(spark: SparkSession, d: str) -> DataFrame:
+    """_turns() for the matchers: by number, as the few partitions that AQE leaves by bytes would be all their tasks."""
+    return _turns(spark, d).repartition(engine.pieces(spark), "conv_id", "turn")
+
+
 _TURNS = "p AS (SELECT a.conv_id, a.turn, a.text AS ta, b.text AS tb FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"
 _LINES_OF = "CASE WHEN {0} = '' THEN 0 ELSE length({0}) - length(replace({0}, chr(10), '')) + 1 END"
 
@@ -315,24 +320,24 @@ def length_gate_pairs(spark: SparkSession, d: str) -> DataFrame:
 
 @query()
 def seq_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(_turns(spark, d)).select("conv_id", "turn", F.round(matchers.seq_ratio("ta", "tb"), 6).alias("similarity"))
+    return _dealt_turns(spark, d).select("conv_id", "turn", F.round(matchers.seq_ratio("ta", "tb"), 6).alias("similarity"))
 
 
 @query()
 def sampled_ratio_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return spread(_turns(spark, d)).select("conv_id", "turn", F.round(matchers.sampled_ratio("ta", "tb"), 6).alias("similarity"))
+    return _dealt_turns(spark, d).select("conv_id", "turn", F.round(matchers.sampled_ratio("ta", "tb"), 6).alias("similarity"))
 
 
 @query()
 def text_similarity_pairs(spark: SparkSession, d: str) -> DataFrame:
     """The score of the engine: normalised texts, the matcher that their lengths ask for."""
     a, b = (text.normalize(F.col(c)) for c in ("ta", "tb"))
-    return spread(_turns(spark, d)).select("conv_id", "turn", F.round(matchers.text_similarity(a, b), 6).alias("similarity"))
+    return _dealt_turns(spark, d).select("conv_id", "turn", F.round(matchers.text_similarity(a, b), 6).alias("similarity"))
 
 
 @query()
 def similarity_details(spark: SparkSession, d: str) -> DataFrame:
-    out = engine.similarity_details(spread(_turns(spark, d))).drop("ta", "tb")
+    out = engine.similarity_details(_dealt_turns(spark, d)).drop("ta", "tb")
     return out.withColumns({c: F.round(c, 6) for c in ("sequence_similarity", "vocabulary_similarity", "structure_similarity")})
 
 

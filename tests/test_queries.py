@@ -97,6 +97,11 @@ def test_normal_forms_against_loops(spark, sf_dir):
     assert got == {d: hashlib.md5(" ".join(unicodedata.normalize("NFKC", t).split()).lower().encode()).hexdigest() for d, t in docs.items()}
 
 
+@pytest.mark.parametrize("name", [*PAIR_SCORES, "similarity_details"])
+def test_turns_are_matched_in_many_tasks(spark, sf_dir, name):
+    assert catalogue.QUERIES[name](spark, sf_dir).rdd.getNumPartitions() >= 4 * spark.sparkContext.defaultParallelism
+
+
 @pytest.mark.parametrize("name", ["nfkc_normalize", "sampled_ratio_pairs", "detect_encoding"])
 def test_batches_of_texts_are_bounded(spark, sf_dir, name):
     for key in ARROW_CONF:
