@@ -197,3 +197,11 @@ def test_written_out_frames_score_alike(spark):
     for denominator in ("bits", "rows"):
         plain, out = (hashes.frame_similarity(F.col("a"), F.col("b"), denominator=denominator, most=n) for n in (None, 5))
         assert df.where(~plain.eqNullSafe(out)).count() == 0
+
+
+def test_scored_pairs_are_many_tasks(spark):
+    """Few bytes of pairs are much work: the matcher has tasks by number, not the partitions that joins leave."""
+    texts = spark.createDataFrame([(i, f"p{i:02d}", f"some words {i} " * 20) for i in range(40)], "id long, path string, t string")
+    candidates = spark.createDataFrame([(i, j) for i in range(40) for j in range(i)], "a long, b long")
+    found = engine.scored_pairs(texts, candidates, 0.0)
+    assert len(found.groupBy(F.spark_partition_id().alias("p")).count().collect()) >= 12 and found.count() == 780
