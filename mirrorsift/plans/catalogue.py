@@ -272,7 +272,7 @@ def _turns(spark: SparkSession, d: str) -> DataFrame:
 
 def _dealt_turns(spark: SparkSession, d: str) -> DataFrame:
     """_turns() for the matchers: by number, as the few partitions that AQE leaves by bytes would be all their tasks."""
-    return _turns(spark, d).repartition(engine.pieces(spark), "conv_id", "turn")
+    return _turns(spark, d).repartition(engine.pieces(spark), F.xxhash64("conv_id", "turn"))  # the keys of the join would be no new dealing
 
 
 _TURNS = "p AS (SELECT a.conv_id, a.turn, a.text AS ta, b.text AS tb FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND a.turn + 1 = b.turn)"
